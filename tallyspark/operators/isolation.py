@@ -16,7 +16,7 @@ from ..functions.draws import row_hash
 from ..functions.order import first_k
 
 EULER_GAMMA = 0.5772156649015329
-NODES = T.StructType.fromDDL("tree int, node int, feature int, cut double, left int, right int, depth double, sample int")
+NODES = "tree int, node int, feature int, cut double, `left` int, `right` int, depth double, sample int"
 
 
 def mean_depth(n) -> np.ndarray:

@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
+_TYPES = {
+    "string": T.StringType(), "bigint": T.LongType(), "int": T.IntegerType(),
+    "double": T.DoubleType(), "timestamp_ntz": T.TimestampNTZType(),
+}
+
+
 def _schema(**fields: str) -> T.StructType:
-    return T.StructType.fromDDL(", ".join(f"`{name}` {ddl}" for name, ddl in fields.items()))
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in fields.items()])
 
 
 LEDGER = _schema(
