@@ -57,7 +57,7 @@ from hist_all""", ("hist_all",))
 def rolling_history(t):
     h = FT.history(MO.monthly(t.ledger))
     return h.select(
-        "user_id", "category", "period", F.col("row").alias("row_index"), F.col("prev1.spend").alias("prev_spend"),
+        "user_id", "category", "period", F.col("row").alias("row_index"), F.col("prev1").alias("prev_spend"),
         "mean3", "mean6", "std3", "std6", F.round("hist_share", 9).alias("hist_share"), "hist_count",
         F.round("hist_size", 9).alias("hist_size"), "next_spend",
     )

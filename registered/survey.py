@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions import fixed
 from tallyspark.operators import labels as L, merchants as M, profile as P, survey as S
 from tallyspark.operators.splits import split_by_hash
+from tallyspark.plans.jobs import staged
 
 from .registry import query
 from .views import TWINS
@@ -198,7 +199,9 @@ join labelled l using (persona_id, major_category, period, part)""", ("described
 def text_training_set(t):
     described = M.assign_merchants(txn(t), sampled(t))
     full = L.assign_labels(described, F.transform("items", lambda i: i["item_name"]))
-    slim = full.select("persona_id", "major_category", "period", "part", "description", "categories", "amount")
+    slim = staged(
+        full.select("persona_id", "major_category", "period", "part", "description", "categories", "amount"), "txn"
+    )
     return L.text_set(split_by_hash(slim, ["persona_id", "major_category", "period", "part"]))
 
 

@@ -27,6 +27,11 @@ def ratio(numerator: Column, denominator: Column, floor: float) -> Column:
     return numerator / F.greatest(denominator, F.lit(floor))
 
 
+def exact_mean(total_cents: Column, n: Column) -> Column:
+    """Mean in dollars of ``n`` values whose cents add up to ``total_cents``."""
+    return total_cents / n / F.lit(CENTS)
+
+
 def square(whole_cents: Column) -> Column:
     """Square of a cents value, wide enough not to overflow."""
     wide = whole_cents.cast("decimal(18,0)")
@@ -40,12 +45,3 @@ def exact_pop_std(total_cents: Column, total_squares: Column, n: Column) -> Colu
     ) * total_cents.cast("decimal(19,0)")
     return F.sqrt(spread.cast("double")) / n / F.lit(CENTS)
 
-
-# Below this, six squares and their products stay inside a BIGINT.
-SMALL_CENTS = 400_000_000
-
-
-def small_pop_std(total_cents: Column, total_squares: Column, n: Column) -> Column:
-    """``exact_pop_std`` in BIGINT arithmetic, for up to six values below ``SMALL_CENTS``."""
-    spread = n * total_squares - total_cents * total_cents
-    return F.sqrt(spread.cast("double")) / n / F.lit(CENTS)

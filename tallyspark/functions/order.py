@@ -11,9 +11,11 @@ counts where the answer lies, and only then look at individual rows of the few b
 
 from __future__ import annotations
 
+import dataclasses
+import functools
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .draws import DRAW_BITS, row_hash
 
@@ -21,11 +23,92 @@ BUCKET_BITS = 12
 COPY_CHUNK = 1 << 16
 
 
-def _orderable(df: DataFrame) -> list[str]:
-    bad = [f.name for f in df.schema if isinstance(f.dataType, (T.MapType, T.VariantType))]
-    if bad:
-        raise ValueError(f"columns without an order cannot be placed: {bad}")
-    return df.columns
+@dataclasses.dataclass(frozen=True)
+class Cut:
+    """The row standing at a cut: the sort key it has, and where the cut lies in its copies."""
+
+    lead: tuple
+    hash: int
+    digest: str
+    below: int   # copies of the row before the cut
+    copies: int
+
+
+def _digest(names: Sequence[str]) -> Column:
+    """Digest of a whole row; equal only for identical rows."""
+    return F.md5(F.to_json(F.struct(*names)))
+
+
+def find_cuts(
+    df: DataFrame, cuts: Callable[[Column], Sequence[Column]], lead: Sequence[str], key: Sequence[str], seed: int
+) -> list[Cut]:
+    """Rows at the cut positions, in order of position. Two Spark jobs, one result row per cut."""
+    names, lead = df.columns, list(lead)
+    hashed = row_hash(seed, *(key or names))
+    rows = df.withColumn("_h", hashed).withColumn("_b", F.shiftright("_h", DRAW_BITS - BUCKET_BITS))
+
+    # Counts per lead value and bucket, then first positions: all over small tables.
+    counts = rows.groupBy(*lead, "_b").agg(F.count(F.lit(1)).alias("_m"))
+    in_lead = Window.partitionBy(*lead).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("_start", F.coalesce(F.sum("_m").over(in_lead), F.lit(0)))
+    sizes = counts.groupBy(*lead).agg(F.sum("_m").alias("_lead_m"))
+    before = Window.orderBy(*lead or [F.lit(0)])
+    offsets = sizes.select(
+        *[F.col(c).alias(f"_l_{c}") for c in lead],
+        F.coalesce(F.sum("_lead_m").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"),
+        F.sum("_lead_m").over(
+            before.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        ).alias("_n"),
+    )
+    same = [starts[c].eqNullSafe(offsets[f"_l_{c}"]) for c in lead] or [F.lit(True)]
+    first = F.col("_start") + F.col("_offset")
+    wanted = F.array(*[F.struct(F.lit(j).alias("j"), p.cast("bigint").alias("p")) for j, p in enumerate(cuts(F.col("_n")))])
+    buckets = (
+        starts.join(offsets, same)
+        .withColumn("_cut", F.explode(wanted))
+        .where((F.col("_cut.p") >= first) & (F.col("_cut.p") < first + F.col("_m")))
+        .select(*lead, "_b", "_cut.j", (F.col("_cut.p") - first).alias("_inside"))
+        .collect()
+    )
+    if not buckets:
+        return []
+
+    # Within the few buckets concerned: copies collapse to one row with a count, then running counts.
+    in_buckets = functools.reduce(
+        lambda x, y: x | y,
+        [
+            functools.reduce(
+                lambda x, y: x & y,
+                [F.col("_b") == k["_b"], *[F.col(c).eqNullSafe(F.lit(k[c])) for c in lead]],
+            )
+            for k in buckets
+        ],
+    )
+    distinct = (
+        rows.where(in_buckets)
+        .groupBy(*lead, "_b", "_h", _digest(names).alias("_d"))
+        .agg(F.count(F.lit(1)).alias("_copies"))
+    )
+    upto = Window.partitionBy(*lead, "_b").orderBy("_h", "_d").rowsBetween(Window.unboundedPreceding, -1)
+    placed = distinct.withColumn("_from", F.coalesce(F.sum("_copies").over(upto), F.lit(0)))
+    inside = functools.reduce(
+        lambda x, y: x | y,
+        [
+            (F.col("_b") == k["_b"]) & (F.col("_from") <= k["_inside"])
+            & (F.col("_from") + F.col("_copies") > k["_inside"])
+            for k in buckets
+        ],
+    )
+    found = placed.where(inside).collect()
+    result = []
+    for k in sorted(buckets, key=lambda k: k["j"]):
+        for row in found:
+            here = row["_b"] == k["_b"] and all(row[c] == k[c] for c in lead)
+            if here and row["_from"] <= k["_inside"] < row["_from"] + row["_copies"]:
+                result.append(
+                    Cut(tuple(row[c] for c in lead), row["_h"], row["_d"], k["_inside"] - row["_from"], row["_copies"])
+                )
+    return result
 
 
 def place(
@@ -38,125 +121,70 @@ def place(
 ) -> DataFrame:
     """Add ``out``: how many of the cut positions lie at or before the row's 0-based position.
 
-    The order is ``lead`` columns, then a hash of ``key`` (all columns when empty), then all
-    columns. ``cuts`` maps the row count to positions. Sizes are exact, also when many rows are
-    identical copies. ``lead`` must have few distinct values (a month, say); the hash spreads the
-    rows of one lead value over 4,096 buckets.
+    The order is ``lead`` columns, then a hash of ``key`` (all columns when empty), then a digest
+    of the row. ``cuts`` maps the row count to rising positions. Sizes are exact, also when many
+    rows are identical copies. ``lead`` must have few distinct values (a month, say); the hash
+    spreads the rows of one lead value over 4,096 buckets.
 
-    Rows are never ranked: two small passes find the rows standing at the cuts, and the split is a
-    map-only comparison with them. The input is evaluated more than once, so pass a written table
-    if it is expensive.
+    Rows are never ranked: two small jobs find the rows standing at the cuts, and the result is a
+    map-only comparison with them. The input is read three times, so pass a written table if it is
+    expensive.
     """
-    names = _orderable(df)
-    lead = list(lead)
+    names, lead = df.columns, list(lead)
+    found = find_cuts(df, cuts, lead, key, seed)
     rows = df.withColumn("_h", row_hash(seed, *(key or names)))
-    bucket = F.shiftright("_h", DRAW_BITS - BUCKET_BITS)
-    total_order = F.struct(*lead, "_h", *[c for c in names if c not in lead])
+    front = F.struct(*lead, "_h")
+    digest = _digest(names)
 
-    counts = rows.groupBy(*lead, bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_m"))
-    in_lead = Window.partitionBy(*lead).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("_start", F.coalesce(F.sum("_m").over(in_lead), F.lit(0)))
-    if lead:
-        # One row per lead value, so the unpartitioned window is over a small table.
-        before = Window.orderBy(*lead).rowsBetween(Window.unboundedPreceding, -1)
-        offsets = (
-            counts.groupBy(*lead)
-            .agg(F.sum("_m").alias("_lead_m"))
-            .withColumn("_offset", F.coalesce(F.sum("_lead_m").over(before), F.lit(0)))
-            .select(*[F.col(c).alias(f"_l_{c}") for c in lead], "_offset")
-        )
-        match = [starts[c].eqNullSafe(offsets[f"_l_{c}"]) for c in lead]
-        starts = (
-            starts.join(offsets, match)
-            .withColumn("_start", F.col("_start") + F.col("_offset"))
-            .select(*lead, "_b", "_m", "_start")
-        )
-    n_rows = counts.agg(F.coalesce(F.sum("_m"), F.lit(0)).alias("n")).scalar()
-
-    # Buckets holding a cut: at most one per cut.
-    positions = F.array(
-        *[
-            F.struct(F.lit(j).alias("j"), p.cast("bigint").alias("p"))
-            for j, p in enumerate(cuts(F.col("_n")))
-        ]
-    )
-    cut_buckets = (
-        starts.withColumn("_n", n_rows)
-        .withColumn("_cut", F.explode(positions))
-        .where(
-            (F.col("_cut.p") >= F.col("_start")) & (F.col("_cut.p") < F.col("_start") + F.col("_m"))
-        )
-        .groupBy(*lead, "_b", "_start")
-        .agg(F.collect_list("_cut").alias("_cuts"))
-        .select(*[F.col(c).alias(f"_k_{c}") for c in lead], F.col("_b").alias("_kb"), "_start", "_cuts")
-    )
-    in_bucket = [rows[c].eqNullSafe(cut_buckets[f"_k_{c}"]) for c in lead] + [
-        F.shiftright(rows["_h"], DRAW_BITS - BUCKET_BITS) == cut_buckets["_kb"]
-    ]
-    # Copies collapse to one row with a count before the window sees them.
-    candidates = (
-        rows.join(F.broadcast(cut_buckets), in_bucket)
-        .groupBy(total_order.alias("_k"), "_kb", *[f"_k_{c}" for c in lead])
-        .agg(F.count(F.lit(1)).alias("_copies"), F.first("_start").alias("_start"), F.first("_cuts").alias("_cuts"))
-    )
-    upto = (
-        Window.partitionBy("_kb", *[f"_k_{c}" for c in lead])
-        .orderBy("_k")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    at_cut = (
-        candidates.withColumn("_from", F.col("_start") + F.coalesce(F.sum("_copies").over(upto), F.lit(0)))
-        .withColumn("_cut", F.explode("_cuts"))
-        .where(
-            (F.col("_cut.p") >= F.col("_from")) & (F.col("_cut.p") < F.col("_from") + F.col("_copies"))
-        )
-        .select(F.col("_cut.j").alias("j"), (F.col("_cut.p") - F.col("_from")).alias("below"), "_k", "_copies")
+    def at(cut: Cut) -> Column:
+        values = [F.lit(v).cast(df.schema[c].dataType) for c, v in zip(lead, cut.lead)]
+        return F.struct(*[v.alias(c) for v, c in zip(values, lead)], F.lit(cut.hash).cast("bigint").alias("_h"))
+
+    # The digest is only computed for rows whose key is that of the cut.
+    passed = functools.reduce(
+        lambda x, y: x + y,
+        [((front > at(c)) | ((front == at(c)) & (digest >= c.digest))).cast("int") for c in found],
+        F.lit(0),
     )
-    found = at_cut.agg(
-        F.map_from_entries(F.collect_list(F.struct("j", F.struct("below", "_k")))).alias("m")
-    ).scalar()
-
-    n_cuts = len(cuts(F.lit(0)))
-    marked = rows.withColumn("_at", found)
-    passed = F.lit(0)
-    divided = F.lit(False)
-    for j in range(n_cuts):
-        cut = F.col("_at")[F.lit(j)]
-        passed = passed + F.coalesce((total_order >= cut["_k"]).cast("int"), F.lit(0))
-        divided = divided | F.coalesce((cut["below"] > 0) & (total_order == cut["_k"]), F.lit(False))
-    whole = marked.where(~divided).select(*names, passed.alias(out))
+    divided = {(c.lead, c.hash, c.digest): c for c in found if c.below > 0}
+    if not divided:
+        return rows.select(*names, passed.alias(out))
 
     # A cut inside a group of identical rows: rebuild the group from its count, in chunks.
-    split_keys = (
-        at_cut.groupBy("_k")
-        .agg(
-            F.max("below").alias("_deep"),
-            F.first("_copies").alias("_copies"),
-            F.collect_list("below").alias("_belows"),
-            F.min("j").alias("_first_j"),
-        )
-        .where("_deep > 0")
-        .withColumn("_chunk", F.explode(F.expr(f"sequence(0L, (_copies - 1) div {COPY_CHUNK})")))
-        .repartition("_chunk")
-        .withColumn(
-            "_i",
-            F.explode(
-                F.expr(
-                    f"sequence(_chunk * {COPY_CHUNK}, least(_copies, (_chunk + 1) * {COPY_CHUNK}) - 1)"
-                )
-            ),
-        )
-        .select(
-            *[F.col("_k")[c].alias(c) for c in names],
-            (F.col("_first_j") + F.size(F.filter("_belows", lambda b: b <= F.col("_i")))).alias(out),
+    def is_copy(c: Cut) -> Column:
+        return (front == at(c)) & (digest == c.digest)
+
+    apart = functools.reduce(lambda x, y: x | y, [is_copy(c) for c in divided.values()])
+    result = rows.where(~apart).select(*names, passed.alias(out))
+    for spot, cut in divided.items():
+        belows = [c.below for c in found if (c.lead, c.hash, c.digest) == spot]
+        earlier = next(j for j, c in enumerate(found) if (c.lead, c.hash, c.digest) == spot)
+        slot = functools.reduce(lambda x, y: x + y, [(F.col("_i") >= b).cast("int") for b in belows], F.lit(earlier))
+        copies = (
+            rows.where(is_copy(cut)).select(*names).limit(1)
+            .withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit((cut.copies - 1) // COPY_CHUNK))))
+            .repartition("_chunk")
+            .withColumn(
+                "_i",
+                F.explode(
+                    F.sequence(
+                        F.col("_chunk") * F.lit(COPY_CHUNK),
+                        F.least(F.lit(cut.copies), (F.col("_chunk") + 1) * F.lit(COPY_CHUNK)) - 1,
+                    )
+                ),
+            )
+            .select(*names, slot.alias(out))
         )
-    )
-    return whole.unionByName(split_keys)
+        result = result.unionByName(copies)
+    return result
 
 
-def first_k(df: DataFrame, k: Callable[[Column], Column], key: Sequence[str] = (), seed: int = 42) -> DataFrame:
+def first_k(
+    df: DataFrame, k: Callable[[Column], Column], key: Sequence[str] = (), seed: int = 42
+) -> DataFrame:
     """Exactly ``k(n)`` rows in hash order, by a threshold instead of a sort."""
-    return place(df, lambda n: [k(n)], key=key, seed=seed, out="_slot").where("_slot = 0").drop("_slot")
+    placed = place(df, lambda n: [k(n)], key=key, seed=seed, out="_slot")
+    return placed.where("_slot = 0").drop("_slot")
 
 
 MEDIAN_SHIFT = 14

@@ -1 +1,5 @@
-"""DataFrame to DataFrame operators. None of them runs a Spark job, model fits excepted."""
+"""DataFrame to DataFrame operators.
+
+They are lazy, except where rows are cut at exact positions (splits, samples, mixing: two small
+jobs find the cuts) and where a model is fitted.
+"""

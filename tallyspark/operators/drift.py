@@ -41,45 +41,41 @@ def shared_features(reference: DataFrame, current: DataFrame, features: Sequence
 
 
 def bin_counts(reference: DataFrame, current: DataFrame, features: Sequence[str], bins: int = 10) -> DataFrame:
-    """(feature, lo, hi, ref_counts, cur_counts) with shared equal-width edges.
+    """(feature, ref_counts, cur_counts) with shared equal-width edges.
 
-    One pass for the bounds of all features, one for all counts. The bins are computed on the wide
-    rows and counted right after the unpivot, so only feature × bin counts are shuffled.
+    Two passes over (side, feature, value) rows: bounds per feature, then counts per feature. Both
+    aggregate right after the unpivot, so a handful of rows per task is shuffled. The bounds have
+    one row per feature name, which is why they may be broadcast.
     """
     names = shared_features(reference, current, features)
     if not names:
         raise ValueError("the tables share none of the features")
     side = [
-        df.select(F.lit(flag).alias("_side"), *[F.col(c).cast("double").alias(c) for c in names])
+        df.select(F.lit(flag).alias("side"), *[F.col(c).cast("double").alias(c) for c in names])
         for flag, df in ((0, reference), (1, current))
     ]
-    both = side[0].unionByName(side[1])
-    binned = both.withColumn("_b", _bounds(both, names)).select(
-        "_side",
-        *[
-            F.when(
-                F.col(c).isNotNull(), bin_of(F.col(c), F.col("_b")[f"lo_{c}"], F.col("_b")[f"hi_{c}"], bins)
-            ).alias(c)
-            for c in names
-        ],
-    )
-    counts = (
-        binned.unpivot(["_side"], names, "feature", "bin")
-        .where(F.col("bin").isNotNull())
+    values = side[0].unionByName(side[1]).unpivot(["side"], names, "feature", "value").where(F.col("value").isNotNull())
+    bounds = values.groupBy("feature").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    return (
+        values.join(F.broadcast(bounds), "feature")
+        .withColumn("bin", bin_of(F.col("value"), F.col("low"), F.col("high"), bins))
+        .groupBy("feature", "side", "bin")
+        .agg(F.count(F.lit(1)).alias("n"))
         .groupBy("feature")
-        .agg(
+        .agg(F.map_from_entries(F.collect_list(F.struct(F.struct("side", "bin"), "n"))).alias("m"))
+        .select(
+            "feature",
             *[
-                F.count_if((F.col("_side") == s) & (F.col("bin") == k)).alias(f"{tag}{k}")
-                for s, tag in ((0, "r"), (1, "c"))
-                for k in range(bins)
-            ]
+                F.array(
+                    *[
+                        F.coalesce(F.col("m")[F.struct(F.lit(s).alias("side"), F.lit(k).alias("bin"))], F.lit(0))
+                        for k in range(bins)
+                    ]
+                ).alias(name)
+                for s, name in ((0, "ref_counts"), (1, "cur_counts"))
+            ],
         )
     )
-    return counts.select(
-        "feature",
-        F.array(*[F.col(f"r{k}") for k in range(bins)]).alias("ref_counts"),
-        F.array(*[F.col(f"c{k}") for k in range(bins)]).alias("cur_counts"),
-    )
 
 
 def psi(reference: DataFrame, current: DataFrame, features: Sequence[str], bins: int = 10) -> DataFrame:

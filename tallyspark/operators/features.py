@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.money import (
-    CENTS, SMALL_CENTS, dollars, exact_pop_std, ratio, small_pop_std, square,
+    dollars, exact_mean, exact_pop_std, ratio, square,
 )
 from ..functions.order import exact_median
 from .monthly import CATEGORY, MONTH, USER, monthly
@@ -62,9 +62,9 @@ def history(
     """Month rows with everything that looks at neighbouring months of the same pair.
 
     Frames count months present, not calendar months. All windows share one partitioning and one
-    sort, a partition holding the months of one pair. The six earlier months are fetched with
-    ``lag`` and combined in the projection: that stays inside generated code, where sliding
-    aggregate frames would recompute every aggregate row by row.
+    sort, a partition holding the months of one pair. A sum over the last k months is the
+    difference of two running sums of integers: exact, and every row is added once instead of k
+    times. Means of ratios are not integers, so these two slide over their short frames.
     """
     pair = Window.partitionBy(USER, CATEGORY)
     by_month = pair.orderBy(MONTH)
@@ -73,53 +73,51 @@ def history(
         {
             "share": ratio(dollars(spend), dollars(total), floor),
             "size": dollars(spend) / F.greatest(count, F.lit(1)),
+            "square": square(spend),
         }
     )
-    now = F.struct("spend", "txn_count", "share", "size")
+
+    def running(column: str, back: int) -> Column:
+        return F.sum(column).over(by_month.rowsBetween(Window.unboundedPreceding, -back))
+
     rows = rows.withColumns(
         {
             "row": F.row_number().over(by_month) - 1,
             "n_months": F.count(F.lit(1)).over(pair),
             "n_txn": F.sum(count).over(pair),
+            **{f"prev{k}": F.lag(spend, k).over(by_month) for k in (1, 2, 3)},
             "next_spend": F.lead(spend, 1).over(by_month),
             "prev_last_txn": F.lag("last_txn", 1).over(by_month),
-            **{f"prev{k}": F.lag(now, k).over(by_month) for k in range(1, 7)},
+            **{f"{c}_upto{k}": running(c, k) for c in ("spend", "square") for k in (1, 4, 7)},
+            **{f"txn_count_upto{k}": running("txn_count", k) for k in (1, 4)},
+            "hist_share": F.avg("share").over(by_month.rowsBetween(-6, -1)),
+            "hist_size": F.avg("size").over(by_month.rowsBetween(-3, -1)),
         }
     )
 
-    def past(field: str, k: int) -> list[Column]:
-        # Oldest first; months before the first count as zero.
-        return [F.coalesce(F.col(f"prev{i}")[field], F.lit(0)) for i in range(k, 0, -1)]
+    def last(column: str, k: int) -> Column:
+        older = F.col(f"{column}_upto{k + 1}")
+        return F.col(f"{column}_upto1") - F.coalesce(older, F.lit(0).cast("bigint"))
 
     def known(k: int) -> Column:
-        return F.least(F.col("row"), F.lit(k))
-
-    def total_of(terms: list[Column]) -> Column:
-        return functools.reduce(lambda a, b: a + b, terms)
-
-    def mean_of(field: str, k: int) -> Column:
-        return F.when(F.col("row") >= 1, total_of(past(field, k)) / known(k))
-
-    def std_of(k: int) -> Column:
-        values = past("spend", k)
-        std = F.when(
-            F.greatest(*[F.abs(v) for v in values]) < SMALL_CENTS,
-            small_pop_std(total_of(values), total_of([v * v for v in values]), known(k)),
-        ).otherwise(
-            exact_pop_std(total_of(values), total_of([square(v) for v in values]), known(k))
-        )
-        return F.when(F.col("row") >= 2, std).otherwise(F.lit(0.0))
+        return F.nullif(F.least(F.col("row"), F.lit(k)), F.lit(0))
 
     rows = rows.withColumns(
         {
-            "mean3": mean_of("spend", 3) / F.lit(CENTS),
-            "mean6": mean_of("spend", 6) / F.lit(CENTS),
-            "std3": std_of(3),
-            "std6": std_of(6),
-            "hist_share": mean_of("share", 6),
-            "hist_count": mean_of("txn_count", 3),
-            "hist_size": mean_of("size", 3),
+            "sum3": last("spend", 3), "sum6": last("spend", 6), "sq3": last("square", 3), "sq6": last("square", 6),
+            "n3": known(3), "n6": known(6),
+        }
+    ).withColumns(
+        {
+            "mean3": exact_mean(F.col("sum3"), F.col("n3")),
+            "mean6": exact_mean(F.col("sum6"), F.col("n6")),
+            "std3": exact_pop_std(F.col("sum3"), F.col("sq3"), F.col("n3")),
+            "std6": exact_pop_std(F.col("sum6"), F.col("sq6"), F.col("n6")),
+            "hist_count": last("txn_count", 3) / F.col("n3"),
         }
+    ).withColumns(
+        # With one month of history the formula gives 0 by itself; with none it is null.
+        {c: F.coalesce(c, F.lit(0.0)) for c in ("std3", "std6")}
     )
     above = (F.col("row") >= first_row) & (dollars(spend) > F.col("mean3") * ELEVATED)
     if guard:
@@ -168,7 +166,7 @@ def trend_features(
                 lambda a, b: a + b,
                 [
                     F.coalesce((dollars(s) > bar).cast("bigint"), F.lit(0))
-                    for s in (F.col("spend"), *[F.col(f"prev{k}")["spend"] for k in (1, 2, 3)])
+                    for s in map(F.col, ("spend", "prev1", "prev2", "prev3"))
                 ],
             ),
         )
@@ -177,7 +175,7 @@ def trend_features(
     mean3, count = F.col("mean3"), F.col("txn_count")
     columns = {
         "current_spend": spend,
-        "rolling_mean_1m": dollars(F.col("prev1")["spend"]),
+        "rolling_mean_1m": dollars("prev1"),
         "rolling_mean_3m": mean3,
         "rolling_mean_6m": F.col("mean6"),
         "rolling_std_3m": F.col("std3"),

@@ -15,11 +15,15 @@ OVERRIDE_WEIGHT, ACCEPTED_WEIGHT, EXTERNAL_WEIGHT = 1.0, 0.3, 0.5
 KEEP, MOVE = 0.7, 0.3
 
 
-def feedback_rows(feedback: DataFrame) -> DataFrame:
-    """Feedback as labelled rows: an override is a strong label, anything else a weak one."""
+def feedback_rows(feedback: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Feedback as labelled rows: an override is a strong label, anything else a weak one.
+
+    ``keep`` names further columns to carry along, such as a row key for later splits.
+    """
     override = F.col("feedback_type") == "override"
     accepted = "predicted_category" if "predicted_category" in feedback.columns else "actual_category"
     return feedback.select(
+        *keep,
         F.coalesce("description", F.lit("")).alias("description") if "description" in feedback.columns
         else F.lit("").alias("description"),
         F.array(F.when(override, F.col("actual_category")).otherwise(F.col(accepted))).alias("categories"),
@@ -39,22 +43,21 @@ def external_rows(external: DataFrame) -> DataFrame:
     )
 
 
-def mix(production: DataFrame, external: DataFrame, ratio: float = 0.5, seed: int = 42) -> DataFrame:
+def mix(
+    production: DataFrame, external: DataFrame, ratio: float = 0.5, key: Sequence[str] = (), seed: int = 42
+) -> DataFrame:
     """All production rows and a sample of external ones so that production is ``ratio`` of all.
 
     Missing columns are null. The new split is a random one over the mixed rows. Without production
-    rows the external ones come back whole, with the split they had: decided by the data, in the
-    same plan.
+    rows the external ones come back whole, with the split they had.
     """
     outside = external_rows(external)
-    n_production = production.agg(F.count(F.lit(1)).alias("n")).scalar()
-    wanted = F.floor(n_production.cast("double") * F.lit(1 - ratio) / F.lit(ratio))
-    sampled = first_k(
-        outside.drop("split"), lambda n: F.when(n_production > 0, F.least(wanted, n)).otherwise(F.lit(0)), seed=seed
-    )
-    mixed = split_shuffled(production.unionByName(sampled, allowMissingColumns=True), seed=seed)
-    untouched = outside.where(n_production == 0)
-    return mixed.unionByName(untouched, allowMissingColumns=True)
+    n_production = production.count()
+    if n_production == 0:
+        return outside
+    wanted = int(n_production * (1 - ratio) / ratio)
+    sampled = first_k(outside.drop("split"), lambda n: F.least(F.lit(wanted), n), key=key, seed=seed)
+    return split_shuffled(production.unionByName(sampled, allowMissingColumns=True), key=key, seed=seed)
 
 
 def expected_signals(feedback: DataFrame) -> DataFrame:
