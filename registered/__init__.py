@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-for _module in ("features", "sources", "survey", "splits", "evaluation", "feedback"):
+for _module in ("features", "sources", "survey", "splits", "evaluation", "feedback", "promotion", "explanation", "models"):
     importlib.import_module(f"{__name__}.{_module}")
 
 __all__ = ["ORACLES", "QUERIES"]

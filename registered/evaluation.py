@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyspark.operators import drift as D, evaluate as E
 from tallyspark.operators.features import FEATURES
 from tallyspark.operators.splits import split_by_time
-from tallyspark.plans.jobs import staged
+from tallyspark.sources.tables import staged
 
 from .features import AVERAGED
 from .registry import query

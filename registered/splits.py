@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyspark.operators import profile as P, splits as SP
-from tallyspark.plans.jobs import staged
+from tallyspark.sources.tables import staged
 
 from .registry import query
 from .views import TWINS

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions import fixed
 from tallyspark.operators import labels as L, merchants as M, profile as P, survey as S
 from tallyspark.operators.splits import split_by_hash
-from tallyspark.plans.jobs import staged
+from tallyspark.sources.tables import staged
 
 from .registry import query
 from .views import TWINS

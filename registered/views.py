@@ -174,8 +174,8 @@ class Tables:
             self.table("supplier")
             .selectExpr(
                 "s_suppkey",
-                "inline(array(struct('test_subset_accuracy' as metric, 0.93D as base), struct('test_macro_f1', 0.88D), "
-                "struct('test_min_class_recall', 0.75D), struct('test_abstention_rate', 0.18D)))",
+                "stack(4, 'test_subset_accuracy', 0.93D, 'test_macro_f1', 0.88D, 'test_min_class_recall', 0.75D, "
+                "'test_abstention_rate', 0.18D) as (metric, base)",
             )
             .where("not (s_suppkey % 4 = 3 and metric = 'test_macro_f1')")
             .selectExpr("s_suppkey as run_id", "metric", "base * (0.9D + 0.2D * (s_suppkey % 10) / 10) as value")
@@ -185,17 +185,17 @@ class Tables:
     def trend_metrics(self) -> DataFrame:
         return self.table("supplier").selectExpr(
             "cast(s_nationkey as string) as model_type", "s_suppkey as run_id",
-            "inline(array(struct('xgb_test_rmse' as metric, cast(100 + s_suppkey % 17 as double) as value), "
-            "struct('xgb_test_mae', cast(50 + s_suppkey % 13 as double)), "
-            "struct('xgb_precision_at_5', (s_suppkey % 6) / 5.0D)))",
+            "stack(3, 'xgb_test_rmse', cast(100 + s_suppkey % 17 as double), "
+            "'xgb_test_mae', cast(50 + s_suppkey % 13 as double), "
+            "'xgb_precision_at_5', (s_suppkey % 6) / 5.0D) as (metric, value)",
         )
 
     @property
     def production_metrics(self) -> DataFrame:
         return self.table("nation").where("n_nationkey % 5 <> 4").selectExpr(
             "cast(n_nationkey as string) as model_type",
-            "inline(array(struct('xgb_test_rmse' as metric, cast(103 + n_nationkey % 4 as double) as value), "
-            "struct('xgb_test_mae', cast(52 + n_nationkey % 3 as double))))",
+            "stack(2, 'xgb_test_rmse', cast(103 + n_nationkey % 4 as double), "
+            "'xgb_test_mae', cast(52 + n_nationkey % 3 as double)) as (metric, value)",
         )
 
     @property

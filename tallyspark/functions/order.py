@@ -132,15 +132,15 @@ def place(
     """
     names, lead = df.columns, list(lead)
     found = find_cuts(df, cuts, lead, key, seed)
-    rows = df.withColumn("_h", row_hash(seed, *(key or names)))
-    front = F.struct(*lead, "_h")
-    digest = _digest(names)
+    # The digest is only computed for rows whose key is that of a cut.
+    near = F.col("_h").isin([c.hash for c in found]) if found else F.lit(False)
+    rows = df.withColumn("_h", row_hash(seed, *(key or names))).withColumn("_d", F.when(near, _digest(names)))
+    front, digest = F.struct(*lead, "_h"), F.col("_d")
 
     def at(cut: Cut) -> Column:
         values = [F.lit(v).cast(df.schema[c].dataType) for c, v in zip(lead, cut.lead)]
         return F.struct(*[v.alias(c) for v, c in zip(values, lead)], F.lit(cut.hash).cast("bigint").alias("_h"))
 
-    # The digest is only computed for rows whose key is that of the cut.
     passed = functools.reduce(
         lambda x, y: x + y,
         [((front > at(c)) | ((front == at(c)) & (digest >= c.digest))).cast("int") for c in found],
@@ -152,7 +152,7 @@ def place(
 
     # A cut inside a group of identical rows: rebuild the group from its count, in chunks.
     def is_copy(c: Cut) -> Column:
-        return (front == at(c)) & (digest == c.digest)
+        return F.coalesce((front == at(c)) & (digest == c.digest), F.lit(False))
 
     apart = functools.reduce(lambda x, y: x | y, [is_copy(c) for c in divided.values()])
     result = rows.where(~apart).select(*names, passed.alias(out))

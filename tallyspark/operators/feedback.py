@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.order import first_k
+from ..sources.tables import staged
 from .splits import split_shuffled
 
 # Sample weights by origin of the label.
@@ -57,7 +58,9 @@ def mix(
         return outside
     wanted = int(n_production * (1 - ratio) / ratio)
     sampled = first_k(outside.drop("split"), lambda n: F.least(F.lit(wanted), n), key=key, seed=seed)
-    return split_shuffled(production.unionByName(sampled, allowMissingColumns=True), key=key, seed=seed)
+    # Written once, as the split reads its input three times.
+    rows = staged(production.unionByName(sampled, allowMissingColumns=True), "mixed")
+    return split_shuffled(rows, key=key, seed=seed)
 
 
 def expected_signals(feedback: DataFrame) -> DataFrame:

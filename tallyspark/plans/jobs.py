@@ -18,15 +18,7 @@ from ..operators.isolation import fit_forest as fit_isolation, isolation_score
 from ..operators.merchants import assign_merchants
 from ..operators.splits import ensure_split, part, split_by_hash, split_by_time
 from ..sources.state import load_state, save_state
-from ..sources.tables import scratch_path, write_table
-
-
-def staged(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """Write a table and read it back."""
-    spark = df.sparkSession
-    path = path or scratch_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..sources.tables import staged, write_table
 
 
 def feature_table(
@@ -98,6 +90,8 @@ def trained_scores(
     trend: DataFrame, params: M.Boosting = M.FIRST_FIT, trees: int = 100, seed: int = 42
 ) -> tuple[M.Regressor, DataFrame]:
     """The training job: boosted trees and isolation forest on train; ensemble scores on test."""
+    if "split" not in trend.columns:
+        trend = staged(trend, "trend")
     split = staged(ensure_split(trend, "period", ["user_id", "category"], seed), "split")
     train, test = part(split, "train"), part(split, "test")
     model = M.fit_boosted(train, params, seed=seed)

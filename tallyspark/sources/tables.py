@@ -94,6 +94,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
 
 
+def staged(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it back: cuts the lineage, survives executors."""
+    path = path or scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """One row: row count and an order-insensitive content hash.
 
