@@ -60,7 +60,7 @@ def explained(t):
 select transaction_id, amount, (amount - min(amount) over ()) / (max(amount) over () - min(amount) over () + 1e-8::double) as scaled
 from ledger""", ("ledger",))
 def normalised_amounts(t):
-    return X.normalise(t.ledger.select("transaction_id", "amount"), "amount", "scaled")
+    return X.normalise(t.ledger.select("transaction_id", "amount"), {"amount": "scaled"})
 
 
 @query("anomaly_scores", "X1 W17", """

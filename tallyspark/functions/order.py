@@ -132,8 +132,10 @@ def place(
     """
     names, lead = df.columns, list(lead)
     found = find_cuts(df, cuts, lead, key, seed)
+    if not found:
+        return df.withColumn(out, F.lit(0))
     # The digest is only computed for rows whose key is that of a cut.
-    near = F.col("_h").isin([c.hash for c in found]) if found else F.lit(False)
+    near = F.col("_h").isin([c.hash for c in found])
     rows = df.withColumn("_h", row_hash(seed, *(key or names))).withColumn("_d", F.when(near, _digest(names)))
     front, digest = F.struct(*lead, "_h"), F.col("_d")
 

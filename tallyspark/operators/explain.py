@@ -14,20 +14,31 @@ from .features import FEATURES
 SMOOTH = 1e-8
 
 
-def normalise(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Add ``out``: the column scaled to [0, 1] over the whole table, from a one-row aggregate."""
-    bounds = df.agg(F.min(column).alias("lo"), F.max(column).alias("hi"))
+def normalise(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
+    """Scale columns to [0, 1] over the whole table: ``{column: new name}``.
+
+    One aggregate of one row gives the bounds of all of them.
+    """
+    bounds = df.agg(
+        *[f(c).alias(f"{tag}_{c}") for c in columns for f, tag in ((F.min, "lo"), (F.max, "hi"))]
+    )
+    b = F.col("_bounds")
     return (
-        df.withColumn("_n", bounds.select(F.struct("lo", "hi")).scalar())
-        .withColumn(out, (F.col(column) - F.col("_n.lo")) / (F.col("_n.hi") - F.col("_n.lo") + F.lit(SMOOTH)))
-        .drop("_n")
+        df.withColumn("_bounds", bounds.select(F.struct(*bounds.columns)).scalar())
+        .withColumns(
+            {
+                out: (F.col(c) - b[f"lo_{c}"]) / (b[f"hi_{c}"] - b[f"lo_{c}"] + F.lit(SMOOTH))
+                for c, out in columns.items()
+            }
+        )
+        .drop("_bounds")
     )
 
 
 def anomaly_scores(df: DataFrame, predicted: str = "predicted", actual: str = "current_spend") -> DataFrame:
     """Add ``anomaly_score``: absolute difference of actual and predicted, scaled over the batch."""
     away = df.withColumn("_away", F.abs(F.col(actual) - F.col(predicted)))
-    return normalise(away, "_away", "anomaly_score").drop("_away")
+    return normalise(away, {"_away": "anomaly_score"}).drop("_away")
 
 
 def keep_anomalies(df: DataFrame, threshold: float = 0.6) -> DataFrame:

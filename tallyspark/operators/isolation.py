@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..functions.draws import row_hash
 from ..functions.order import first_k
+from ..sources.tables import staged
 
 EULER_GAMMA = 0.5772156649015329
 NODES = "tree int, node int, feature int, cut double, `left` int, `right` int, depth double, sample int"
@@ -66,7 +67,8 @@ def fit_forest(
     """
     names = list(features)
     numeric = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in names])
-    pool = first_k(numeric, lambda n: F.least(F.lit(trees * rows_per_tree), n), seed=seed)
+    # Written once: the pool is small, and every tree's draw reads it.
+    pool = staged(first_k(numeric, lambda n: F.least(F.lit(trees * rows_per_tree), n), seed=seed), "pool")
     # Copies in the pool must differ, or they would be drawn together.
     numbered = pool.withColumn("_copy", F.row_number().over(Window.partitionBy(*names).orderBy(F.lit(1))))
     spread = numbered.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn(
@@ -82,7 +84,7 @@ def fit_forest(
         nodes.insert(0, "tree", tree)
         return nodes.assign(sample=len(group))
 
-    return chosen.select("tree", "_r", *names).groupBy("tree").applyInPandas(fit, NODES)
+    return staged(chosen.select("tree", "_r", *names).groupBy("tree").applyInPandas(fit, NODES), "forest")
 
 
 def isolation_score(

@@ -247,7 +247,7 @@ def random_search(
 
 def ensemble(df: DataFrame, residual: str = "abs_residual", isolation: str = "isolation", weight: float = 0.6) -> DataFrame:
     """Add ``ensemble_score``: both scores scaled to [0, 1] over the table and weighted."""
-    scaled = normalise(normalise(df, residual, "_r"), isolation, "_i")
+    scaled = normalise(df, {residual: "_r", isolation: "_i"})
     return scaled.withColumn(
         "ensemble_score", F.lit(weight) * F.col("_r") + F.lit(1 - weight) * F.col("_i")
     ).drop("_r", "_i")
