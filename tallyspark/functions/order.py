@@ -32,6 +32,7 @@ class Cut:
     digest: str
     below: int   # copies of the row before the cut
     copies: int
+    tied: bool   # other rows have the same lead and hash
 
 
 def _digest(names: Sequence[str]) -> Column:
@@ -90,7 +91,12 @@ def find_cuts(
         .agg(F.count(F.lit(1)).alias("_copies"))
     )
     upto = Window.partitionBy(*lead, "_b").orderBy("_h", "_d").rowsBetween(Window.unboundedPreceding, -1)
-    placed = distinct.withColumn("_from", F.coalesce(F.sum("_copies").over(upto), F.lit(0)))
+    placed = distinct.withColumns(
+        {
+            "_from": F.coalesce(F.sum("_copies").over(upto), F.lit(0)),
+            "_same": F.count(F.lit(1)).over(Window.partitionBy(*lead, "_b", "_h")),
+        }
+    )
     inside = functools.reduce(
         lambda x, y: x | y,
         [
@@ -106,7 +112,10 @@ def find_cuts(
             here = row["_b"] == k["_b"] and all(row[c] == k[c] for c in lead)
             if here and row["_from"] <= k["_inside"] < row["_from"] + row["_copies"]:
                 result.append(
-                    Cut(tuple(row[c] for c in lead), row["_h"], row["_d"], k["_inside"] - row["_from"], row["_copies"])
+                    Cut(
+                        tuple(row[c] for c in lead), row["_h"], row["_d"], k["_inside"] - row["_from"],
+                        row["_copies"], row["_same"] > 1,
+                    )
                 )
     return result
 
@@ -128,15 +137,17 @@ def place(
 
     Rows are never ranked: two small jobs find the rows standing at the cuts, and the result is a
     map-only comparison with them. The input is read three times, so pass a written table if it is
-    expensive.
+    expensive, and a key if it has many computed columns.
     """
     names, lead = df.columns, list(lead)
     found = find_cuts(df, cuts, lead, key, seed)
     if not found:
         return df.withColumn(out, F.lit(0))
-    # The digest is only computed for rows whose key is that of a cut.
-    near = F.col("_h").isin([c.hash for c in found])
-    rows = df.withColumn("_h", row_hash(seed, *(key or names))).withColumn("_d", F.when(near, _digest(names)))
+    # A digest is only needed where different rows share the hash of a cut, and only for those.
+    rows = df.withColumn("_h", row_hash(seed, *(key or names)))
+    tied = [c.hash for c in found if c.tied]
+    if tied:
+        rows = rows.withColumn("_d", F.when(F.col("_h").isin(tied), _digest(names)))
     front, digest = F.struct(*lead, "_h"), F.col("_d")
 
     def at(cut: Cut) -> Column:
@@ -145,7 +156,10 @@ def place(
 
     passed = functools.reduce(
         lambda x, y: x + y,
-        [((front > at(c)) | ((front == at(c)) & (digest >= c.digest))).cast("int") for c in found],
+        [
+            ((front > at(c)) | ((front == at(c)) & (digest >= c.digest)) if c.tied else front >= at(c)).cast("int")
+            for c in found
+        ],
         F.lit(0),
     )
     divided = {(c.lead, c.hash, c.digest): c for c in found if c.below > 0}
@@ -154,7 +168,7 @@ def place(
 
     # A cut inside a group of identical rows: rebuild the group from its count, in chunks.
     def is_copy(c: Cut) -> Column:
-        return F.coalesce((front == at(c)) & (digest == c.digest), F.lit(False))
+        return F.coalesce((front == at(c)) & (digest == c.digest), F.lit(False)) if c.tied else front == at(c)
 
     apart = functools.reduce(lambda x, y: x | y, [is_copy(c) for c in divided.values()])
     result = rows.where(~apart).select(*names, passed.alias(out))

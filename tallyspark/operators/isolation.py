@@ -66,9 +66,9 @@ def fit_forest(
     own rows out of the pool by hash.
     """
     names = list(features)
-    numeric = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in names])
+    drawn = first_k(df.select(*names), lambda n: F.least(F.lit(trees * rows_per_tree), n), seed=seed)
     # Written once: the pool is small, and every tree's draw reads it.
-    pool = staged(first_k(numeric, lambda n: F.least(F.lit(trees * rows_per_tree), n), seed=seed), "pool")
+    pool = staged(drawn.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in names]), "pool")
     # Copies in the pool must differ, or they would be drawn together.
     numbered = pool.withColumn("_copy", F.row_number().over(Window.partitionBy(*names).orderBy(F.lit(1))))
     spread = numbered.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn(

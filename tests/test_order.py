@@ -87,3 +87,15 @@ def test_running_values_cross_buckets(spark):
     assert {(r.k, r.t): r.i for r in placed.collect()} == {
         ("a", 1): 0, ("a", 5): 1, ("a", 11): 2, ("a", 12): 3, ("a", 25): 4, (None, 3): 0, (None, 30): 1,
     }
+
+
+def test_different_rows_with_one_key(spark):
+    rows = spark.range(1000).select((F.col("id") % 2).alias("k"), F.col("id").alias("v"))
+    split = SP.split_by_hash(rows, ["k"])
+    assert Counter(r.split for r in split.collect()) == {"train": 800, "val": 100, "test": 100}
+    assert split.select("v").distinct().count() == 1000
+
+
+def test_sample_of_a_wide_computed_table(spark):
+    wide = spark.range(500).select(*[F.coalesce((F.col("id") * i).cast("double"), F.lit(0.0)).alias(f"c{i}") for i in range(1, 24)])
+    assert SP.sample_rows(wide, 50, ["c1"]).count() == 50
