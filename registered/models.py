@@ -95,7 +95,7 @@ def random_search(t):
 @query("isolation_scores", "ML8")
 def isolation_scores(t):
     rows = trend_split(t)
-    forest = I.fit_forest(SP.part(rows, "train"), FEATURES, trees=50)
+    forest = I.fit_forest(SP.part(rows, "train"), FEATURES, trees=50, key=["user_id", "category", "period"])
     return I.isolation_score(SP.part(rows, "test"), forest, FEATURES).select("user_id", "category", "period", "isolation")
 
 

@@ -58,15 +58,18 @@ def grow(points: np.ndarray, seed: int) -> pd.DataFrame:
 
 
 def fit_forest(
-    df: DataFrame, features: Sequence[str], trees: int = 100, rows_per_tree: int = 256, seed: int = 42
+    df: DataFrame, features: Sequence[str], trees: int = 100, rows_per_tree: int = 256, seed: int = 42,
+    key: Sequence[str] = (),
 ) -> DataFrame:
     """Node table of the forest: at most ``trees * (2 * rows_per_tree - 1)`` rows.
 
-    A pool of at most ``trees * rows_per_tree`` rows is drawn from the table; every tree takes its
-    own rows out of the pool by hash.
+    A pool of at most ``trees * rows_per_tree`` rows is drawn from the table, by hash of ``key``
+    (the features if empty); every tree takes its own rows out of the pool by hash.
     """
     names = list(features)
-    drawn = first_k(df.select(*names), lambda n: F.least(F.lit(trees * rows_per_tree), n), seed=seed)
+    drawn = first_k(
+        df.select(*dict.fromkeys([*key, *names])), lambda n: F.least(F.lit(trees * rows_per_tree), n), key=key, seed=seed
+    )
     # Written once: the pool is small, and every tree's draw reads it.
     pool = staged(drawn.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in names]), "pool")
     # Copies in the pool must differ, or they would be drawn together.

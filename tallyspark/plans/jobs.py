@@ -95,7 +95,7 @@ def trained_scores(
     split = staged(ensure_split(trend, "period", ["user_id", "category"], seed), "split")
     train, test = part(split, "train"), part(split, "test")
     model = M.fit_boosted(train, params, seed=seed)
-    forest = fit_isolation(train, FEATURES, trees=trees, seed=seed)
+    forest = fit_isolation(train, FEATURES, trees=trees, seed=seed, key=["user_id", "category", "period"])
     scored = model.predict(test).withColumn("abs_residual", F.abs(F.col(TARGET) - F.col("predicted")))
     both = staged(isolation_score(scored, forest, FEATURES), "scores")
     return model, M.ensemble(both)
