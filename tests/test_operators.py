@@ -181,3 +181,15 @@ def test_multilabel_metrics(spark):
     assert m.exact_match_accuracy == pytest.approx(1 / 3) and m.subset_accuracy == pytest.approx(2 / 3)
     assert m.micro_f1 == pytest.approx(4 / 6) and m.min_class_recall == 0.0
     assert m.abstention_rate == pytest.approx(2 / 3) and math.isclose(m.macro_f1, 0.5)
+
+
+def test_set_sizes_and_their_rules(spark):
+    from tallyspark.operators import profile as P
+
+    text = spark.range(10).select((F.col("id") * 1.5).alias("amount"), F.lit("train").alias("split"))
+    trend = spark.range(1000).select(F.lit(2.0).alias("next_month_spend"), F.lit("val").alias("split"))
+    sizes = P.set_sizes(text, trend)
+    row = sizes.first()
+    assert (row.text_train, row.trend_val, row.amount_median, row.target_std) == (10, 1000, 6.75, 0.0)
+    issues = {r.rule: r.passed for r in P.quality_issues(sizes, P.SIZE_RULES).collect()}
+    assert issues == {"trend rows": True, "text rows": False}
