@@ -103,7 +103,7 @@ ORACLES: dict[str, str] = {
             FROM documents
         ), t AS (
             SELECT doc_id, i, line,
-                   list_sort(list_distinct(list_filter(string_split_regex(line, '[ \t\x0B\f\r]+'), x -> x <> ''))) AS ws
+                   list_sort(list_distinct(list_filter(string_split_regex(line, '[ \t\x0B\f\r]+'), lambda x: x <> ''))) AS ws
             FROM l
         ), c AS (
             SELECT ws, len(ws) AS n, min({'d': doc_id, 'i': i}) AS f FROM t WHERE len(ws) > 0 GROUP BY ws
@@ -125,11 +125,11 @@ ORACLES: dict[str, str] = {
     """,
     "op7_exact_top_k": """
         WITH v AS (
-            SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
-            FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+            FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ), s AS (
             SELECT a.vec_id AS query_id, b.vec_id,
-                   CAST(list_sum(list_transform(list_zip(a.q, b.q), z -> z[1] * z[2])) AS BIGINT) AS score
+                   CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS BIGINT) AS score
             FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id
         )
         SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
