@@ -110,8 +110,8 @@ ORACLES: dict[str, str] = {
         ), w AS (SELECT f, n, unnest(ws) AS word FROM c), r AS (SELECT word, count(*) AS m FROM w GROUP BY word),
         p AS (
             SELECT f, n, word FROM (
-                SELECT w.f, w.n, w.word, row_number() OVER (PARTITION BY w.f ORDER BY r.m, w.word) AS at FROM w JOIN r USING (word)
-            ) WHERE at <= n - ceil(n * 0.9) + 1
+                SELECT w.f, w.n, w.word, row_number() OVER (PARTITION BY w.f ORDER BY r.m, w.word) AS nth FROM w JOIN r USING (word)
+            ) WHERE nth <= n - ceil(n * 0.9) + 1
         ), pairs AS (
             SELECT DISTINCT a.f AS af, b.f AS bf FROM p a JOIN p b ON a.word = b.word AND a.f < b.f
             WHERE 10 * least(a.n, b.n) >= 9 * greatest(a.n, b.n)
