@@ -11,7 +11,7 @@ meets in some table with probability (1 - (1 - s**ROWS)**TENSOR)**2: 0.9985 at 0
    components, all members outside its largest component are compared with the members of other components,
    ``PIVOTS`` of them a round, so a round writes at most PIVOTS rows per bucket row. Rounds go on
    until all are done; no pair of a bucket that could matter is left out, and no bucket is expanded whole.
-4. Pairs are confirmed on the full sets of both texts.
+4. Pairs that sizes and parity maps leave (both exact bounds) are confirmed on the full sets of both texts.
 """
 
 from __future__ import annotations
@@ -28,6 +28,9 @@ TENSOR = 10
 ROWS = 3
 PERCENT = 80
 PIVOTS = 32
+#: Parity maps of 64 bits each per set: differing bits cannot outnumber differing shingles.
+MAPS = 4
+_MAPS = tuple(f"map{j}" for j in range(MAPS))
 _SEEDS = mix(np.arange(1, 2 * 64 * 8 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -83,11 +86,14 @@ def _sign(batches: Iterator[pa.RecordBatch], width: int, tensor: int, rows_each:
         for j, salt in enumerate((np.uint64(0x1B873593CC9E2D51), np.uint64(0x52DCE729E6546B64))):
             np.add.at(sums[j], row, mix(value ^ salt))
         groups = signatures(row, value, n, tensor, rows_each)
+        parity = np.zeros(n * MAPS, np.uint64)
+        np.bitwise_xor.at(parity, row * MAPS + ((value >> np.uint64(6)) % np.uint64(MAPS)).astype(np.int64), np.uint64(1) << (value & np.uint64(63)))
+        parity = parity.view(np.int64).reshape(n, MAPS)
         ends = np.arange(n + 1, dtype=np.int32) * (2 * tensor)
         yield pa.RecordBatch.from_arrays(
             [rows.column("doc_id").cast(pa.int64()), pa.array(size.astype(np.int64)), pa.array(sums[0].view(np.int64)),
-             pa.array(sums[1].view(np.int64)), pa.ListArray.from_arrays(ends, groups.ravel())],
-            names=["doc_id", "n_shingles", "s1", "s2", "groups"],
+             pa.array(sums[1].view(np.int64)), pa.ListArray.from_arrays(ends, groups.ravel()), *[pa.array(parity[:, j]) for j in range(MAPS)]],
+            names=["doc_id", "n_shingles", "s1", "s2", "groups", *_MAPS],
         )
 
 
@@ -136,19 +142,19 @@ def near_duplicates(
 
     A set holds the distinct ``width``-word shingles, A-Z lowered; a text of fewer words is one shingle; a null
     text or one without words has no shingle and links with nothing (its component is its own id). Documents
-    link from ``percent`` percent Jaccard on. Rows with one id are one node. A null id has no component and is
+    link from ``percent`` percent Jaccard on. Rows with one id are one node, compared by one of their texts. A null id has no component and is
     kept. Extra columns are not read; an empty table gives an empty one.
     """
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = staged(
         read.mapInArrow(
-            lambda it: _sign(it, width, tensor, rows), "doc_id long, n_shingles long, s1 long, s2 long, groups array<long>"
+            lambda it: _sign(it, width, tensor, rows), "doc_id long, n_shingles long, s1 long, s2 long, groups array<long>, " + ", ".join(f"{m} long" for m in _MAPS)
         ),
         "near-signs",
     )
     some = signed.where("n_shingles > 0 and doc_id is not null")
     classes = staged(
-        some.groupBy("s1", "s2", "n_shingles", "groups").agg(F.min("doc_id").alias("id"), F.max("doc_id").alias("top")), "near-classes"
+        some.groupBy("s1", "s2", "n_shingles", "groups", *_MAPS).agg(F.min("doc_id").alias("id"), F.max("doc_id").alias("top")), "near-classes"
     )
     # A set of n shingles can match another one only if n / (n + 1) reaches the similarity.
     able = classes.where(F.expr(f"100 * n_shingles >= {percent} * (n_shingles + 1)"))
@@ -161,13 +167,21 @@ def near_duplicates(
     members = staged(keyed.join(shared, "key"), "near-members")  # rows of buckets of two classes or more
     ids = members.select("id").distinct()
     texts = staged(read.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "near-texts")
-    sizes = classes.select("id", "n_shingles")
+    facts = classes.select("id", F.col("n_shingles").alias("n"), *_MAPS)
+
+    def fits(x: str, y: str) -> str:
+        """What size and parity maps allow; exact, no link is lost."""
+        differ = " + ".join(f"bit_count({x}.{m} ^ {y}.{m})" for m in _MAPS)
+        return (
+            f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n)"
+            f" and {100 + percent} * ({differ}) <= {100 - percent} * ({x}.n + {y}.n)"
+        )
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b), a < b, those that link; first by size alone, then on the full sets."""
-        one = sizes.select(F.col("id").alias("a"), F.col("n_shingles").alias("n_a"))
-        two = sizes.select(F.col("id").alias("b"), F.col("n_shingles").alias("n_b"))
-        fit = pairs.join(one, "a").join(two, "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+        """Of pairs (a, b), a < b, those that link; first by size and parity maps, then on the full sets."""
+        one = pairs.join(facts.withColumnRenamed("id", "a"), "a").alias("x")
+        two = facts.withColumnRenamed("id", "b0").alias("y")
+        fit = one.join(two, F.expr(f"x.b = y.b0 and {fits('x', 'y')}")).select("x.a", "x.b")
         left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
         right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
         both = fit.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
@@ -179,15 +193,16 @@ def near_duplicates(
     # Buckets that still span components: members outside the largest one become pivots, by turns.
     placed = members.select("key", "id").join(comps, "id")
     spread = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-    open_ = staged(placed.join(spread, "key"), "near-open")
+    open_ = staged(placed.join(spread, "key").join(facts, "id"), "near-open")
     largest = open_.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m"))
     outside = open_.join(largest.select("key", F.col("m.comp").alias("main")), "key").where("comp <> main")
     turn = F.row_number().over(Window.partitionBy("key").orderBy("id"))
-    outside = staged(outside.select("key", F.col("id").alias("p"), F.col("comp").alias("p_comp"), F.floor((turn - 1) / PIVOTS).alias("turn")), "near-pivots")
+    outside = staged(outside.withColumn("turn", F.floor((turn - 1) / PIVOTS)).drop("main"), "near-pivots")
     turns = outside.agg(F.max("turn")).first()[0]
     for now in range(0 if turns is None else turns + 1):
-        pivots = outside.where(F.col("turn") == now)
-        pairs = open_.join(pivots, "key").where("comp <> p_comp").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
+        x, y = outside.where(F.col("turn") == now).alias("x"), open_.alias("y")
+        pairs = x.join(y, F.expr(f"x.key = y.key and x.comp <> y.comp and {fits('x', 'y')}"))
+        pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
         fresh = staged(pairs.join(tested, ["a", "b"], "left_anti"), "near-tested")
         links = links.unionByName(confirmed(fresh))
         tested = tested.unionByName(fresh)
@@ -199,7 +214,7 @@ def near_duplicates(
     extra = tied.join(clash.withColumnRenamed("doc_id", "b"), "b", "left_semi").select("a", "b")
     final = components(classes.select("id").distinct(), links.unionByName(extra), "near-final")
     named = classes.select("s1", "s2", "n_shingles", "id").join(final, "id").select("s1", "s2", "n_shingles", "comp")
-    out = signed.drop("groups").join(named, ["s1", "s2", "n_shingles"], "left")
+    out = signed.drop("groups", *_MAPS).join(named, ["s1", "s2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("comp")).otherwise(F.col("doc_id")))
     return out.select(
         "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")
