@@ -197,7 +197,7 @@ def remove_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     )
     keys = rows.mapInArrow(lambda it: _keys(it, window), "k long, doc_id long, key long")
     again = keys.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key")
-    candidates = keys.select("k", "key").join(again, "key").groupBy("k").agg(F.collect_set("key").alias("keys"))
+    candidates = staged(keys.select("k", "key").join(again, "key").groupBy("k").agg(F.collect_set("key").alias("keys")), "passage-keys")
     texts = staged(
         rows.join(candidates, "k", "left").mapInArrow(_texts, "doc_id long, k long, n_words long, sha string, text string, keys array<long>"),
         "passage-texts",

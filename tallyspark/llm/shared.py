@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import gc
 import itertools
 import uuid
 from collections.abc import Callable, Iterator
@@ -27,9 +28,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts the lineage and survives lost executors."""
+    """Write to the shared folder and read back: cuts the lineage and survives lost executors.
+
+    What led to the table is not needed again, so the driver is asked to collect its garbage: Spark deletes
+    shuffle files once nothing refers to them.
+    """
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -234,7 +234,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
     )
     keys = rows.select("k", "text").mapInArrow(lambda it: _keys(it, length), "k long, key long, n long")
     again = keys.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
-    candidates = keys.select("k", "key").join(again, "key").groupBy("k").agg(F.collect_set("key").alias("keys"))
+    candidates = staged(keys.select("k", "key").join(again, "key").groupBy("k").agg(F.collect_set("key").alias("keys")), "suffix-keys")
     bare = F.col("keys").isNull()
     texts = staged(
         rows.join(candidates, "k", "left").select(
