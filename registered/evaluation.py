@@ -119,11 +119,9 @@ def single_label_report(t):
 
 
 @query("confusion_matrix", "V9", """
-select truth, guess, count(*) as n from pairs where truth in (select l from shown) and guess in (select l from shown)
-group by all""".replace("(select l from shown)", "(select l from (select truth as l from pairs union select guess from pairs) order by l limit 20)"),
-       ("pairs",))
+select truth, guess, count(*) as n from pairs group by all""", ("pairs",))
 def confusion_matrix(t):
-    return E.confusion(E.primary_labels(t.predictions), max_classes=20)
+    return E.confusion(E.primary_labels(t.predictions))
 
 
 @query("regression_metrics", "V10", """
@@ -192,7 +190,9 @@ def drift_bins(t):
     return counts.select("feature", *[F.array_join(c, ",").alias(c) for c in ("ref_counts", "cur_counts")])
 
 
-@query("drift_report", "D1 D2 T7", "select *, psi > 0.2 as alert, psi > 0.25 as retrain from psi where n_ref >= 10 and n_cur >= 10",
+@query("drift_report", "D1 D2 T7", """
+select feature, n_ref, n_cur, case when ok then psi end as psi, ok as enough_values, ok and psi > 0.2 as alert,
+  ok and psi > 0.25 as retrain from (select *, n_ref >= 10 and n_cur >= 10 as ok from psi)""",
        ("psi",))
 def drift_report(t):
     return D.by_drift(D.drift_report(*drift_sides(t), FEATURES)).withColumn("psi", F.round("psi", 9))

@@ -27,7 +27,7 @@ TWINS.update(
 select 'p' || feedback_id as source_id, '' as description,
   case when feedback_type = 'override' then actual_category else predicted_category end as category, amount,
   'USD' as currency, 'US' as country, case when feedback_type = 'override' then 1.0 else 0.3 end::double as sample_weight,
-  'production' as data_source from feedback_text where feedback_type = 'override' or feedback_id % 4 = 0"""),
+  'production' as data_source from feedback_text"""),
         "external_rows": ((), """
 select 'x' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey as source_id,
   p_name as description, p_brand as category, l_extendedprice as amount, 'USD' as currency, 'US' as country
@@ -42,9 +42,7 @@ where r <= (select floor(count(*)::double * 0.5::double / 0.5::double) from prod
 
 
 def production_feedback(t):
-    return t.feedback_text.where("feedback_type = 'override' or feedback_id % 4 = 0").withColumn(
-        "source_id", F.concat(F.lit("p"), "feedback_id")
-    )
+    return t.feedback_text.withColumn("source_id", F.concat(F.lit("p"), "feedback_id"))
 
 
 def external(t):

@@ -21,12 +21,12 @@ LEDGER_COLUMNS = T.StructType([
 
 
 @query("read_table_columns", "S1 S2 P1", """
-select l_orderkey, l_linenumber, l_extendedprice from lineitem where l_extendedprice > 90000""")
+select l_orderkey, l_linenumber, l_extendedprice from lineitem where l_extendedprice > 0""")
 def read_table_columns(t):
     lines = TB.read_table(
         t.spark, t.path("lineitem"), LEDGER_COLUMNS, required=["l_orderkey", "l_linenumber", "l_extendedprice"]
     )
-    return lines.where("l_extendedprice > 90000").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return lines.where("l_extendedprice > 0").select("l_orderkey", "l_linenumber", "l_extendedprice")
 
 
 _LEDGER = """

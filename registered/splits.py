@@ -91,7 +91,7 @@ def fallback_splits(t):
 select {", ".join(_ALL)}, split from (
   select *, row_number() over (partition by split order by {_hash(*_LINE)}, {", ".join(_ALL)}) as r
   from (select *, {_BY_HASH} as split from line_ranks))
-where r <= case split when 'train' then 5000 else greatest(1000, 5000 // 8) end""", ("line_ranks",))
+where split <> 'train' or r <= 5000""", ("line_ranks",))
 def capped_sample(t):
     split = staged(SP.split_by_hash(lines(t), _LINE), "split")
     return SP.cap_sample(split, 5000, _LINE)

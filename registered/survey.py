@@ -45,11 +45,11 @@ TWINS.update(
         "pools": ((), _values([(*k.split("|"), v) for k, v in _POOLS.items()], "c, g, pool")),
         "states": ((), _values(list(fixed.STATES.items()), "g, states")),
         "cities": ((), _values(list(fixed.CITIES.items()), "st, cities")),
-        "codes": (("sampled", "items", "hg", "prefixes"), """
+        "codes": (("latest", "items", "hg", "prefixes"), """
 select i.NEWID as persona_id, coalesce(p.name, 'Miscellaneous') as major_category,
   make_date(i.REFYR, i.REFMO, 1) as period, i.u as ucc, coalesce(h.title, 'Unknown Item') as item_name,
   round(coalesce(try_cast(i.COST as double), 0) * 100)::bigint as c
-from (select *, lpad(trim(UCC), 6, '0') as u from items where NEWID in (select NEWID from sampled)) i
+from (select *, lpad(trim(UCC), 6, '0') as u from items where NEWID in (select NEWID from latest)) i
 left join (select ucc, max(title) as title from hg group by ucc) h on i.u = h.ucc
 left join prefixes p on p.prefix = substr(i.u, 1, 2)"""),
         "totals": (("codes",), """
@@ -77,7 +77,7 @@ select persona_id, major_category, period, part, amount, list_sort(list_distinct
   case when insured then ['Insurance'] else [] end, case when medical then ['Healthcare', 'Medical'] else [] end)))
   as categories
 from txn left join related on c = major_category"""),
-        "described": (("txn", "sampled", "pools", "states", "cities"), f"""
+        "described": (("txn", "latest", "pools", "states", "cities"), f"""
 select persona_id, major_category, period, part, region, upper(case {_index("3", "42l")}
     when 0 then merchant || ' ' || number || ' ' || city || ' ' || state
     when 1 then merchant || ' ' || number || ' ' || state else merchant || ' ' || city || ' ' || state end) as description
@@ -90,7 +90,7 @@ from (select *, coalesce(cities, ['ANYTOWN']) as cs,
     from (select *, list_transform(list_sort(list_transform(pool, lambda m: md5('42p|' || persona_id || '|' || major_category
         || '|' || m) || '|' || m))[1:3], lambda s: substr(s, 34)) as chosen
       from (select x.*, coalesce(case REGION when 1 then 'Northeast' when 2 then 'Midwest' when 3 then 'South'
-          when 4 then 'West' end, 'Midwest') as region from txn x left join sampled s on s.NEWID = x.persona_id)
+          when 4 then 'West' end, 'Midwest') as region from txn x left join latest s on s.NEWID = x.persona_id)
       join pools on pools.c = major_category and pools.g = region
       join states on states.g = region))
   left join cities on cities.st = state)"""),
@@ -98,12 +98,13 @@ from (select *, coalesce(cities, ['ANYTOWN']) as cs,
 )
 
 
-def sampled(t):
-    return S.sample_units(S.latest_units(t.units, ["quarter"]))
+def everyone(t):
+    """Every unit once, by its latest record."""
+    return S.named_units(S.latest_units(t.units, ["quarter"]))
 
 
 def totals(t):
-    return S.period_totals(t.items, sampled(t), t.hierarchy)
+    return S.period_totals(t.items, everyone(t), t.hierarchy)
 
 
 def txn(t):
@@ -126,7 +127,7 @@ def latest_units(t):
 
 @query("weighted_unit_sample", "M1 P5", "select NEWID, FINLWT21, REGION as region from sampled", ("sampled",))
 def weighted_unit_sample(t):
-    return sampled(t).select("NEWID", "FINLWT21", "region")
+    return S.sample_units(S.latest_units(t.units, ["quarter"])).select("NEWID", "FINLWT21", "region")
 
 
 @query("uniform_unit_sample", "M1", """
@@ -176,7 +177,7 @@ def labels_by_subcategory(t):
 @query("merchant_descriptions", "J12 J21 E3", """
 select persona_id, major_category, period, part, region, description from described""", ("described",))
 def merchant_descriptions(t):
-    return M.assign_merchants(txn(t), sampled(t)).select(
+    return M.assign_merchants(txn(t), everyone(t)).select(
         "persona_id", "major_category", "period", "part", "region", "description"
     )
 
@@ -197,7 +198,7 @@ from (select *, count(*) over () as n, row_number() over (order by ('0x' || subs
     major_category, period::varchar, part::varchar)), 1, 13))::bigint) - 1 as pos from described) x
 join labelled l using (persona_id, major_category, period, part)""", ("described", "labelled"))
 def text_training_set(t):
-    described = M.assign_merchants(txn(t), sampled(t))
+    described = M.assign_merchants(txn(t), everyone(t))
     full = L.assign_labels(described, F.transform("items", lambda i: i["item_name"]))
     slim = staged(
         full.select("persona_id", "major_category", "period", "part", "description", "categories", "amount"), "txn"
@@ -219,9 +220,10 @@ def label_universe(t):
 
 
 @query("binarised_labels", "ML4", """
-select persona_id, major_category, period, part, array_to_string(list_transform(
-  (select list(label order by label) from (select distinct unnest(categories) as label from labelled)),
-  lambda c: case when list_contains(categories, c) then 1 else 0 end), ',') as target from labelled""", ("labelled",))
+select persona_id, major_category, period, part, array_to_string(list_transform(classes,
+  lambda c: case when list_contains(categories, c) then 1 else 0 end), ',') as target
+from labelled cross join (select list(label order by label) as classes from (
+  select distinct unnest(categories) as label from labelled))""", ("labelled",))
 def binarised_labels(t):
     rows = labelled(t)
     return joined(L.binarise(rows, L.label_universe(rows).scalar()), "target").select(

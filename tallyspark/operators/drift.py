@@ -99,11 +99,11 @@ def psi(reference: DataFrame, current: DataFrame, features: Sequence[str], bins:
 
 
 def drift_report(reference: DataFrame, current: DataFrame, features: Sequence[str], bins: int = 10) -> DataFrame:
-    """PSI per feature with alert and retrain flags; features with under 10 values are left out."""
-    return (
-        psi(reference, current, features, bins)
-        .where((F.col("n_ref") >= MIN_VALUES) & (F.col("n_cur") >= MIN_VALUES))
-        .withColumns({"alert": F.col("psi") > ALERT, "retrain": F.col("psi") > RETRAIN})
+    """PSI per feature with alert and retrain flags; with under 10 values on a side there is no PSI and no flag."""
+    enough = (F.col("n_ref") >= MIN_VALUES) & (F.col("n_cur") >= MIN_VALUES)
+    return psi(reference, current, features, bins).select(
+        "feature", "n_ref", "n_cur", F.when(enough, F.col("psi")).alias("psi"), enough.alias("enough_values"),
+        (enough & (F.col("psi") > ALERT)).alias("alert"), (enough & (F.col("psi") > RETRAIN)).alias("retrain"),
     )
 
 
@@ -122,7 +122,7 @@ def drift_summary(report: DataFrame) -> DataFrame:
 
 def by_drift(report: DataFrame) -> DataFrame:
     """Largest PSI first."""
-    return report.orderBy(F.desc("psi"), "feature")
+    return report.orderBy(F.desc_nulls_last("psi"), "feature")
 
 
 def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:

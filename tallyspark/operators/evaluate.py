@@ -98,15 +98,9 @@ def primary_labels(predictions: DataFrame) -> DataFrame:
     ).where(F.col("truth").isNotNull())
 
 
-def confusion(pairs: DataFrame, max_classes: int | None = None) -> DataFrame:
-    """(truth, guess, n). ``max_classes`` keeps the first true classes by name, as a matrix shows."""
-    counts = pairs.groupBy("truth", "guess").agg(F.count(F.lit(1)).alias("n"))
-    if max_classes is None:
-        return counts
-    shown = counts.select(F.explode(F.array("truth", "guess")).alias("label")).distinct().orderBy("label").limit(max_classes)
-    return counts.join(shown.withColumnRenamed("label", "truth"), "truth", "left_semi").join(
-        shown.withColumnRenamed("label", "guess"), "guess", "left_semi"
-    )
+def confusion(pairs: DataFrame) -> DataFrame:
+    """(truth, guess, n) of all classes."""
+    return pairs.groupBy("truth", "guess").agg(F.count(F.lit(1)).alias("n"))
 
 
 def single_label_report(pairs: DataFrame) -> DataFrame:

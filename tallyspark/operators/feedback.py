@@ -70,7 +70,8 @@ def expected_signals(feedback: DataFrame) -> DataFrame:
     that is ``0.7**n t + shift``. Signals are folded per hour first and the hours then chained, so
     a pair with very many signals is spread over its hours.
     """
-    amount = F.coalesce("actual_spend", "predicted_spend") if "predicted_spend" in feedback.columns else F.col("actual_spend")
+    # The prediction stands in only where the table has no actual spend at all; a null one is no signal.
+    amount = F.col("actual_spend" if "actual_spend" in feedback.columns else "predicted_spend")
     signals = feedback.where(F.col("feedback_type") == "expected").select(
         F.col("user_id").cast("string").alias("user_id"),
         F.col("category_name").alias("category"),

@@ -24,9 +24,9 @@ def unit_regions(units: DataFrame) -> DataFrame:
 
 
 def merchant_pools(merchants: Mapping[str, Mapping[str, list[str]]] = fixed.MERCHANTS) -> dict[str, list[str]]:
-    """"category|region" to the sorted distinct merchants: the region's own and those of any."""
+    """"category|region" to the sorted distinct merchants: the region's own and the default ones."""
     return {
-        f"{category}|{region}": sorted({*pool.get(region, pool.get("any", [])), *pool.get("any", [])})
+        f"{category}|{region}": sorted({*pool.get(region, pool.get("default", [])), *pool.get("default", [])})
         or [NO_MERCHANT]
         for category, pool in merchants.items()
         for region in fixed.REGIONS.values()

@@ -62,14 +62,9 @@ def part(df: DataFrame, split: str) -> DataFrame:
 
 
 def cap_sample(df: DataFrame, max_rows: int, key: Sequence[str] = (), seed: int = 42) -> DataFrame:
-    """At most ``max_rows`` train rows and ``max(1000, max_rows // 8)`` of val and of test."""
-    others = max(1000, max_rows // 8)
-    caps = {"train": max_rows, "val": others, "test": others}
-    parts = [
-        first_k(part(df, name), lambda n, cap=cap: F.least(F.lit(cap), n), key=key, seed=seed)
-        for name, cap in caps.items()
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """At most ``max_rows`` train rows, a bound on what a model is fitted on; val and test stay whole."""
+    train = first_k(part(df, "train"), lambda n: F.least(F.lit(max_rows), n), key=key, seed=seed)
+    return train.unionByName(df.where(F.col("split") != "train"))
 
 
 def sample_rows(df: DataFrame, n: int = 50, key: Sequence[str] = (), seed: int = 42) -> DataFrame:

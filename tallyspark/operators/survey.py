@@ -12,6 +12,7 @@ from ..functions.money import dollars
 from ..functions.order import first_k
 from ..sources.tables import require_columns
 
+# Input columns of the survey and what they are called here.
 DEMOGRAPHICS = {
     "FINCBTXM": "income", "FAM_SIZE": "family_size", "AGE_REF": "age", "REGION": "region",
     "CUTENURE": "housing_tenure",
@@ -23,6 +24,8 @@ OTHER_CATEGORY = "Miscellaneous"
 def latest_units(units: DataFrame, order: Sequence[str]) -> DataFrame:
     """One record per NEWID: the last by ``order``. An aggregate, so it combines map-side."""
     others = [c for c in units.columns if c != "NEWID"]
+    # Records of one quarter are told apart by their contents.
+    order = [*order, *(c for c in others if c not in order)]
     return (
         require_columns(units, ["NEWID"])
         .groupBy(F.col("NEWID").cast("string").alias("NEWID"))
@@ -59,7 +62,12 @@ def sample_units(units: DataFrame, n: int = 750, weight: str = "FINLWT21", seed:
             .limit(n)
             .drop("_key", "_w")
         )
-    return sampled.withColumnsRenamed({k: v for k, v in DEMOGRAPHICS.items() if k in units.columns})
+    return named_units(sampled)
+
+
+def named_units(units: DataFrame) -> DataFrame:
+    """Demographics renamed; all units stay."""
+    return units.withColumnsRenamed({k: v for k, v in DEMOGRAPHICS.items() if k in units.columns})
 
 
 def item_names(hierarchy: DataFrame) -> DataFrame:
@@ -80,7 +88,7 @@ def major_category(ucc) -> F.Column:
 
 
 def period_totals(items: DataFrame, units: DataFrame, hierarchy: DataFrame) -> DataFrame:
-    """Positive totals per (persona_id, major_category, period) of the sampled units.
+    """Positive totals per (persona_id, major_category, period) of the given units.
 
     ``items`` is an array of (ucc, item_name, n): every code once with its count, so the array is
     bounded by the code list however many rows a group has. Costs that do not parse are 0.

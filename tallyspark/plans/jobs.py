@@ -50,9 +50,15 @@ def survey_ledger(txn: DataFrame) -> DataFrame:
     )
 
 
-def survey_transactions(units: DataFrame, items: DataFrame, hierarchy: DataFrame, n: int = 750, seed: int = 42) -> DataFrame:
-    """Survey tables to labelled, described transactions."""
-    sampled = S.sample_units(units, n, seed=seed)
+def survey_transactions(
+    units: DataFrame, items: DataFrame, hierarchy: DataFrame, n: int | None = None, seed: int = 42, order: Sequence[str] = ("quarter",)
+) -> DataFrame:
+    """Survey tables to labelled, described transactions of all units, or of a weighted sample of ``n``.
+
+    A unit counts once, by its latest record.
+    """
+    latest = S.latest_units(units, [c for c in order if c in units.columns])
+    sampled = S.named_units(latest) if n is None else S.sample_units(latest, n, seed=seed)
     totals = S.period_totals(items, sampled, hierarchy)
     txn = S.disaggregate(totals, seed=seed)
     described = assign_merchants(txn, sampled, seed=seed)
@@ -60,7 +66,7 @@ def survey_transactions(units: DataFrame, items: DataFrame, hierarchy: DataFrame
 
 
 def survey_sets(
-    spark: SparkSession, units: DataFrame, items: DataFrame, hierarchy: DataFrame, out: str, n: int = 750, seed: int = 42
+    spark: SparkSession, units: DataFrame, items: DataFrame, hierarchy: DataFrame, out: str, n: int | None = None, seed: int = 42
 ) -> dict[str, DataFrame]:
     """The survey job: text set, trend set, report and issues, written below ``out``."""
     txn = staged(survey_transactions(units, items, hierarchy, n, seed), "txn", f"{out}/txn.parquet")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -88,10 +86,9 @@ def write_table(
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of ``spark.checkpoint.dir``; a local one only if unset."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    base = shared if shared else tempfile.mkdtemp(prefix="run-")
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+    """A new path in ``spark.checkpoint.dir``, or below the warehouse if that is unset; all executors share both."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_staging"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
