@@ -20,6 +20,7 @@ from .shared import partitions, staged
 SCALE = 64
 QUERY_ROWS = 1024
 BLOCK_ROWS = 2048
+CACHED_ROWS = 32
 K = 20
 
 
@@ -59,18 +60,31 @@ def _table(row: dict, side: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def block_scores(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
-    """Dense scores of a candidate block for all query rows, one term (dimension) at a time."""
-    scores = np.zeros((len(queries), len(candidates)), np.int64)
-    for term in range(min(queries.shape[1], candidates.shape[1])):
-        asking = np.flatnonzero(queries[:, term])
-        posted = np.flatnonzero(candidates[:, term])
-        if asking.size == 0 or posted.size == 0:
-            continue
-        weights = queries[asking, term][:, None] * candidates[posted, term]
-        if asking.size == len(queries) and posted.size == len(candidates):
-            scores += weights
-        else:
-            scores[np.ix_(asking, posted)] += weights
+    """Dense scores of a candidate block for all query rows, one term (dimension) at a time.
+
+    Query rows go in groups whose scores fit a core's cache; a posting list that holds most of the block is
+    added as a whole column. Scores are 32 bit wherever no sum can overflow.
+    """
+    width = min(queries.shape[1], candidates.shape[1])
+    queries, candidates = queries[:, :width], candidates[:, :width]
+    bound = width * int(np.abs(queries).max(initial=0)) * int(np.abs(candidates).max(initial=0))
+    kind = np.int32 if bound < 2**31 else np.int64
+    columns = np.ascontiguousarray(candidates.T.astype(kind))
+    postings = [np.flatnonzero(c) for c in columns]
+    queries = queries.astype(kind)
+    scores = np.zeros((len(queries), len(candidates)), kind)
+    part = np.zeros((CACHED_ROWS, len(candidates)), kind)
+    for at in range(0, len(queries), CACHED_ROWS):
+        rows = scores[at : at + CACHED_ROWS]
+        some = part[: len(rows)]
+        for term, posted in enumerate(postings):
+            weight = queries[at : at + CACHED_ROWS, term]
+            if 2 * posted.size > len(candidates):
+                np.multiply(weight[:, None], columns[term], out=some)
+                rows += some
+            elif posted.size:
+                for j in np.flatnonzero(weight):
+                    rows[j, posted] += weight[j] * columns[term, posted]
     return scores
 
 
