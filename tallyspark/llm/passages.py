@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import anchored_runs, gram_hashes, partitions, slices, span_hashes, staged, text_bytes, word_spans
+from .shared import Staging, anchored_runs, gram_hashes, partitions, slices, span_hashes, text_bytes, word_spans
 
 WINDOW = 13
 GRAM = 4
@@ -197,11 +197,13 @@ def remove_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     )
     keys = rows.mapInArrow(lambda it: _keys(it, window), "k long, doc_id long, key long")
     again = keys.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key")
-    candidates = staged(keys.select("k", "key").join(again, "key").groupBy("k").agg(F.collect_set("key").alias("keys")), "passage-keys")
-    texts = staged(
+    stage = Staging(spark)
+    candidates = stage.table(keys.select("k", "key").join(again, "key").groupBy("k").agg(F.collect_set("key").alias("keys")), "passage-keys")
+    texts = stage.table(
         rows.join(candidates, "k", "left").mapInArrow(_texts, "doc_id long, k long, n_words long, sha string, text string, keys array<long>"),
         "passage-texts",
     )
+    stage.drop("passage-keys")
     stretches = texts.where("keys is not null and doc_id is not null").select("k", "doc_id", "text", "keys").mapInArrow(
         lambda it: _stretches(it, window), "k long, doc_id long, word long, key long, body string"
     )
@@ -209,11 +211,14 @@ def remove_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     found = distinct.repartition(2 * partitions(spark), "key").sortWithinPartitions("key").mapInArrow(
         lambda it: _shard(it, window, STRETCHES), "body_id binary, smallest array<long>"
     )
+    # Written tables, so that the shuffled stretches are gone before texts are shuffled again.
+    found = stage.table(found, "passage-found")
     places = stretches.select("k", "doc_id", "word", F.unhex(F.md5("body")).alias("body_id"))
     hits = places.join(found, "body_id").select(
         "k", F.expr("filter(transform(smallest, (x, i) -> if(x < doc_id, word + i, null)), x -> x is not null)").alias("words")
     )
-    gone = hits.where(F.size("words") > 0).groupBy("k").agg(F.collect_list("words").alias("words"))
+    gone = stage.table(hits.where(F.size("words") > 0).groupBy("k").agg(F.collect_list("words").alias("words")), "passage-gone")
+    stage.drop("passage-found")
     return texts.drop("keys").join(gone, "k", "left").mapInArrow(
         lambda it: _finish(it, window), "doc_id long, n_words long, n_removed long, kept_sha256 string"
     )

@@ -20,6 +20,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[list(SPACES)] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
 _M64 = (1 << 64) - 1
+#: Spark's setting to delete shuffle files when an execution ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,14 +32,37 @@ def shared_folder(spark: SparkSession) -> str:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage and survives lost executors.
 
-    What led to the table is not needed again, so the driver is asked to collect its garbage: Spark deletes
-    shuffle files once nothing refers to them.
+    What led to the table is not needed again: Spark deletes the shuffle files of the write as it ends, and the
+    driver is asked to collect its garbage, which frees those of earlier jobs.
     """
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return Staging(df.sparkSession).table(df, name)
+
+
+class Staging:
+    """Written tables of one job. A table that no later step reads can be dropped before the job ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[str, str] = {}
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{shared_folder(self.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        before = self.spark.conf.get(_CLEANUP)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+        self.paths[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Delete tables whose readers have all been written."""
+        for name in names:
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
+            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:
