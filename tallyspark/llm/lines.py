@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import staged
+from .shared import Staging
 
 PERCENT = 90
 BUCKETS = 1 << 16
@@ -29,8 +29,9 @@ _PARITY = "aggregate(c, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63 as int)))"
 
 def rarity(docs: DataFrame) -> Column:
     """Levels 0 (rare) to 31 of the hash buckets of words, as a constant array of bounded size."""
-    words = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), "[ \\t\\n\\x0B\\f\\r]+")).alias("w"))
-    counts = words.groupBy(F.xxhash64("w").bitwiseAND(BUCKETS - 1).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    text = F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" "))
+    words = docs.select(F.explode(F.split(_even(text), " ")).alias("w"))
+    counts = words.where("w <> ''").groupBy(F.xxhash64("w").bitwiseAND(BUCKETS - 1).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n"))
     level = F.least(F.lit(31), F.floor(F.log2("n"))).cast("int")
     levels = ["0"] * BUCKETS
     for b, n in counts.select("b", level).collect():  # at most BUCKETS rows
@@ -38,23 +39,30 @@ def rarity(docs: DataFrame) -> Column:
     return F.split(F.lit(",".join(levels)), ",").cast("array<int>")
 
 
+def _even(text: Column) -> Column:
+    """Other white space becomes a space, as cutting at one character is much cheaper than at a pattern."""
+    return F.when(text.rlike("[\\t\\x0B\\f\\r]"), F.regexp_replace(text, _SPACES, " ")).otherwise(text)
+
+
+def has_word(line: Column) -> Column:
+    return line.rlike("[^ \\t\\x0B\\f\\r]")
+
+
 def word_codes(line: Column, levels: Column) -> Column:
     """The distinct words of a line as sorted longs: rarity level, then 58 bits of the word's hash."""
-    # Cutting at one character is much cheaper than at a pattern, so other white space becomes a space first.
-    even = F.when(line.rlike("[\\t\\x0B\\f\\r]"), F.regexp_replace(line, _SPACES, " ")).otherwise(line)
-    words = F.array_remove(F.split(even, " "), "")
-    hashes = F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
+    words = F.array_remove(F.split(_even(line), " "), "")
     code = lambda h: F.shiftleft(
         F.element_at(levels, h.bitwiseAND(BUCKETS - 1).cast("int") + 1).cast("long"), 58
     ) + F.shiftrightunsigned(h, 6)
-    return F.sort_array(F.transform(hashes, code))
+    return F.sort_array(F.array_distinct(F.transform(words, lambda w: code(F.xxhash64(w)))))
 
 
 def _classes(docs: DataFrame, levels: Column, percent: int) -> DataFrame:
     """One row per distinct set: first document and line, size, parity map, and prefix (null for sets too small
     to match another one)."""
-    lines = docs.select("d", F.posexplode(F.split("text", "\n")).alias("l", "line")).select("d", "l", word_codes(F.col("line"), levels).alias("c"))
-    lines = lines.where(F.size("c") > 0)
+    lines = docs.select("d", F.posexplode(F.split("text", "\n")).alias("l", "line")).where(has_word(F.col("line")))
+    # A filter on the codes would be pushed below them, and so compute them twice.
+    lines = lines.select("d", "l", word_codes(F.col("line"), levels).alias("c"))
     n = F.size("c")
     prefix = F.when(100 * n >= percent * (n + 1), F.slice("c", 1, n - F.ceil(n * percent / 100).cast("int") + 1))
     rows = lines.select("d", "l", F.xxhash64("c").alias("s1"), F.hash("c").alias("s2"), n.alias("n"), F.expr(_PARITY).alias("map"), prefix.alias("prefix"))
@@ -102,35 +110,41 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     place = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST))
     rows = docs.select(place.alias("d"), F.coalesce("text", F.lit("")).alias("text"))
     levels = rarity(docs)
-    classes = staged(_classes(rows, levels, percent), "line-classes")
+    stage = Staging(docs.sparkSession)
+    classes = stage.table(_classes(rows, levels, percent), "line-classes")
     prefixes = classes.where("prefix is not null").select("d", "l", "n", "map", F.posexplode("prefix").alias("pos", "w"))
     prefixes = prefixes.select("w", "d", "l", "n", "map", "pos")
     x, y = prefixes.alias("x"), prefixes.alias("y")
     other = "(x.d <> y.d or x.l <> y.l)"
-    met = staged(x.join(y, F.expr(f"x.w = y.w and {other} and {_near('x', 'y', percent)}"), "left_semi"), "line-prefixes")
+    met = stage.table(x.join(y, F.expr(f"x.w = y.w and {other} and {_near('x', 'y', percent)}"), "left_semi"), "line-prefixes")
     needed = met.select("d", "l").distinct().groupBy("d").agg(F.collect_set("l").alias("ls"))
     found = rows.join(needed, "d").select("d", F.split("text", "\n").alias("lines"), F.explode("ls").alias("l"))
     sets = found.select("d", "l", word_codes(F.element_at("lines", F.col("l") + 1), levels).alias("c"))
     # Two rows that share an id may hold different lines at one place: only the class's own line counts.
     own = classes.where("prefix is not null").select("d", "l", "n", "map")
-    sets = staged(sets.withColumns({"n": F.size("c"), "map": F.expr(_PARITY)}).join(own, ["d", "l", "n", "map"], "left_semi").select("d", "l", "c").distinct(), "line-sets")
+    sets = stage.table(sets.withColumns({"n": F.size("c"), "map": F.expr(_PARITY)}).join(own, ["d", "l", "n", "map"], "left_semi").select("d", "l", "c").distinct(), "line-sets")
     first = met.groupBy("w").agg(F.min(F.struct("d", "l", "n", "map", "pos")).alias("f")).select("w", "f.*")
     a, b = first.alias("a"), met.alias("b")
     ids = [F.col(f"{t}.{c}").alias(f"{c}{i}") for t, i in (("a", 1), ("b", 2)) for c in ("d", "l")]
     star = a.join(b, F.expr(f"a.w = b.w and {_earlier('a', 'b')} and {_near('a', 'b', percent)}")).select(*ids).distinct()
-    gone = staged(_verified(star, sets, percent), "line-gone")
+    star = stage.table(star, "line-star")
+    gone = stage.table(_verified(star, sets, percent), "line-gone")
     left = met.join(gone, ["d", "l"], "left_anti").select(*met.columns)
     a, b = met.alias("a"), left.alias("b")
     rest = a.join(b, F.expr(f"a.w = b.w and {_earlier('a', 'b')} and {_near('a', 'b', percent)}")).select(*ids).distinct()
-    gone = gone.unionByName(_verified(rest.join(star, ["d1", "l1", "d2", "l2"], "left_anti"), sets, percent))
+    rest = _verified(rest.join(star, ["d1", "l1", "d2", "l2"], "left_anti"), sets, percent)
+    gone = gone.unionByName(stage.table(rest, "line-gone-later"))
+    stage.drop("line-prefixes", "line-sets", "line-star")
     keep = classes.select("d", "l").join(gone, ["d", "l"], "left_anti").groupBy("d").agg(F.collect_set("l").alias("keep"))
-    parts = F.split("text", "\n")
-    has_word = lambda line: F.length(F.translate(line, " \t\u000b\f\r", "")) > 0
-    stays = F.filter(parts, lambda line, i: ~has_word(line) | F.coalesce(F.array_contains("keep", i), F.lit(False)))
-    joined = docs.select(*kept_columns, "text", place.alias("_d")).join(keep.withColumnRenamed("d", "_d"), "_d", "left")
-    joined = joined.withColumn("_kept", stays)
+    joined = docs.select(*kept_columns, "text", F.split("text", "\n").alias("_parts"), place.alias("_d"))
+    joined = joined.join(keep.withColumnRenamed("d", "_d"), "_d", "left")
+    bare = F.filter(F.transform("_parts", lambda line, i: F.when(~has_word(line), i)), lambda i: i.isNotNull())
+    # Places of kept lines by a hash of the row, then one look-up each: linear in the lines of a document.
+    stay = F.array_sort(F.array_union(F.coalesce("keep", F.array().cast("array<int>")), bare))
+    joined = joined.withColumn("_stay", stay)
+    kept = F.array_join(F.transform("_stay", lambda i: F.get("_parts", i)), "\n")
     return joined.select(
-        *kept_columns, F.when(F.col("text").isNotNull(), F.array_join("_kept", "\n")).alias("text"),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines"),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(parts) - F.size("_kept")).cast("long").alias("n_removed"),
+        *kept_columns, F.when(F.col("text").isNotNull(), kept).alias("text"),
+        F.when(F.col("text").isNull(), 0).otherwise(F.size("_parts")).cast("long").alias("n_lines"),
+        F.when(F.col("text").isNull(), 0).otherwise(F.size("_parts") - F.size("_stay")).cast("long").alias("n_removed"),
     )
