@@ -207,6 +207,7 @@ def remove_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     stretches = texts.where("keys is not null and doc_id is not null").select("k", "doc_id", "text", "keys").mapInArrow(
         lambda it: _stretches(it, window), "k long, doc_id long, word long, key long, body string"
     )
+    stretches = stage.table(stretches, "passage-stretches")  # read twice, and cutting texts is the dear part
     distinct = stretches.groupBy("key", "body").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     found = distinct.repartition(2 * partitions(spark), "key").sortWithinPartitions("key").mapInArrow(
         lambda it: _shard(it, window, STRETCHES), "body_id binary, smallest array<long>"
@@ -218,7 +219,7 @@ def remove_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         "k", F.expr("filter(transform(smallest, (x, i) -> if(x < doc_id, word + i, null)), x -> x is not null)").alias("words")
     )
     gone = stage.table(hits.where(F.size("words") > 0).groupBy("k").agg(F.collect_list("words").alias("words")), "passage-gone")
-    stage.drop("passage-found")
+    stage.drop("passage-found", "passage-stretches")
     return texts.drop("keys").join(gone, "k", "left").mapInArrow(
         lambda it: _finish(it, window), "doc_id long, n_words long, n_removed long, kept_sha256 string"
     )
