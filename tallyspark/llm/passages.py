@@ -108,7 +108,11 @@ def _letter(i: int) -> str:
 
 def locate(stretches: list[tuple[str, int, int]], window: int = WINDOW) -> list[list[int | None]]:
     """For each window of each stretch (words, smallest and largest document): the passage's smallest document,
-    or None where it does not recur."""
+    or None where it does not recur.
+
+    Neighbouring windows of a stretch that recur with one smallest document enter the automaton as one passage. A hit
+    of it settles all of its windows, and every recurring window of a stretch lies in a passage of that stretch.
+    """
     import ahocorasick
 
     letters: dict[str, str] = {}
@@ -123,18 +127,25 @@ def locate(stretches: list[tuple[str, int, int]], window: int = WINDOW) -> list[
                 largest[passage] = max(largest[passage], high)
             else:
                 smallest[passage], largest[passage] = low, high
+    confirmed = {passage: low for passage, low in smallest.items() if low < largest[passage]}  # in two documents
     automaton = ahocorasick.Automaton()
-    for passage, low in smallest.items():
-        if low < largest[passage]:  # confirmed: in two documents
-            automaton.add_word(passage, low)
+    for code in coded:
+        lows = [confirmed.get(code[i : i + window]) for i in range(len(code) - window + 1)]
+        first = 0
+        for i in range(1, len(lows) + 1):
+            if i == len(lows) or lows[i] != lows[first]:
+                if lows[first] is not None:
+                    automaton.add_word(code[first : i + window - 1], (i - first, lows[first]))
+                first = i
     out: list[list[int | None]] = []
     if len(automaton):
         automaton.make_automaton()
     for code in coded:
         hits: list[int | None] = [None] * (len(code) - window + 1)
         if len(automaton):
-            for end, low in automaton.iter(code):
-                hits[end - window + 1] = low
+            for end, (n, low) in automaton.iter(code):
+                last = end - window + 2
+                hits[last - n : last] = [low] * n
         out.append(hits)
     return out
 
