@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import Staging, anchored_runs, gram_hashes, partitions, slices, span_hashes, text_bytes, word_spans
+from .shared import Staging, anchored_runs, gram_hashes, partitions, slices, spaced_words, span_hashes, text_bytes, word_spans
 
 WINDOW = 13
 GRAM = 4
@@ -65,10 +65,11 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, start, end, doc = _words(rows)
         count = np.bincount(doc, minlength=rows.num_rows)
         bare = rows.column("keys").is_null().to_pylist()
-        ends = np.cumsum(count)
+        joined, at, to = spaced_words(data, start, end, doc)
+        base = np.cumsum(count) - count
         sha = [
-            hashlib.sha256(b" ".join(data[a:b].tobytes() for a, b in zip(start[e - c : e].tolist(), end[e - c : e].tolist()))).hexdigest()
-            if x else None for x, c, e in zip(bare, count.tolist(), ends.tolist())
+            hashlib.sha256(joined[at[b] : to[b + c - 1]] if c else b"").hexdigest() if x else None
+            for x, b, c in zip(bare, base.tolist(), count.tolist())
         ]
         text = [None if x else t for x, t in zip(bare, rows.column("text").to_pylist())]
         yield pa.RecordBatch.from_arrays(
@@ -89,10 +90,8 @@ def _stretches(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Re
             keep[here] = np.isin(key[here].view(np.int64), np.array(wanted, np.int64))
         first, last, key, row = first[keep], last[keep], key[keep], row[keep]
         base = np.searchsorted(doc, row)
-        body = [
-            b" ".join(data[a:b].tobytes() for a, b in zip(start[i:j].tolist(), end[i:j].tolist())).decode()
-            for i, j in zip(first.tolist(), (last + window).tolist())
-        ]
+        joined, begin, to = spaced_words(data, start, end, doc)
+        body = [joined[a:b].decode() for a, b in zip(begin[first].tolist(), to[last + window - 1].tolist())]
         at = pa.array(row)
         yield pa.RecordBatch.from_arrays(
             [rows.column("k").take(at), rows.column("doc_id").take(at), pa.array(first - base, pa.int64()),
@@ -184,10 +183,11 @@ def _finish(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
         kept = np.cumsum(gone)[:-1] == 0
         sha = rows.column("sha").to_pylist()
         removed = np.bincount(doc[~kept], minlength=rows.num_rows)
-        for i, (b, c) in enumerate(zip(base.tolist(), count.tolist())):
+        joined, at, to = spaced_words(data, start[kept], end[kept], doc[kept])
+        left = count - removed
+        for i, (b, c) in enumerate(zip((np.cumsum(left) - left).tolist(), left.tolist())):
             if sha[i] is None:
-                some = np.flatnonzero(kept[b : b + c]) + b
-                sha[i] = hashlib.sha256(b" ".join(data[x:y].tobytes() for x, y in zip(start[some].tolist(), end[some].tolist()))).hexdigest()
+                sha[i] = hashlib.sha256(joined[at[b] : to[b + c - 1]] if c else b"").hexdigest()
         yield pa.RecordBatch.from_arrays(
             [rows.column("doc_id"), rows.column("n_words"), pa.array(removed, pa.int64()), pa.array(sha, pa.string())],
             names=["doc_id", "n_words", "n_removed", "kept_sha256"],

@@ -219,6 +219,23 @@ def joined_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> bytes:
     return b"".join(data[a:b].tobytes() for a, b in zip(start.tolist(), end.tolist()))
 
 
+def spaced_words(data: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The words [start, end) one after another, one space between two of a row, and where each now starts and ends."""
+
+    def inside(first: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
+        step = np.zeros(n + 1, np.int8)
+        step[first] += 1
+        step[last] -= 1
+        return np.cumsum(step[:-1], dtype=np.int8).astype(bool)
+
+    size = end - start
+    to = np.cumsum(size + np.append(row[1:] == row[:-1], False)[: len(row)])
+    at = np.append(0, to[:-1])[: len(row)]
+    out = np.full(to[-1] if len(to) else 0, 0x20, np.uint8)
+    out[inside(at, at + size, len(out))] = data[inside(start, end, len(data))]
+    return out.tobytes(), at, at + size
+
+
 def ragged(flat: np.ndarray, offsets: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Entries ``flat[offsets[c] : offsets[c + 1]]`` one after another, and the size of each."""
     size = offsets[codes + 1] - offsets[codes]
