@@ -9,14 +9,14 @@ from tallyspark.operators.features import FEATURES
 from tallyspark.operators.splits import split_by_time
 from tallyspark.sources.tables import staged
 
-from .features import AVERAGED
+from .features import AVERAGED, comparable
 from .registry import query
 from .splits import trend
 from .views import CUT, TWINS
 
 _KEYS = ["user_id", "category", "period"]
-# Ratios averaged over a window may differ in the last bit, which moves a value across a bin edge.
-_DRIFT = tuple(f for f in FEATURES if f not in AVERAGED)
+# Ratios averaged over a window may differ in the last bit, which would move a value across a bin edge: 9 digits are binned.
+_DRIFT = FEATURES
 
 TWINS.update(
     {
@@ -40,7 +40,7 @@ select label, sum(tp)::bigint as tp, sum(fp)::bigint as fp, sum(fn)::bigint as f
         "naive": (("trend_split",), """
 select *, next_month_spend - rolling_mean_3m as residual, abs(next_month_spend - rolling_mean_3m) as abs_residual
 from trend_split"""),
-        "long": (("trend",), "unpivot (select period, " + ", ".join(f"{f}::double as {f}" for f in _DRIFT)
+        "long": (("trend",), "unpivot (select period, " + ", ".join(f"round({f}, 9)::double as {f}" if f in AVERAGED else f"{f}::double as {f}" for f in _DRIFT)
                  + " from trend) on " + ", ".join(_DRIFT) + " into name feature value v"),
         "bounds": (("long",), """
 select feature, min(v) as lo, max(v) as hi, (max(v) - min(v)) / 10.0::double as step from long group by all"""),
@@ -67,7 +67,7 @@ def naive(t):
 
 
 def drift_sides(t):
-    features = staged(t.trend.select("period", *_DRIFT), "drift")
+    features = staged(comparable(t.trend).select("period", *_DRIFT), "drift")
     cut = F.lit(CUT)
     return features.where(F.col("period") < cut), features.where(F.col("period") >= cut)
 
