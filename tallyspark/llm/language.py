@@ -1,33 +1,37 @@
 """Language identification: known words by their frequency in each language, then shorter n-grams.
 
-A document's score for a language adds up log frequencies of its words. A word of the model counts by
-its frequency per language. An unseen word is judged by the longest order of character n-grams of
-which the model knows any, from ``ORDERS[0]`` down to single characters.
+A document's score for a language adds up log frequencies of its words. A word met in training counts by its
+frequency per language. An unseen word is judged by the longest order of character n-grams of which training
+met any, from ``ORDERS[0]`` down to single characters: the mean of the log frequencies of those n-grams.
 
-The model is bounded: ``WORDS`` words and ``GRAMS`` n-grams of each order per language, for at most
-``LANGUAGES`` languages (the most frequent ones), so it may be sent to every executor. Its counts cover
-every training document.
+Every language, every word and every n-gram of the training documents counts, and totals are those of all of them.
+The counts are tables in the shared folder. Only the ``COMMON`` most frequent words are sent to the executors, which
+saves shuffles and changes no result: other words meet their counts in joins. Log frequencies are whole
+numbers of 1 / ``SCALE``, so sums have the same bits in any order.
 """
 
 from __future__ import annotations
 
-import collections
 import dataclasses
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import slices, staged
+from .shared import Staging, slices
 
-WORDS = 20_000
-GRAMS = 20_000
-LANGUAGES = 64
+COMMON = 100_000
+#: Text handled at once; bounds a worker's memory.
+READ_BYTES = 1 << 20
+#: Rows with lists of entries handled at once.
+ROWS = 1_000
 ORDERS = (5, 4, 3, 2, 1)
-CACHE_ENTRIES = 300_000
+SCALE = 1 << 16
 UNKNOWN = "und"
+#: Added columns.
+ADDED = ("lang_pred", "score", "lang_evidence")
 
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -40,7 +44,7 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows in slices(batches, "text", 16 << 20):
+    for rows in slices(batches, "text", 4 * READ_BYTES):
         words, at = words_of(rows.column("text"))
         if len(words) == 0:
             continue
@@ -50,134 +54,205 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out.to_batches()
 
 
+@dataclasses.dataclass
+class Common:
+    """The frequent words: entries ``offsets[row] : offsets[row + 1]`` hold the languages that have the word."""
+
+    n_languages: int
+    rows: dict[str, int]
+    offsets: np.ndarray
+    language: np.ndarray
+    gain: np.ndarray
+
+
 @dataclasses.dataclass
 class Model:
-    """Log frequencies per language; ``words`` and ``grams`` map to rows of the tables."""
+    """``base``: log share of an entry that a language does not have, by order (0: words). ``words`` and ``grams``
+    are tables of an entry and its ``hits``, the count in each language that has it."""
 
     languages: list[str]
-    words: dict[str, int]
-    word_logs: np.ndarray
-    grams: dict[str, int]
-    gram_logs: np.ndarray
+    base: dict[int, np.ndarray]
+    common: Common
+    words: DataFrame
+    grams: DataFrame
+
 
+def gains(n: np.ndarray) -> np.ndarray:
+    """What n occurrences add to the log share of an entry without any: log((n + 0.5) / 0.5)."""
+    return np.rint(SCALE * np.log(2.0 * n + 1)).astype(np.int64)
 
-def grams_of(word: str, order: int) -> list[str]:
-    marked = f"<{word}>"
-    if order == 1:
-        return list(word)
-    return [marked[i : i + order] for i in range(len(marked) - order + 1)]
 
+def _grams(word: Column, order: int) -> Column:
+    """The n-grams of a word between marks (single characters without marks), behind their order."""
+    text = word if order == 1 else F.concat(F.lit("<"), word, F.lit(">"))
+    last = F.char_length(text) - (order - 1)
+    cut = lambda i: F.concat(F.lit(str(order)), F.substring(text, i, F.lit(order)))
+    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), cut)).otherwise(F.array().cast("array<string>"))
 
-def _logs(counts: dict[str, dict[int, int]], n: int) -> tuple[dict[str, int], np.ndarray]:
-    """Log of the smoothed share of each entry in each language."""
-    table = np.zeros((len(counts), n))
-    for row, by_language in enumerate(counts.values()):
-        for j, m in by_language.items():
-            table[row, j] = m
-    totals = table.sum(axis=0)
-    return {k: i for i, k in enumerate(counts)}, np.log((table + 0.5) / (totals + 0.5 * max(1, len(counts))))
 
+def _hits(counts: DataFrame, entry: str) -> DataFrame:
+    return counts.groupBy(entry).agg(F.sort_array(F.collect_list(F.struct("j", "n"))).alias("hits"), F.sum("n").alias("n"))
 
-def fit(labelled: DataFrame, words: int = WORDS, grams: int = GRAMS) -> Model:
+
+def fit(labelled: DataFrame, common: int = COMMON) -> Model:
     """The model of rows (text, lang); rows without either are left out.
 
-    Word counts of all rows meet in one aggregate combined per slice before. Per language the cut that
-    keeps at most ``words`` entries is found from the counts of counts; more are not brought together.
+    Counts are combined per slice and then per task before they are shuffled. ``common`` bounds the words sent to
+    every executor and has no influence on results.
     """
+    spark = labelled.sparkSession
+    stage = Staging(spark)
     labelled = labelled.where("lang is not null and text is not null").select("lang", "text")
     counts = labelled.mapInArrow(_count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    counts = staged(counts, "language-words")
-    names = [r[0] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
-    names.sort()
-    levels = counts.groupBy("lang", "n").agg(F.count(F.lit(1)).alias("m"))
-    upto = Window.partitionBy("lang").orderBy(F.desc("n"))
-    cuts = levels.withColumn("kept", F.sum("m").over(upto)).where(F.col("kept") <= words).groupBy("lang").agg(F.min("n").alias("least"))
-    least = {r["lang"]: r["least"] for r in cuts.where(F.col("lang").isin(names)).collect()}
-    keep = F.lit(False)
-    for name, n in least.items():
-        keep = keep | ((F.col("lang") == name) & (F.col("n") >= n))
-    place = {x: i for i, x in enumerate(names)}
-    by_word: dict[str, dict[int, int]] = collections.defaultdict(dict)
-    by_gram = {k: [collections.Counter() for _ in names] for k in ORDERS}
-    for lang, word, n in counts.where(keep).orderBy("word", "lang").collect():  # at most ``words`` a language
-        by_word[word][place[lang]] = n
-        for order in ORDERS:
-            for gram in grams_of(word, order):
-                by_gram[order][place[lang]][gram] += n
-    table, logs = _logs(by_word, len(names))
-    gram_rows: dict[str, int] = {}
-    gram_logs = [np.zeros((0, len(names)))]
-    for order in ORDERS:
-        best: dict[str, dict[int, int]] = collections.defaultdict(dict)
-        for j, counter in enumerate(by_gram[order]):
-            for gram, n in sorted(counter.items(), key=lambda x: (-x[1], x[0]))[:grams]:
-                best[gram][j] = n
-        rows, block = _logs(best, len(names))
-        base = len(gram_rows)
-        gram_rows |= {f"{order}{k}": base + i for k, i in rows.items()}
-        gram_logs.append(block)
-    return Model(names, table, logs.astype(np.float32), gram_rows, np.concatenate(gram_logs).astype(np.float32))
-
-
-def judge_word(model: Model, word: str) -> np.ndarray:
-    """Log frequencies of a word in each language, by word or by its longest known n-grams."""
-    row = model.words.get(word)
-    if row is not None:
-        return model.word_logs[row]
-    for order in ORDERS:
-        rows = [r for g in grams_of(word, order) if (r := model.grams.get(f"{order}{g}")) is not None]
-        if rows:
-            return model.gram_logs[rows].mean(axis=0)
-    return np.zeros(len(model.languages), np.float32)
-
-
-def _judge(batches: Iterator[pa.RecordBatch], shared, columns: list[str]) -> Iterator[pa.RecordBatch]:
-    model: Model = shared.value
-    known: dict[str, int] = {}
-    scores = np.zeros((1 << 12, max(1, len(model.languages))), np.float32)
-    for rows in slices(batches, "text", 8 << 20):
+    counts = stage.table(counts, "language-counts")
+    names = sorted(r[0] for r in counts.select("lang").distinct().collect())
+    places = spark.createDataFrame(list(enumerate(names)), "j int, lang string")  # one row per language
+    counts = counts.join(F.broadcast(places), "lang").select("j", "word", "n")
+    words = stage.table(_hits(counts, "word"), "language-words")
+    grams = counts.select("j", "n", F.explode(F.concat(*[_grams(F.col("word"), k) for k in ORDERS])).alias("gram"))
+    grams = stage.table(_hits(grams.groupBy("gram", "j").agg(F.sum("n").alias("n")), "gram"), "language-grams")
+    stage.drop("language-counts")
+    base = {}
+    both = words.select(F.lit("0").alias("kind"), "hits").unionByName(grams.select(F.substring("gram", 1, 1).alias("kind"), "hits"))
+    sizes = {int(r[0]): r[1] for r in both.groupBy("kind").agg(F.count(F.lit(1))).collect()}
+    totals = {k: np.zeros(len(names)) for k in (0, *ORDERS)}
+    for kind, j, n in both.select("kind", F.inline("hits")).groupBy("kind", "j").agg(F.sum("n")).collect():
+        totals[int(kind)][j] = n
+    for kind, total in totals.items():
+        base[kind] = np.rint(SCALE * np.log(0.5 / (total + 0.5 * max(1, sizes.get(kind, 0))))).astype(np.int64)
+    level = F.floor(16 * F.log2("n"))
+    least, room = None, common
+    for at, m in sorted(map(tuple, words.groupBy(level.alias("at")).agg(F.count(F.lit(1)).alias("m")).collect()), reverse=True):
+        room -= m
+        if room < 0:
+            break
+        least = at
+    frequent = words.where(level >= least if least is not None else F.lit(False)).select("word", "hits.j", "hits.n").collect()
+    flat = lambda i: np.array([x for r in frequent for x in r[i]], np.int64)
+    offsets = np.concatenate([[0], np.cumsum([len(r[1]) for r in frequent], dtype=np.int64)])
+    held = Common(len(names), {r[0]: i for i, r in enumerate(frequent)}, offsets.astype(np.int64), flat(1), gains(flat(2)))
+    return Model(names, base, held, words, grams)
+
+
+def _read(batches: Iterator[pa.RecordBatch], shared, columns: list[str]) -> Iterator[pa.RecordBatch]:
+    """Sums of the frequent words of each text, and its other words."""
+    common: Common = shared.value
+    width = common.n_languages
+    for rows in slices(batches, "text", READ_BYTES):
+        n = rows.num_rows
         words, at = words_of(rows.column("text"))
+        words = words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words
         coded = words.dictionary_encode()
         distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if len(known) + len(distinct) > CACHE_ENTRIES:
-            known.clear()
-        place = np.zeros(len(distinct), np.int64)
-        for i, word in enumerate(distinct):
-            p = known.get(word)
-            if p is None:
-                p = known[word] = len(known)
-                if p >= len(scores):
-                    scores = np.concatenate([scores, np.zeros_like(scores)])
-                if model.languages:
-                    scores[p] = judge_word(model, word)
-            place[i] = p
+        place = np.fromiter((common.rows.get(w, -1) for w in distinct), np.int64, len(distinct))
+        row = place[np.asarray(coded.indices)] if len(at) else np.zeros(0, np.int64)
+        met = row >= 0
+        # Repeats of a word in a text are one entry.
+        pairs, times = np.unique(at[met] * max(1, len(common.rows)) + row[met], return_counts=True)
+        doc, word = np.divmod(pairs, max(1, len(common.rows)))
+        size = common.offsets[word + 1] - common.offsets[word]
+        ends = np.cumsum(size)
+        entry = np.arange(ends[-1] if len(ends) else 0) + np.repeat(common.offsets[word] - ends + size, size)
+        sums = np.zeros((n, width), np.int64)
+        np.add.at(sums, (np.repeat(doc, size), common.language[entry]), np.repeat(times, size) * common.gain[entry])
+        rest = words.filter(pa.array(~met)).cast(pa.string())
+        starts = np.concatenate([[0], np.cumsum(np.bincount(at[~met], minlength=n))]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [*[rows.column(c) for c in columns],
+             pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(sums.ravel())),
+             pa.array(np.bincount(at[met], minlength=n)), pa.ListArray.from_arrays(pa.array(starts), rest)],
+            names=[*columns, "_sums", "_common", "_rest"],
+        )
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
+def _weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each word its mean gain in each language that has any of its entries."""
+    for batch in _parts(batches):
+        out: dict[str, list] = {"j": [], "gain": []}
+        for entries in batch.column("hits").to_pylist():
+            sums: dict[int, int] = {}
+            for hits in entries:
+                for h in hits:
+                    sums[h["j"]] = sums.get(h["j"], 0) + int(gains(h["n"]))
+            out["j"].append(list(sums))
+            out["gain"].append([x // len(entries) for x in sums.values()])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("word"), batch.column("kind"), pa.array(out["j"], pa.list_(pa.int32())), pa.array(out["gain"], pa.list_(pa.int64()))],
+            names=["word", "kind", "j", "gain"],
+        )
+
+
+def _judge(batches: Iterator[pa.RecordBatch], languages: list[str], base: dict[int, np.ndarray], columns: list[str]) -> Iterator[pa.RecordBatch]:
+    width = len(languages)
+    for rows in _parts(batches):
         n = rows.num_rows
-        found = np.bincount(at, minlength=n) > 0
-        total = np.zeros((n, scores.shape[1]))
-        if len(at):
-            code = place[np.asarray(coded.indices)]
-            for j in range(scores.shape[1]):
-                total[:, j] = np.bincount(at, weights=scores[code, j], minlength=n)
-        best = total.argmax(axis=1)  # the first of equals: names are in order
-        share = 1.0 / np.exp(total - total[np.arange(n), best][:, None]).sum(axis=1)
-        fine = found & bool(model.languages)
-        lang = [model.languages[b] if f else UNKNOWN for b, f in zip(best.tolist(), fine.tolist())]
+        known = np.array(rows.column("_sums").to_pylist(), np.int64).reshape(n, width)
+        count = rows.column("_common").to_numpy().astype(np.int64)
+        total = known + count[:, None] * base[0]
+        words = count + rows.column("_n_rest").to_numpy()
+        for i, entries in enumerate(rows.column("_found").to_pylist()):
+            for x in entries or ():
+                total[i] += base[x["kind"]]
+                total[i, x["j"]] += x["gain"]
+                if x["kind"] == 0:
+                    known[i, x["j"]] += x["gain"]
+        if width:
+            best = total.argmax(axis=1)  # the first of equals: names are in order
+            top = total[np.arange(n), best]
+            share = 1.0 / np.exp((total - top[:, None]) / SCALE).sum(axis=1)
+            evidence = known[np.arange(n), best] / SCALE / np.maximum(words, 1)
+        fine = (words > 0) & bool(width)
+        lang = [languages[best[i]] if f else UNKNOWN for i, f in enumerate(fine.tolist())]
+        zero = np.zeros(n)
         yield pa.RecordBatch.from_arrays(
-            [*[rows.column(c) for c in columns], pa.array(lang, pa.string()), pa.array(np.where(fine, share, 0.0))],
-            names=[*columns, "lang_pred", "score"],
+            [*[rows.column(c) for c in columns], pa.array(lang, pa.string()), pa.array(np.where(fine, share if width else zero, 0.0)),
+             pa.array(np.where(fine, evidence if width else zero, 0.0))],
+            names=[*columns, *ADDED],
         )
 
 
 def identify(docs: DataFrame, model: Model, columns: list[str] | None = None) -> DataFrame:
-    """``columns`` of ``docs`` (all by default) with lang_pred and score (the share of the best language).
+    """``columns`` of ``docs`` (all by default) with lang_pred, score (the share of the best language) and
+    lang_evidence: per word of the text, what its occurrences in that language add to the log share; unseen words add 0.
 
     Only ``text`` is an input. A text that is null or has no letter, and any text if nothing was learned,
     is ``und`` with score 0; equal scores go to the first language by name. Columns called like the
     added ones are replaced.
     """
-    columns = [c for c in columns or docs.columns if c not in ("lang_pred", "score")]
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by WORDS, GRAMS and LANGUAGES
+    columns = [c for c in columns or docs.columns if c not in ADDED]
+    shared = docs.sparkSession.sparkContext.broadcast(model.common)  # bounded by COMMON
     extra = [] if "text" in columns else ["text"]
-    rows = docs.select(*columns, *extra)
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns) + ", lang_pred string, score double"
-    return rows.mapInArrow(lambda it: _judge(it, shared, columns), schema)
+    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in columns)
+    read = docs.select(*columns, *extra).mapInArrow(
+        lambda it: _read(it, shared, columns), schema + "_sums array<long>, _common long, _rest array<string>"
+    )
+    stage = Staging(docs.sparkSession)
+    read = stage.table(read.withColumn("_k", F.monotonically_increasing_id()), "language-read")
+    rest = read.select("_k", F.explode("_rest").alias("word"))
+    need = rest.groupBy("word").agg(F.count(F.lit(1)).alias("times")).select("word")
+    need = stage.table(need.join(model.words.select("word", "hits"), "word", "left"), "language-rest")
+    seen = need.where("hits is not null").select("word", F.lit(0).alias("kind"), F.array("hits").alias("hits"))
+    new = need.where("hits is null").select("word")
+    tried = new.select("word", F.explode(F.concat(*[_grams(F.col("word"), k) for k in ORDERS])).alias("gram"))
+    met = tried.join(model.grams.select("gram"), "gram", "left_semi")
+    longest = met.groupBy("word").agg(F.max(F.substring("gram", 1, 1).cast("int")).alias("kind"))
+    which = F.array().cast("array<string>")
+    for k in ORDERS:
+        which = F.when(F.col("kind") == k, _grams(F.col("word"), k)).otherwise(which)
+    unseen = longest.select("word", "kind", F.explode(which).alias("gram")).join(model.grams.select("gram", "hits"), "gram")
+    unseen = unseen.groupBy("word", "kind").agg(F.collect_list("hits").alias("hits"))
+    weighed = seen.unionByName(unseen).mapInArrow(_weigh, "word string, kind int, j array<int>, gain array<long>")
+    weighed = stage.table(weighed, "language-weighed")  # the shuffles of n-grams are gone before texts' words are joined
+    stage.drop("language-rest")
+    found = rest.join(weighed, "word").groupBy("_k").agg(F.collect_list(F.struct("kind", "j", "gain")).alias("_found"))
+    rows = read.withColumn("_n_rest", F.size("_rest").cast("long")).drop("_rest").join(found, "_k", "left")
+    languages, base = model.languages, model.base
+    return rows.mapInArrow(
+        lambda it: _judge(it, languages, base, columns), schema + "lang_pred string, score double, lang_evidence double"
+    )

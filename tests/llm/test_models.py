@@ -149,3 +149,63 @@ def test_pipeline_stages_do_their_work_and_keep_columns(spark):
             assert docs.dtypes == table.dtypes
     assert kept["language ID"] > kept["line dedup"] >= kept["MinHash near-dedup"] > 0
     assert docs.where("n_pieces = 0 and length(text) > 0").isEmpty() and kept["mixing"] == kept["SentencePiece encoding"] > 0
+
+
+def plain_languages(train, texts):
+    """(language, score) of each text by plain counting of all words and n-grams."""
+    parts = lambda t: re.findall(r"[^\W\d_]+", t.lower())
+
+    def grams(word, k):
+        marked = word if k == 1 else f"<{word}>"
+        return [marked[i : i + k] for i in range(len(marked) - k + 1)]
+
+    names = sorted({lang for lang, _ in train})
+    counts = {k: {x: collections.Counter() for x in names} for k in range(6)}
+    for lang, text in train:
+        for word in parts(text):
+            counts[0][lang][word] += 1
+            for k in range(1, 6):
+                counts[k][lang].update(grams(word, k))
+    kinds = {k: len(set().union(*counts[k].values())) for k in counts}
+
+    def log(k, lang, x):
+        return np.log((counts[k][lang][x] + 0.5) / (counts[k][lang].total() + 0.5 * kinds[k]))
+
+    out = []
+    for text in texts:
+        total = np.zeros(len(names))
+        for word in parts(text):
+            met = [word] if any(counts[0][x][word] for x in names) else []
+            k = 0 if met else 5
+            while not met and k:
+                met = [g for g in grams(word, k) if any(counts[k][x][g] for x in names)]
+                k -= not met
+            if met:
+                total += [np.mean([log(k, x, g) for g in met]) for x in names]
+        out.append((names[int(total.argmax())], 1 / np.exp(total - total.max()).sum()))
+    return out
+
+
+@pytest.mark.parametrize("common", [0, 40, 10**6])
+def test_every_language_word_and_gram_counts(spark, docs, common):
+    """More than 64 languages; the last by word count are told like the first, whatever is sent to the executors."""
+    rng = np.random.default_rng(8)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyzäöüßéèñçøåłžšč"))
+
+    def word(own):
+        return "".join(rng.choice(own, rng.integers(3, 9)))
+
+    train, texts, wanted = [], [], []
+    for i in range(70):
+        own = rng.choice(letters, 9, replace=False)
+        words = [word(own) for _ in range(140 - i)]
+        train.append((f"l{i:02}", " ".join([*words, *words[:20]])))
+        texts.append(" ".join([*words[-12:], words[0] + words[1]]))
+        texts.append(" ".join(words[-8:]))
+        wanted += [f"l{i:02}"] * 2
+    model = language.fit(spark.createDataFrame(train, "lang string, text string"), common)
+    assert len(model.languages) == 70
+    got = {r.doc_id: r for r in language.identify(docs(list(enumerate(texts))), model).collect()}
+    expected = plain_languages(train, texts)
+    assert [got[i].lang_pred for i in range(len(texts))] == [x for x, _ in expected] == wanted
+    assert np.allclose([got[i].score for i in range(len(texts))], [s for _, s in expected], atol=2e-3)
