@@ -26,7 +26,7 @@ def tokenizer_file(name: str) -> str:
 
 
 def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokens.write_ids(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+    path = tokens.write_ids(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), ordinary=False)
     return tokens.read_digests(spark, path)
 
 

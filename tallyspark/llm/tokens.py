@@ -79,35 +79,43 @@ def unpack(data: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
     return np.concatenate(parts)[first - wanted[0] * BLOCK : last - wanted[0] * BLOCK]
 
 
-@functools.lru_cache(1)
-def _tokenizer(path: str) -> tuple[Callable[[list[str]], list], WordIds]:
+@functools.lru_cache(2)
+def _tokenizer(path: str, ordinary: bool) -> tuple[Callable[[list[str]], list], WordIds, str]:
     import os
+    import re
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings are ordinary text
+    if ordinary:
+        tokenizer.encode_special_tokens = True
+    added = sorted(x.content for x in tokenizer.get_added_tokens_decoder().values())
 
     def ids(texts: list[str]) -> list:
         return [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    return ids, WordIds(lambda words: ids([" " + w for w in words]), CACHE_ENTRIES)
+    whole = "|".join([UNEVEN, *map(re.escape, added)])
+    return ids, WordIds(lambda words: ids([" " + w for w in words]), CACHE_ENTRIES), whole
 
 
 # The pattern of byte-level pre-tokens never lets a pre-token run over the place before a space that a visible
 # character follows. So the parts between such places are encoded apart, each distinct one once; a text with
-# a space before other white space or at its end is encoded in one piece.
+# a space before other white space or at its end is encoded in one piece; so is one that holds an added token's
+# string, before which a pre-token ends as at the end of a text.
 UNEVEN = r" ([\s\x0b\x1c-\x1f\x{85}\p{Z}]|\z)"
 
 
-def encode_texts(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, ids per text) of whole texts, as the tokenizers library gives them without special tokens."""
-    ids, words = _tokenizer(path)
-    return encode_rows(texts, words, UNEVEN, lambda text: ids([text])[0], first_apart=True)
+def encode_texts(texts: pa.Array, path: str, ordinary: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, ids per text) of whole texts, as the tokenizers library gives them with ``add_special_tokens=False``.
+
+    ``ordinary``: strings of special tokens are ordinary text; otherwise each is its single id, as in the library by default.
+    """
+    ids, words, whole = _tokenizer(path, ordinary)
+    return encode_rows(texts, words, whole, lambda text: ids([text])[0], first_apart=True)
 
 
-def _write(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+def _write(batches: Iterator[pa.RecordBatch], path: str, ordinary: bool) -> Iterator[pa.RecordBatch]:
     """Segments of one shard; a shard's rows come together and in order."""
     shard, seq, base = None, 0, 0
     for rows in slices(batches, "text"):
@@ -117,7 +125,7 @@ def _write(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBa
             some = rows.slice(at, to - at)
             if shards[at] != shard:
                 shard, seq, base = shards[at], 0, 0
-            ids, sizes = encode_texts(some.column("text"), path)
+            ids, sizes = encode_texts(some.column("text"), path, ordinary)
             counts = (sizes + 1).astype(np.uint32)
             stream = np.insert(ids, np.cumsum(sizes), np.uint32(END_ID))
             lengths = pack(counts)
@@ -129,12 +137,12 @@ def _write(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBa
             seq, base = seq + 1, base + len(stream)
 
 
-def write_ids(docs: DataFrame, tokenizer: str, path: str | None = None, shards: int | None = None) -> str:
+def write_ids(docs: DataFrame, tokenizer: str, path: str | None = None, shards: int | None = None, ordinary: bool = True) -> str:
     """Encode ``text`` and write the segments in ascending ``doc_id`` order; gives the path.
 
     Shards are ranges of ``doc_id`` between sampled quantiles; a row's order within its shard is
     (doc_id, text). A null id comes first, a null or empty text has the end id alone. Rows that share an
-    id stand side by side; extra columns are not read.
+    id stand side by side; extra columns are not read. ``ordinary`` as in ``encode_texts``.
     """
     spark = docs.sparkSession
     path = path or f"{shared_folder(spark).rstrip('/')}/token-ids-{uuid.uuid4().hex}"
@@ -148,7 +156,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str | None = None, shards:
         .repartitionById(len(cuts) + 1, F.col("shard").cast("int"))
         .sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "text")
     )
-    rows.mapInArrow(lambda it: _write(it, tokenizer), SEGMENT).write.parquet(path)
+    rows.mapInArrow(lambda it: _write(it, tokenizer, ordinary), SEGMENT).write.parquet(path)
     return path
 
 

@@ -11,7 +11,7 @@ import sentencepiece
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
-from tallyspark.llm import pieces, tokens
+from tallyspark.llm import pieces, queries, tokens
 
 BPE, MODEL = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -92,3 +92,16 @@ def test_ids_decode_exactly_here_and_in_the_library(docs, hard):
         assert row.decoded == text and theirs.decode(row.piece_ids) == text and row.n_pieces == len(row.piece_ids)
         assert row.piece_ids == pieces.encode_text(pieces.load(MODEL), row.text or "")
     assert all(r.round_trip for r in pieces.round_trips(docs(hard), MODEL).collect())
+
+
+def test_the_query_gives_special_tokens_their_single_id_like_the_plain_library(spark, docs, tmp_path):
+    end = "<|endoftext|>"
+    texts = [f"x {end} a", f"in{end}side", f"x\n {end}\n b", f"{end}  two", f"a  {end} {end}", f"{end}", "<|endoftext |>", f"c {end} ", None]
+    docs(list(enumerate(texts))).write.parquet(str(tmp_path / "documents.parquet"))
+    plain, start = Tokenizer.from_file(BPE), 0
+    got = sorted((tuple(r) for r in queries.op2_token_ids(spark, str(tmp_path)).collect()), key=lambda r: r[1])
+    for row, text in zip(got, texts, strict=True):
+        ids = [*plain.encode(text or "", add_special_tokens=False).ids, tokens.END_ID]
+        assert (50256 in ids) == (end in (text or ""))
+        assert row == (texts.index(text), start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
