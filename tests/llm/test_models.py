@@ -209,3 +209,17 @@ def test_every_language_word_and_gram_counts(spark, docs, common):
     expected = plain_languages(train, texts)
     assert [got[i].lang_pred for i in range(len(texts))] == [x for x, _ in expected] == wanted
     assert np.allclose([got[i].score for i in range(len(texts))], [s for _, s in expected], atol=2e-3)
+
+
+def test_the_language_stage_corrects_labels_and_drops_noise_only(spark):
+    import corpus_pipeline as pipeline
+
+    rng = np.random.default_rng(9)
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    noise = [" ".join("".join(rng.choice(list("bcdfghjklmnpqrstvwxzаžчøł"), rng.integers(3, 9))) for _ in range(80)) for _ in range(8)]
+    rows = spark.createDataFrame([(10**7 + i, t) for i, t in enumerate(noise)], "doc_id long, text string").selectExpr("doc_id", "text", "'en' as lang")
+    wrong = F.col("doc_id") % 50 == 7
+    tagged = table.withColumn("lang", F.when(wrong, F.when(F.col("lang") == "de", "fr").otherwise("de")).otherwise(F.col("lang")))
+    got = pipeline.language_id(spark, tagged.unionByName(rows, allowMissingColumns=True), "")
+    truth = {r.doc_id: r.lang for r in table.select("doc_id", "lang").collect()}
+    assert {r.doc_id: r.lang for r in got.select("doc_id", "lang").collect()} == truth
