@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import language, lines, mixing, near, passages, pieces, quality, suffixes, tokens, topk
+from . import centroids, language, lines, merkle, mixing, near, passages, pieces, quality, suffixes, tokens, topk
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -48,10 +48,13 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = _table(spark, sf_dir, "embeddings")
-    vectors = table.select("vec_id", F.col(next(c for c, t in table.dtypes if t.startswith("array"))).alias("vector"))
-    return topk.exact_top_k(vectors, F.col("vec_id") % 20 == 0)
+    return table.select("vec_id", F.col(next(c for c, t in table.dtypes if t.startswith("array"))).alias("vector"))
+
+
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_top_k(_vectors(spark, sf_dir), F.col("vec_id") % 20 == 0)
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,14 +89,59 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "domain", "language", "leaf_source", "mix_tokens", "leaf_budget", "epoch")
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_vectors(spark, sf_dir))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.document_manifest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_suffix_dedup, op2_token_ids, op3_substring_dedup, op4_line_dedup, op5_minhash_dedup, op6_quality_rules,
-        op7_exact_top_k, op8_sentencepiece, op9_language_id, op10_mixing,
+        op7_exact_top_k, op8_sentencepiece, op9_language_id, op10_mixing, op11_centroid_clustering, op12_merkle_manifest,
     )
 }
 
+def _rounds_sql(clusters: int, rounds: int) -> str:
+    """SQL of the clustering: one CTE per round of assignment and one per round of centroids."""
+    parts = [
+        f"""
+        WITH v AS MATERIALIZED (
+            SELECT row_number() OVER () AS r, vec_id,
+                   list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+            FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), c0 AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY sha256('3:' || coalesce(CAST(vec_id AS VARCHAR), '')), q) - 1 AS c, q FROM v QUALIFY c < {clusters}
+        )"""
+    ]
+    for i in range(rounds + 1):
+        parts.append(
+            f"""a{i} AS MATERIALIZED (
+            SELECT r, min({{'d': CAST(list_sum(list_transform(list_zip(v.q, k.q), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT), 'c': c}}) AS m
+            FROM v CROSS JOIN c{i} k GROUP BY r
+        )"""
+        )
+        if i < rounds:
+            parts.append(
+                f"""c{i + 1} AS MATERIALIZED (
+            SELECT k.c, coalesce(t.q, k.q) AS q FROM c{i} k LEFT JOIN (
+                SELECT c, list(CAST((s - (s % n + n) % n) // n AS BIGINT) ORDER BY i) AS q FROM (
+                    SELECT m.c AS c, i, sum(x) AS s, count(*) AS n
+                    FROM (SELECT m, unnest(q) AS x, generate_subscripts(q, 1) AS i FROM v JOIN a{i} USING (r)) GROUP BY m.c, i
+                ) GROUP BY c
+            ) t ON t.c = k.c
+        )"""
+            )
+    return ", ".join(parts) + f"""
+        SELECT vec_id, CAST(m.c AS INTEGER) AS cluster, m.d AS distance, CAST(sum(m.d) OVER (PARTITION BY m.c) AS BIGINT) AS cluster_inertia,
+               CAST(sum(m.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(k.q, ',')) AS centroid_sha256
+        FROM a{rounds} JOIN v USING (r) JOIN c{rounds} k ON k.c = m.c
+    """
+
+
 #: What SQL can express. Suffixes, automata, hashes of kept bytes, piece searches and models are tested by brute force.
 ORACLES: dict[str, str] = {
     "op4_line_dedup": r"""
@@ -135,4 +183,50 @@ ORACLES: dict[str, str] = {
         SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
         FROM s QUALIFY rank <= 20
     """,
+    "op11_centroid_clustering": _rounds_sql(centroids.CLUSTERS, centroids.ROUNDS),
+    "op12_merkle_manifest": r"""
+        WITH RECURSIVE part AS (
+            SELECT doc_id, text, lang, coalesce('v' || lang, 'n') AS g, coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+                   list_reduce(list_transform([CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR)],
+                                              lambda x: coalesce(strlen(x) || ':' || x, '-')), lambda a, b: a || b) AS head
+            FROM documents
+        ), chosen AS (
+            SELECT *, xor(list_reduce(flatten([[4294967295], flatten(list_transform(list_filter(string_split(id, ''), lambda x: x <> ''),
+                       lambda x: [ascii(x), -1, -1, -1, -1, -1, -1, -1, -1]))]),
+                       lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END), 4294967295) % 3 = 0 AS tampered
+            FROM part
+        ), leaf AS MATERIALIZED (
+            SELECT doc_id, g, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS h,
+                   sha256(head || coalesce(strlen(text) || ':' || CASE WHEN tampered THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END, '-')) AS t
+            FROM chosen
+        ), placed AS MATERIALIZED (
+            SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM leaf
+        ), tree AS (
+            SELECT 0 AS lvl, g, i, n, h FROM placed
+            UNION ALL
+            SELECT lvl + 1, g, i // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM tree WHERE n > 1 GROUP BY lvl, g, i // 8, n
+        ), tops AS MATERIALIZED (
+            SELECT g, lvl AS height, h AS subroot, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM tree WHERE n = 1
+        ), upper_tree AS (
+            SELECT 0 AS lvl, '' AS g, i, n, subroot AS h FROM tops
+            UNION ALL
+            SELECT lvl + 1, g, i // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM upper_tree WHERE n > 1 GROUP BY lvl, g, i // 8, n
+        ), sides AS MATERIALIZED (
+            SELECT lvl, g, i, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a,
+                   coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS b
+            FROM (SELECT * FROM tree UNION ALL SELECT * FROM upper_tree) WHERE n > 1 WINDOW w AS (PARTITION BY lvl, g, i // 8 ORDER BY i)
+        ), low AS (
+            SELECT g, i AS spot, 0 AS lvl, i, t AS cur, '' AS proof FROM placed
+            UNION ALL
+            SELECT low.g, spot, low.lvl + 1, low.i // 8, sha256(a || cur || b), proof || a || b FROM low JOIN sides USING (g, lvl, i)
+        ), high AS (
+            SELECT low.g AS own, spot, 0 AS lvl, tops.i, cur, proof FROM low JOIN tops ON tops.g = low.g AND tops.height = low.lvl
+            UNION ALL
+            SELECT own, spot, high.lvl + 1, high.i // 8, sha256(a || cur || b), proof || a || b
+            FROM high JOIN sides ON sides.g = '' AND sides.lvl = high.lvl AND sides.i = high.i
+        )
+        SELECT p.doc_id, p.h AS leaf, tops.subroot, r.h AS root, sha256(high.proof) AS proof_sha256, high.cur AS folded_root, high.cur = r.h AS verified
+        FROM placed p JOIN tops ON tops.g = p.g JOIN upper_tree r ON r.n = 1
+        JOIN high ON high.own = p.g AND high.spot = p.i AND high.lvl = r.lvl
+    """,
 }
