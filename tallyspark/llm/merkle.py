@@ -118,8 +118,9 @@ def manifest(leaves: DataFrame, order: list[str], arity: int = ARITY) -> DataFra
     the node in its run (empty where the run has no other). One lone leaf is its own root; no leaf gives no row.
     """
     staging = Staging(leaves.sparkSession)
-    rows = staging.table(numbered(leaves, [*order, "h"], staging, "merkle-leaves"), "merkle-leaves")
-    staging.drop("merkle-leaves-ranged")
+    hashed = staging.table(leaves, "merkle-hashed")  # a range partitioning reads its input twice
+    rows = staging.table(numbered(hashed, [*order, "h"], staging, "merkle-leaves"), "merkle-leaves")
+    staging.drop("merkle-hashed", "merkle-leaves-ranged")
     levels, subroots = climb(rows.select("g", "i", "n", "h"), arity, staging, "merkle-level")
     subroots = staging.table(subroots.select(F.lit("").alias("g"), F.col("g").alias("name"), "height", "h"), "merkle-subroots")
     upper = staging.table(numbered(subroots, ["name"], staging, "merkle-upper"), "merkle-upper")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import centroids, language, lines, merkle, mixing, near, passages, pieces, quality, suffixes, tokens, topk
+from . import centroids, jaccard, language, lines, merkle, mixing, near, passages, pieces, quality, suffixes, tokens, topk
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -97,11 +97,16 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.document_manifest(_table(spark, sf_dir, "documents"))
 
 
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked_documents(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_suffix_dedup, op2_token_ids, op3_substring_dedup, op4_line_dedup, op5_minhash_dedup, op6_quality_rules,
         op7_exact_top_k, op8_sentencepiece, op9_language_id, op10_mixing, op11_centroid_clustering, op12_merkle_manifest,
+        op13_ngram_join,
     )
 }
 
