@@ -21,6 +21,7 @@ in every task. It steers cost only; any order gives the same links.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -155,13 +156,6 @@ def ngram_join(
     able = classes.join(cost, "c").withColumn("l", match).drop("cost")
     facts = staging.table(able.withColumn("prefix", F.expr(f"slice(prefix, 1, cast(n - {needed} + l as int))")), "join-facts")
 
-    # The full sets of the classes that meet others, each from one row with its id and sums.
-    wanted = facts.select("id").distinct()
-    texts = read.join(wanted, read["doc_id"].eqNullSafe(wanted["id"]), "left_semi").select("text")
-    sets = texts.mapInArrow(lambda it: _sets(it, width), "s1 long, s2 long, tokens array<long>")
-    sets = sets.join(facts.select("s1", "s2", "c"), ["s1", "s2"]).groupBy("c").agg(F.first("tokens").alias("tokens"))
-    sets = staging.table(sets, "join-sets")
-
     def fits(x: str, y: str) -> str:
         """What sizes and parity maps allow; exact, no link is lost."""
         differ = " + ".join(f"bit_count({x}.{m} ^ {y}.{m})" for m in _MAPS)
@@ -174,13 +168,28 @@ def ngram_join(
         """The prefix of a set for the smaller of two numbers of matches."""
         return f"slice({x}.prefix, 1, cast({x}.n - (({percent} * {x}.n + 99) div 100) + least(x.l, y.l) as int))"
 
+    held: list[DataFrame] = []
+
+    def full_sets(ids: DataFrame, name: str) -> DataFrame:
+        """(c, tokens) of all classes met so far; those not met before are read from one row with their id and sums."""
+        for before in held:
+            ids = ids.join(before.select("c"), "c", "left_anti")
+        wanted = staging.table(ids.join(facts.select("c", "id", "s1", "s2"), "c"), f"{name}-wanted")
+        ours = wanted.select("id").distinct()
+        texts = read.join(ours, read["doc_id"].eqNullSafe(ours["id"]), "left_semi").select("text")
+        sets = texts.mapInArrow(lambda it: _sets(it, width), "s1 long, s2 long, tokens array<long>")
+        sets = sets.join(wanted.select("s1", "s2", "c"), ["s1", "s2"]).groupBy("c").agg(F.first("tokens").alias("tokens"))
+        held.append(staging.table(sets, f"{name}-sets"))
+        return functools.reduce(DataFrame.unionByName, held)
+
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """Of distinct pairs (a, b) those that link: by bounds, by matches in the prefixes, then on the full sets."""
         x, y = facts.withColumnRenamed("c", "a").alias("x"), facts.withColumnRenamed("c", "b0").alias("y")
         matched = pairs.join(x, "a").join(y, F.expr(f"b = b0 and {fits('x', 'y')}")).where(
             F.expr(f"size(array_intersect({prefix('x')}, {prefix('y')})) >= least(x.l, y.l)")
         )
-        matched = matched.select("a", "b", F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b"))
+        matched = staging.table(matched.select("a", "b", F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b")), f"{name}-matched")
+        sets = full_sets(matched.select(F.col("a").alias("c")).union(matched.select("b")).distinct(), name)
         full = matched.join(sets.select(F.col("c").alias("a"), F.col("tokens").alias("tokens_a")), "a")
         full = full.join(sets.select(F.col("c").alias("b"), F.col("tokens").alias("tokens_b")), "b")
         full = full.withColumn("overlap", F.size(F.array_intersect("tokens_a", "tokens_b")).cast("long")).drop("tokens_a", "tokens_b")
