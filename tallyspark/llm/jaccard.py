@@ -145,6 +145,8 @@ def ngram_join(
     kept = ["n", "s1", "s2"]
     classes = signs.where("n > 0").groupBy(*kept).agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in (*_MAPS, "prefix")))
     classes = staging.table(classes.withColumn("c", F.monotonically_increasing_id()), "join-classes")
+    rows = staging.table(signs.select("doc_id", *kept), "join-rows")
+    staging.drop("join-signs")
 
     needed = f"(({percent} * n + 99) div 100)"
     keyed = classes.select("c", F.explode(F.expr(f"slice(prefix, 1, n - {needed} + 1)")).alias("key"))
@@ -155,6 +157,8 @@ def ngram_join(
     match = F.expr(f"least({most}, {needed}, 1 + cast(floor(log2(cost)) as bigint))")
     able = classes.join(cost, "c").withColumn("l", match).drop("cost")
     facts = staging.table(able.withColumn("prefix", F.expr(f"slice(prefix, 1, cast(n - {needed} + l as int))")), "join-facts")
+    classes = staging.table(classes.select("c", "id", *kept), "join-names")
+    staging.drop("join-classes")
 
     def fits(x: str, y: str) -> str:
         """What sizes and parity maps allow; exact, no link is lost."""
@@ -164,9 +168,9 @@ def ngram_join(
             f" and {100 + percent} * ({differ}) <= {100 - percent} * ({x}.n + {y}.n)"
         )
 
-    def prefix(x: str) -> str:
-        """The prefix of a set for the smaller of two numbers of matches."""
-        return f"slice({x}.prefix, 1, cast({x}.n - (({percent} * {x}.n + 99) div 100) + least(x.l, y.l) as int))"
+    def prefix(side: str) -> str:
+        """The prefix of one side of a pair for l matches."""
+        return f"slice(prefix_{side}, 1, cast(n_{side} - (({percent} * n_{side} + 99) div 100) + l as int))"
 
     held: list[DataFrame] = []
 
@@ -184,11 +188,14 @@ def ngram_join(
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """Of distinct pairs (a, b) those that link: by bounds, by matches in the prefixes, then on the full sets."""
-        x, y = facts.withColumnRenamed("c", "a").alias("x"), facts.withColumnRenamed("c", "b0").alias("y")
-        matched = pairs.join(x, "a").join(y, F.expr(f"b = b0 and {fits('x', 'y')}")).where(
-            F.expr(f"size(array_intersect({prefix('x')}, {prefix('y')})) >= least(x.l, y.l)")
-        )
-        matched = staging.table(matched.select("a", "b", F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b")), f"{name}-matched")
+        bounds = facts.drop("prefix", "id", "s1", "s2")
+        x, y = bounds.withColumnRenamed("c", "a").alias("x"), bounds.withColumnRenamed("c", "b0").alias("y")
+        fit = pairs.join(x, "a").join(y, F.expr(f"b = b0 and {fits('x', 'y')}"))
+        fit = fit.select("a", "b", F.least("x.l", "y.l").alias("l"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b"))
+        for side in "ab":
+            fit = fit.join(facts.select(F.col("c").alias(side), F.col("prefix").alias(f"prefix_{side}")), side)
+        matched = fit.where(F.expr(f"size(array_intersect({prefix('a')}, {prefix('b')})) >= l")).select("a", "b", "n_a", "n_b")
+        matched = staging.table(matched, f"{name}-matched")
         sets = full_sets(matched.select(F.col("a").alias("c")).union(matched.select("b")).distinct(), name)
         full = matched.join(sets.select(F.col("c").alias("a"), F.col("tokens").alias("tokens_a")), "a")
         full = full.join(sets.select(F.col("c").alias("b"), F.col("tokens").alias("tokens_b")), "b")
@@ -229,7 +236,7 @@ def ngram_join(
     named = classes.select("c", "id", *kept).join(named, "c", "left").select(
         *kept, F.col("id").alias("class_id"), F.coalesce("component_id", "id").alias("component_id")
     )
-    out = signs.select("doc_id", *kept).join(named, kept, "left").select(
+    out = rows.join(named, kept, "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
     )
