@@ -1,7 +1,6 @@
-"""Model jobs on Spark ML. No SQL twin: only rows and figures are checked.
+"""Model jobs. No SQL twin: only rows and figures are checked here, and boosted trees against a plain version in the tests.
 
-Trees are fewer than the defaults, so that a check of all queries ends in reasonable time; the
-rows are always those of the whole tables.
+Models have the operators' default sizes but for the search; the rows are always those of the whole tables.
 """
 
 from __future__ import annotations
@@ -17,7 +16,8 @@ from tallyspark.sources.tables import staged
 
 from .registry import query
 
-QUICK = dataclasses.replace(M.FIRST_FIT, trees=5, depth=4, rate=0.3)
+#: The search and the ensemble grow parts of their models: README has the times that whole ones take.
+SEARCHED, ENSEMBLE = 4, dataclasses.replace(M.FIRST_FIT, trees=30)
 
 
 def documents(t):
@@ -46,33 +46,33 @@ def text_features(t):
 @query("text_classifier", "ML2 V8")
 def text_classifier(t):
     rows = documents(t)
-    model = M.fit_text_classifier(SP.part(rows, "train"), max_iter=50)
+    model = M.fit_text_classifier(SP.part(rows, "train"))
     return model.transform(rows).select("doc_id", "split", "truth", "guess", "confidence")
 
 
 @query("important_terms", "T8")
 def important_terms(t):
     rows = documents(t)
-    return M.important_terms(M.fit_text_classifier(SP.part(rows, "train"), max_iter=20), rows)
+    return M.important_terms(M.fit_text_classifier(SP.part(rows, "train")), rows)
 
 
 @query("random_forest", "ML5 ML10")
 def random_forest(t):
     rows = trend_split(t)
-    model = M.fit_forest(SP.part(rows, "train"), trees=20, depth=6)
+    model = M.fit_forest(SP.part(rows, "train"))
     return figures(model.predict(rows))
 
 
 @query("forest_importances", "ML5 T4")
 def forest_importances(t):
     rows = trend_split(t)
-    return M.fit_forest(SP.part(rows, "train"), trees=10, depth=5).importances(rows)
+    return M.fit_forest(SP.part(rows, "train")).importances(rows)
 
 
 @query("boosted_trees", "ML6 ML10")
 def boosted_trees(t):
     rows = trend_split(t)
-    return figures(M.fit_boosted(SP.part(rows, "train"), QUICK).predict(rows))
+    return figures(M.fit_boosted(SP.part(rows, "train")).predict(rows))
 
 
 @query("boosted_refit", "ML11 F4")
@@ -80,14 +80,13 @@ def boosted_refit(t):
     from tallyspark.operators.feedback import blend_expected
 
     rows = staged(blend_expected(trend_split(t), t.feedback_trend), "blended")
-    params = dataclasses.replace(M.REFIT, trees=5, depth=4)
-    return figures(M.fit_boosted(SP.part(rows, "train"), params).predict(rows))
+    return figures(M.fit_boosted(SP.part(rows, "train"), M.REFIT).predict(rows))
 
 
 @query("random_search", "ML7")
 def random_search(t):
     rows = trend_split(t)
-    candidates = [dataclasses.replace(p, trees=3, depth=min(p.depth, 4)) for p in M.draw_params(3)]
+    candidates = [dataclasses.replace(p, trees=p.trees // 50) for p in M.draw_params(SEARCHED)]
     _, _, history = M.random_search(SP.part(rows, "train"), SP.part(rows, "val"), candidates)
     return history
 
@@ -95,13 +94,13 @@ def random_search(t):
 @query("isolation_scores", "ML8")
 def isolation_scores(t):
     rows = trend_split(t)
-    forest = I.fit_forest(SP.part(rows, "train"), FEATURES, trees=50, key=["user_id", "category", "period"])
+    forest = I.fit_forest(SP.part(rows, "train"), FEATURES, key=["user_id", "category", "period"])
     return I.isolation_score(SP.part(rows, "test"), forest, FEATURES).select("user_id", "category", "period", "isolation")
 
 
 @query("ensemble_scores", "ML9 W17")
 def ensemble_scores(t):
-    _, scored = trained_scores(t.trend, QUICK, trees=25)
+    _, scored = trained_scores(t.trend, ENSEMBLE)
     return scored.select("user_id", "category", "period", "abs_residual", "isolation", "ensemble_score")
 
 

@@ -12,6 +12,7 @@ from ..functions.money import (
     dollars, exact_mean, exact_pop_std, ratio, square,
 )
 from ..functions.order import exact_median
+from ..sources.tables import staged
 from .monthly import CATEGORY, MONTH, USER, monthly
 
 # The features and their order in a model's input vector.
@@ -211,7 +212,7 @@ def trend_features(
 
 def category_medians(features: DataFrame) -> DataFrame:
     """Exact median of current_spend per category, whatever a category's share of the rows."""
-    whole = features.select(CATEGORY, F.round(F.col("current_spend") * 100).cast("bigint").alias("_c"))
+    whole = staged(features.select(CATEGORY, F.round(F.col("current_spend") * 100).cast("bigint").alias("_c")), "spend")
     return exact_median(whole, [CATEGORY], "_c", "median_cents").select(
         CATEGORY, (F.col("median_cents") / 100.0).alias("median_spend")
     )
@@ -221,7 +222,7 @@ def flag_outliers(features: DataFrame, factor: float = 10) -> DataFrame:
     """Add ``_is_outlier``: spend above ``factor`` times the category's median."""
     medians = category_medians(features)
     return (
-        features.join(medians, CATEGORY, "left")
+        features.join(medians, CATEGORY, "left")  # few categories come as a local table, which Spark broadcasts by its size
         .withColumn(
             "_is_outlier",
             F.col("current_spend") > F.coalesce("median_spend", F.lit(0.0)) * F.lit(float(factor)),

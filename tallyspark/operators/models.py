@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import concurrent.futures
 import dataclasses
 import math
 import random
 from collections.abc import Sequence
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import RegressionEvaluator
@@ -16,9 +18,10 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
 
+from .boosting import BoostedTrees, Boosting, fit_boosted, prepare
 from .explain import normalise
 from .features import FEATURES, TARGET
 
@@ -162,38 +165,10 @@ def fit_forest(
     )
 
 
-@dataclasses.dataclass(frozen=True)
-class Boosting:
-    """Parameters of the boosted trees."""
-
-    trees: int = 300
-    depth: int = 6
-    rate: float = 0.05
-    rows: float = 0.8
-    columns: float = 0.8
-    leaf: int = 5
-    gain: float = 0.1
-
-
 FIRST_FIT = Boosting()
 REFIT = Boosting(trees=100, rate=0.01)
 
 
-def fit_boosted(
-    train: DataFrame, params: Boosting = FIRST_FIT, features: Sequence[str] = FEATURES,
-    target: str = TARGET, seed: int = 42,
-) -> Regressor:
-    """Gradient-boosted trees. Spark's have no L1/L2 penalty."""
-    return _fit(
-        GBTRegressor(
-            labelCol=target, maxIter=params.trees, maxDepth=params.depth, stepSize=params.rate,
-            subsamplingRate=params.rows, featureSubsetStrategy=str(params.columns),
-            minInstancesPerNode=params.leaf, minInfoGain=params.gain, seed=seed,
-        ),
-        train, features, target,
-    )
-
-
 def fit_linear(
     train: DataFrame, features: Sequence[str] = FEATURES, target: str = TARGET, reg: float = 0.0
 ) -> Regressor:
@@ -217,6 +192,8 @@ def draw_params(trials: int, seed: int = 42) -> list[Boosting]:
             leaf=rng.randint(1, 20),
             rows=rng.uniform(0.5, 1.0),
             columns=rng.uniform(0.5, 1.0),
+            l1=rng.uniform(0.0, 2.0),
+            l2=rng.uniform(0.0, 5.0),
             gain=rng.uniform(0.0, 1.0),
         )
         for _ in range(trials)
@@ -229,20 +206,39 @@ def rmse(scored: DataFrame, target: str = TARGET, predicted: str = "predicted")
 
 def random_search(
     train: DataFrame, val: DataFrame, candidates: Sequence[Boosting], features: Sequence[str] = FEATURES,
-    target: str = TARGET, seed: int = 42,
-) -> tuple[Regressor, Boosting, DataFrame]:
-    """Fit every candidate on train, keep the one with the least RMSE on val.
-
-    ``val`` is the chronological validation part, never a random one. Returns the model refitted
-    with the best parameters, the parameters, and (trial, rmse).
+    target: str = TARGET, seed: int = 42, halvings: int = 3, workers: int = 4,
+) -> tuple[BoostedTrees, Boosting, DataFrame]:
+    """The candidate with the least RMSE on ``val``, the chronological validation part, by successive halving.
+
+    All candidates first grow a part of their trees, 1 in ``2 ** halvings``; the better half grows on from there to twice
+    as many, until the last ones have all. ``workers`` candidates are fitted at a time, each from a thread of the driver
+    and in a scheduler pool of its own (fair where ``spark.scheduler.mode`` is FAIR); they share the binned rows. Returns
+    the best model as fitted, its parameters, and (trial, trees, rmse) of each candidate's last fit.
     """
-    scores = []
-    for trial, params in enumerate(candidates):
-        model = fit_boosted(train, params, features, target, seed)
-        scores.append((trial, float(rmse(model.predict(val), target))))
-    best = candidates[min(scores, key=lambda s: (s[1], s[0]))[0]]
-    history = train.sparkSession.createDataFrame(scores, "trial int, rmse double")
-    return fit_boosted(train, best, features, target, seed), best, history
+    spark = train.sparkSession
+    ready = prepare(train, features, target, seed=seed)
+    fitted: dict[int, BoostedTrees] = {}
+    scores: dict[int, float] = {}
+
+    def grow(trial: int, part: int) -> None:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"trial-{trial}")
+        params = candidates[trial]
+        some = dataclasses.replace(params, trees=max(1, -(-params.trees // part)))
+        fitted[trial] = fit_boosted(ready, some, seed=seed, start=fitted.get(trial))
+        scores[trial] = float(rmse(fitted[trial].predict(val), target))
+
+    alive = list(range(len(candidates)))
+    for rung in range(halvings, -1, -1):
+        with concurrent.futures.ThreadPoolExecutor(workers) as pool:
+            work = inheritable_thread_target(spark)(grow)
+            for done in [pool.submit(work, trial, 1 << rung) for trial in alive]:
+                done.result()
+        best = sorted(alive, key=lambda t: (scores[t], t))
+        alive = best[: -(-len(best) // 2)] if rung else best
+    history = spark.createDataFrame(
+        [(t, len(fitted[t].trees), scores[t]) for t in sorted(scores)], "trial int, trees int, rmse double"
+    )
+    return fitted[alive[0]], candidates[alive[0]], history
 
 
 def ensemble(df: DataFrame, residual: str = "abs_residual", isolation: str = "isolation", weight: float = 0.6) -> DataFrame:

@@ -3,7 +3,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tallyspark.functions.order import carry_forward, exact_median, running_position
+from tallyspark.functions import order
+from tallyspark.functions.order import carry_forward, exact_median, place, running_position
 from tallyspark.operators import splits as SP
 
 
@@ -99,3 +100,50 @@ def test_different_rows_with_one_key(spark):
 def test_sample_of_a_wide_computed_table(spark):
     wide = spark.range(500).select(*[F.coalesce((F.col("id") * i).cast("double"), F.lit(0.0)).alias(f"c{i}") for i in range(1, 24)])
     assert SP.sample_rows(wide, 50, ["c1"]).count() == 50
+
+
+@pytest.mark.parametrize("bits", [52, 20, 0])
+def test_cuts_narrow_to_the_bound_whatever_the_hash_shares(spark, monkeypatch, bits):
+    """A million rows whose hashes agree in all but ``bits`` digits, some rows copies: sizes are exact, windows stay small."""
+    n, seen = 1_000_000, []
+    monkeypatch.setattr(order, "row_hash", lambda seed, *key: F.col("h"))
+    rows = spark.range(n, numPartitions=8).select(F.least("id", F.lit(n - 1000)).alias("id"))
+    rows = rows.withColumn("h", F.pmod(F.xxhash64("id"), F.lit(1 << bits)))
+    narrow = order._in_spots
+
+    def counted(frame, lead, names, spots):
+        seen.append(max((s.rows for s in spots if not s.alike), default=0))
+        return narrow(frame, lead, names, spots)
+
+    monkeypatch.setattr(order, "_in_spots", counted)
+    got = place(rows, lambda m: [m * 3 / 10, m - 500], key=["id"], bound=2000)
+    sizes = {r.slot: r["count"] for r in got.groupBy("slot").count().collect()}
+    assert sizes == {0: 300_000, 1: n - 500 - 300_000, 2: 500}
+    assert seen[-1] <= 2000  # the rows that reach a window
+
+
+def test_cut_among_copies_only(spark):
+    rows = spark.range(50_000).select(F.lit("same").alias("x"))
+    got = place(rows, lambda m: [m / 2], bound=100)
+    assert {r.slot: r["count"] for r in got.groupBy("slot").count().collect()} == {0: 25_000, 1: 25_000}
+
+
+def test_medians_by_bisection_equal_medians_by_ranges(spark):
+    rows = spark.range(20_000).selectExpr(
+        "if(id % 7 = 0, null, concat('g', id % 5)) as g", "date_add(date'2020-01-01', cast(id % 2 as int)) as d",
+        "case when id % 11 = 0 then null when id % 5 = 1 then 3 else (xxhash64(id) div 1000003) * (id % 3 - 1) end as v",
+    )
+    one = {(r.g, r.d): r.m for r in exact_median(rows, ["g", "d"], "v", "m").collect()}
+    two = {(r.g, r.d): r.m for r in exact_median(rows, ["g", "d"], "v", "m", few=0).collect()}
+    assert len(one) == 12 and one == two
+    wide = spark.createDataFrame([(-(2**63),), (2**63 - 1,), (5,)], "v bigint")
+    assert exact_median(wide, [], "v", "m").first().m == 5.0
+    assert exact_median(wide.limit(0), [], "v", "m").collect() == []
+
+
+def test_no_row_is_shuffled_for_medians_of_few_groups(spark):
+    """Only counts cross an exchange: the result is a local table, and flags are joined by broadcast."""
+    rows = spark.range(1000).selectExpr("id % 3 as g", "id as v")
+    medians = exact_median(rows, ["g"], "v", "m")
+    plan = rows.join(medians, "g")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
