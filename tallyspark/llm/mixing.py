@@ -15,11 +15,15 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .shared import Staging
+
 LEVELS = ("domain", "language", "leaf_source")
 MAX_EPOCHS = 4
 SEED = 17
 #: 65,536 ranges of the seeded order per leaf: the running sum goes over ranges, then within the cut's range.
 RANGE_HEX = 4
+#: Leaves are sent to every task up to this many, after counting; more are joined by a shuffle.
+BROADCAST_LEAVES = 1 << 16
 
 
 def n_words(text: Column) -> Column:
@@ -91,48 +95,59 @@ def mix_sources(
     One row for each epoch in which a document is taken. ``budget`` is a column over the total
     ``_tokens``. A null language or source is the leaf ``?``. In an epoch the order is the md5 of
     (seed, epoch, doc_id); rows with equal ids are peers and are taken together. A text without words
-    has no tokens and is taken wherever the prefix reaches it. An empty table gives an empty one. Columns
-    of ``docs`` called like the added ones are replaced.
+    has no tokens and is taken wherever the prefix reaches it; a text of any length is taken whole or not.
+    An empty table gives an empty one. Columns of ``docs`` called like the added ones are replaced.
 
-    No window holds a leaf: tokens are summed per range of the seeded order (65,536 ranges a leaf), the
-    running sum goes over ranges, and only rows of the one range at the cut are ordered.
+    Texts are never shuffled. Tokens are summed per range of the seeded order (65,536 ranges a leaf), the running sum goes
+    over ranges, and only the keys in the one range at the cut are ordered; that gives the last key taken of each leaf, and
+    every row is then compared with its leaf's.
     """
-    clash = {*LEVELS, "mix_tokens", "leaf_budget", "epoch"}
-    kept = [c for c in docs.columns if c not in clash]
-    rows = docs.withColumns({
-        "domain": F.coalesce(domain, F.lit("?")),
-        "language": F.coalesce(F.col("lang"), F.lit("?")),
-        "leaf_source": F.coalesce(F.col("source"), F.lit("?")),
-        "mix_tokens": n_words(F.col("text")),
-    }).select(*kept, *LEVELS, "mix_tokens")
+    added = {*LEVELS, "mix_tokens", "leaf_budget", "epoch"}
+    stage = Staging(docs.sparkSession)
+    leaf = {
+        "domain": F.coalesce(domain, F.lit("?")), "language": F.coalesce(F.col("lang"), F.lit("?")),
+        "leaf_source": F.coalesce(F.col("source"), F.lit("?")), "mix_tokens": n_words(F.col("text")),
+        "id": F.coalesce(F.col("doc_id").cast("string"), F.lit("?")),
+    }
+    rows = stage.table(docs.select(*(column.alias(name) for name, column in leaf.items())), "mix-rows")
     leaves = rows.groupBy(*LEVELS).agg(F.sum("mix_tokens").alias("tokens"))
     budgets = leaf_budgets(leaves, budget, domain_weights or {}, language_weights or {}, source_weights or {}, 1, max_epochs)
-    plan = budgets.select(
+    plan = stage.table(budgets.select(
         *LEVELS, F.col("budget").alias("leaf_budget"),
-        F.when(F.col("tokens") > 0, F.expr("budget div tokens")).otherwise(0).alias("_whole"),
-        F.when(F.col("tokens") > 0, F.expr("budget % tokens")).otherwise(0).alias("_part"),
-    )
+        F.when(F.col("tokens") > 0, F.expr("budget div tokens")).otherwise(0).alias("whole"),
+        F.when(F.col("tokens") > 0, F.expr("budget % tokens")).otherwise(0).alias("part"),
+    ), "mix-plan")
+    few = plan.count() <= BROADCAST_LEAVES
+
+    def with_leaf(rows: DataFrame, leaves: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(leaves) if few else leaves, list(LEVELS))
+
     # The order of the last, partly taken epoch.
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), (F.col("_whole") + 1).cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("?"))))
-    placed = rows.join(plan, list(LEVELS)).withColumn("_key", key).withColumn("_range", F.substring("_key", 1, RANGE_HEX))
-    sums = placed.groupBy(*LEVELS, "_range", "_part").agg(F.sum("mix_tokens").alias("_tokens"))
-    ahead = Window.partitionBy(*LEVELS).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("_ahead", F.coalesce(F.sum("_tokens").over(ahead), F.lit(0)))
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), (F.col("whole") + 1).cast("string"), F.col("id")))
+    placed = with_leaf(rows, plan).where("part > 0").withColumn("key", key).withColumn("range", F.substring("key", 1, RANGE_HEX))
+    sums = placed.groupBy(*LEVELS, "range", "part").agg(F.sum("mix_tokens").alias("tokens"))
+    before = Window.partitionBy(*LEVELS).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("ahead", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
     # Of each leaf: the one range that the cut falls into, and the tokens before it.
-    cut = sums.where("_ahead + _tokens > _part and _ahead <= _part").groupBy(*LEVELS).agg(
-        F.min(F.struct("_range", "_ahead")).alias("_cut")
-    )
-    cut = cut.select(*LEVELS, F.col("_cut._range").alias("_cut_range"), F.col("_cut._ahead").alias("_cut_ahead"))
-    placed = placed.join(cut, list(LEVELS), "left")
-    at_cut = placed.where("_range = _cut_range")
-    peers = Window.partitionBy(*LEVELS).orderBy("_key")
-    at_cut = at_cut.withColumn("_taken", F.col("_cut_ahead") + F.sum("mix_tokens").over(peers) <= F.col("_part"))
-    others = placed.where("_cut_range is null or _range <> _cut_range").withColumn(
-        "_taken", (F.col("_part") > 0) & F.coalesce(F.col("_range") < F.col("_cut_range"), F.lit(True))
-    )
-    last = F.col("_whole") + F.col("_taken").cast("int")
-    return (
-        others.unionByName(at_cut).withColumn("_last", last).where("_last > 0")
-        .withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_last"))))
-        .select(*kept, *LEVELS, "mix_tokens", "leaf_budget", "epoch")
+    cut = sums.where("ahead + tokens > part and ahead <= part").groupBy(*LEVELS).agg(F.min(F.struct("range", "ahead")).alias("cut"))
+    cut = stage.table(cut.select(*LEVELS, F.col("cut.range").alias("range"), F.col("cut.ahead").alias("ahead")), "mix-cut")
+    near = with_leaf(placed, cut.withColumnRenamed("range", "cut_range")).where("range = cut_range")
+    peers = Window.partitionBy(*LEVELS).orderBy("key")
+    near = near.withColumn("upto", F.col("ahead") + F.sum("mix_tokens").over(peers)).where("upto <= part")
+    taken = near.groupBy(*LEVELS).agg(F.max("key").alias("last_key"))
+    # Keys of earlier ranges are below the bare range, those of the cut's own range above it.
+    limits = plan.join(cut, list(LEVELS), "left").join(taken, list(LEVELS), "left").select(
+        *LEVELS, "leaf_budget", "whole", "part", F.coalesce("last_key", "range").alias("last_key")
     )
+    limits = stage.table(limits, "mix-limits")
+    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in added)).alias("_row")
+    out = with_leaf(docs.select(own, *(column.alias(name) for name, column in leaf.items())), limits)
+    last = F.col("whole") + F.when((F.col("part") > 0) & (key <= F.col("last_key")), 1).otherwise(0)
+    return _epochs(out, last)
+
+
+def _epochs(rows: DataFrame, last: Column) -> DataFrame:
+    """A row for each epoch up to the last one that takes the document."""
+    return rows.withColumn("last", last).where("last > 0").withColumn(
+        "epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("last").cast("long")))
+    ).select("_row.*", *LEVELS, "mix_tokens", "leaf_budget", "epoch")
