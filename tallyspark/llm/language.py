@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import Staging, slices
+from .shared import Staging, partitions, slices
 
 COMMON = 100_000
 #: Text handled at once; bounds a worker's memory.
@@ -171,19 +171,31 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, ROWS)
 
 
+def _lists(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Size of each list (null: 0) and all entries one after another."""
+    return pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64), pc.list_flatten(column)
+
+
+def _field(entries: pa.Array, name: str) -> np.ndarray:
+    return pc.struct_field(entries, name).to_numpy(zero_copy_only=False)
+
+
 def _weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each word its mean gain in each language that has any of its entries."""
     for batch in _parts(batches):
-        out: dict[str, list] = {"j": [], "gain": []}
-        for entries in batch.column("hits").to_pylist():
-            sums: dict[int, int] = {}
-            for hits in entries:
-                for h in hits:
-                    sums[h["j"]] = sums.get(h["j"], 0) + int(gains(h["n"]))
-            out["j"].append(list(sums))
-            out["gain"].append([x // len(entries) for x in sums.values()])
+        held, entries = _lists(batch.column("hits"))
+        size, hits = _lists(entries)
+        word = np.repeat(np.repeat(np.arange(batch.num_rows), held), size)
+        j = _field(hits, "j").astype(np.int64)
+        width = int(j.max(initial=0)) + 1
+        places, at = np.unique(word * width + j, return_inverse=True)
+        sums = np.zeros(len(places), np.int64)
+        np.add.at(sums, at, gains(_field(hits, "n")).astype(np.int64))
+        word, j = np.divmod(places, width)
+        ends = np.searchsorted(word, np.arange(batch.num_rows + 1)).astype(np.int32)
+        mean = sums // held[word]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("word"), batch.column("kind"), pa.array(out["j"], pa.list_(pa.int32())), pa.array(out["gain"], pa.list_(pa.int64()))],
+            [batch.column("word"), batch.column("kind"), pa.ListArray.from_arrays(ends, pa.array(j.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(mean))],
             names=["word", "kind", "j", "gain"],
         )
 
@@ -192,16 +204,23 @@ def _judge(batches: Iterator[pa.RecordBatch], languages: list[str], base: dict[i
     width = len(languages)
     for rows in _parts(batches):
         n = rows.num_rows
-        known = np.array(rows.column("_sums").to_pylist(), np.int64).reshape(n, width)
+        known = _lists(rows.column("_sums"))[1].to_numpy(zero_copy_only=False).astype(np.int64).reshape(n, width).copy()
         count = rows.column("_common").to_numpy().astype(np.int64)
         total = known + count[:, None] * base[0]
         words = count + rows.column("_n_rest").to_numpy()
-        for i, entries in enumerate(rows.column("_found").to_pylist()):
-            for x in entries or ():
-                total[i] += base[x["kind"]]
-                total[i, x["j"]] += x["gain"]
-                if x["kind"] == 0:
-                    known[i, x["j"]] += x["gain"]
+        held, entries = _lists(rows.column("_found"))
+        if width and len(entries):
+            row, kind = np.repeat(np.arange(n), held), _field(entries, "kind").astype(np.int64)
+            size, j = _lists(pc.struct_field(entries, "j"))
+            gain = _lists(pc.struct_field(entries, "gain"))[1].to_numpy(zero_copy_only=False)
+            kinds = max(base) + 1
+            times = np.bincount(row * kinds + kind, minlength=n * kinds).reshape(n, kinds)
+            for k, own in base.items():
+                total += times[:, k, None] * own
+            at = np.repeat(row, size) * width + j.to_numpy(zero_copy_only=False)
+            np.add.at(total.reshape(-1), at, gain)
+            whole = np.repeat(kind == 0, size)
+            np.add.at(known.reshape(-1), at[whole], gain[whole])
         if width:
             best = total.argmax(axis=1)  # the first of equals: names are in order
             top = total[np.arange(n), best]
@@ -225,11 +244,13 @@ def identify(docs: DataFrame, model: Model, columns: list[str] | None = None) ->
     is ``und`` with score 0; equal scores go to the first language by name. Columns called like the
     added ones are replaced.
     """
-    columns = [c for c in columns or docs.columns if c not in ADDED]
+    named = [c for c in columns or docs.columns if c not in ADDED]
+    # Under names of its own, so that no column of docs meets an internal one; text keeps its name.
+    columns = ["text" if c == "text" else f"c{i}" for i, c in enumerate(named)]
+    own = [F.col(f"`{c}`").alias(n) for c, n in zip(named, columns)] + ([] if "text" in named else [F.col("text")])
     shared = docs.sparkSession.sparkContext.broadcast(model.common)  # bounded by COMMON
-    extra = [] if "text" in columns else ["text"]
-    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in columns)
-    read = docs.select(*columns, *extra).mapInArrow(
+    schema = "".join(f"`{n}` {docs.schema[c].dataType.simpleString()}, " for c, n in zip(named, columns))
+    read = docs.select(*own).mapInArrow(
         lambda it: _read(it, shared, columns), schema + "_sums array<long>, _common long, _rest array<string>"
     )
     stage = Staging(docs.sparkSession)
@@ -238,7 +259,7 @@ def identify(docs: DataFrame, model: Model, columns: list[str] | None = None) ->
     need = rest.groupBy("word").agg(F.count(F.lit(1)).alias("times")).select("word")
     need = stage.table(need.join(model.words.select("word", "hits"), "word", "left"), "language-rest")
     seen = need.where("hits is not null").select("word", F.lit(0).alias("kind"), F.array("hits").alias("hits"))
-    new = need.where("hits is null").select("word")
+    new = need.where("hits is null").select("word").repartition(partitions(docs.sparkSession), "word")
     tried = new.select("word", F.explode(F.concat(*[_grams(F.col("word"), k) for k in ORDERS])).alias("gram"))
     met = tried.join(model.grams.select("gram"), "gram", "left_semi")
     longest = met.groupBy("word").agg(F.max(F.substring("gram", 1, 1).cast("int")).alias("kind"))
@@ -253,6 +274,7 @@ def identify(docs: DataFrame, model: Model, columns: list[str] | None = None) ->
     found = rest.join(weighed, "word").groupBy("_k").agg(F.collect_list(F.struct("kind", "j", "gain")).alias("_found"))
     rows = read.withColumn("_n_rest", F.size("_rest").cast("long")).drop("_rest").join(found, "_k", "left")
     languages, base = model.languages, model.base
-    return rows.mapInArrow(
+    judged = rows.mapInArrow(
         lambda it: _judge(it, languages, base, columns), schema + "lang_pred string, score double, lang_evidence double"
     )
+    return judged.select(*(F.col(n).alias(c) for c, n in zip(named, columns)), *ADDED)
