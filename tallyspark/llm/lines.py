@@ -106,7 +106,7 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     equal rows do not remove each other; a null id comes first. Other columns pass through; columns called like
     the added ones are replaced.
     """
-    kept_columns = [c for c in docs.columns if c not in ("n_lines", "n_removed", "text")]
+    others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed", "text"))).alias("_row")
     place = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST))
     rows = docs.select(place.alias("d"), F.coalesce("text", F.lit("")).alias("text"))
     levels = rarity(docs)
@@ -136,7 +136,7 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     gone = gone.unionByName(stage.table(rest, "line-gone-later"))
     stage.drop("line-prefixes", "line-sets", "line-star")
     keep = classes.select("d", "l").join(gone, ["d", "l"], "left_anti").groupBy("d").agg(F.collect_set("l").alias("keep"))
-    joined = docs.select(*kept_columns, "text", F.split("text", "\n").alias("_parts"), place.alias("_d"))
+    joined = docs.select(others, "text", F.split("text", "\n").alias("_parts"), place.alias("_d"))
     joined = joined.join(keep.withColumnRenamed("d", "_d"), "_d", "left")
     bare = F.filter(F.transform("_parts", lambda line, i: F.when(~has_word(line), i)), lambda i: i.isNotNull())
     # Places of kept lines by a hash of the row, then one look-up each: linear in the lines of a document.
@@ -144,7 +144,7 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     joined = joined.withColumn("_stay", stay)
     kept = F.array_join(F.transform("_stay", lambda i: F.get("_parts", i)), "\n")
     return joined.select(
-        *kept_columns, F.when(F.col("text").isNotNull(), kept).alias("text"),
+        "_row.*", F.when(F.col("text").isNotNull(), kept).alias("text"),
         F.when(F.col("text").isNull(), 0).otherwise(F.size("_parts")).cast("long").alias("n_lines"),
         F.when(F.col("text").isNull(), 0).otherwise(F.size("_parts") - F.size("_stay")).cast("long").alias("n_removed"),
     )
