@@ -147,7 +147,7 @@ def encode_texts(pieces: Pieces, texts: pa.Array) -> tuple[np.ndarray, np.ndarra
     spaces, where all paths meet.
     """
     uneven = f"  |^ | \\z|^\\z|{SPACE}" if pieces.cut_at_marks else "(?s)^.*"
-    return encode_rows(texts, pieces.words, uneven, lambda text: encode_text(pieces, text), first_apart=False)
+    return encode_rows(texts, pieces.words, uneven, lambda some: [encode_text(pieces, text) for text in some], first_apart=False)
 
 
 def decode_rows(pieces: Pieces, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:

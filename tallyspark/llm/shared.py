@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import functools
 import gc
 import itertools
@@ -39,12 +41,27 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 class Staging:
-    """Written tables of one job. A table that no later step reads can be dropped before the job ends."""
+    """Written tables of one job. A table that no later step reads can be dropped before the job ends.
+
+    ``scope`` collects the paths of all tables written in its ``with`` block, whichever job writes them.
+    """
+
+    _scopes: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scopes", default=None)
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.paths: dict[str, str] = {}
 
+    @classmethod
+    @contextlib.contextmanager
+    def scope(cls) -> Iterator[list[str]]:
+        paths: list[str] = []
+        token = cls._scopes.set(paths)
+        try:
+            yield paths
+        finally:
+            cls._scopes.reset(token)
+
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{shared_folder(self.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         before = self.spark.conf.get(_CLEANUP)
@@ -56,13 +73,21 @@ class Staging:
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
         self.paths[name] = path
+        if (scope := self._scopes.get()) is not None:
+            scope.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
         """Delete tables whose readers have all been written."""
-        for name in names:
-            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
-            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        delete(self.spark, [self.paths.pop(name) for name in names])
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Delete written tables that nothing reads any more; those that are gone already don't matter."""
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    for name in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -282,10 +307,11 @@ class WordIds:
         return ragged(self.flat, self.offsets, slots[np.asarray(coded.indices)])
 
 
-def encode_rows(texts: pa.Array, words: WordIds, uneven: str, one: Callable[[str], list], first_apart: bool):
-    """(ids of all rows, ids per row). Rows that match ``uneven`` go through ``one``; the others are cut at spaces.
+def encode_rows(texts: pa.Array, words: WordIds, uneven: str, many: Callable[[list[str]], list], first_apart: bool):
+    """(ids of all rows, ids per row). Rows that match ``uneven`` go through ``many``; the others are cut at spaces.
 
-    ``first_apart``: the part before the first space is not a word like the others and goes through ``one`` too.
+    ``first_apart``: the part before the first space is not a word like the others and goes through ``many`` too. What goes
+    through ``many`` goes in one call, each distinct text once.
     """
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     odd = np.asarray(pc.match_substring_regex(texts, uneven))
@@ -293,28 +319,34 @@ def encode_rows(texts: pa.Array, words: WordIds, uneven: str, one: Callable[[str
     parts, ends = lists.values, np.asarray(lists.offsets)
     parts, ends = parts.slice(ends[0], ends[-1] - ends[0]), ends - ends[0]
     ids, size = words.encode(parts)
+    rising = np.concatenate([[0], np.cumsum(size)])
     n_rows = len(texts)
     per_row = np.zeros(n_rows, np.int64)
-    rising = np.concatenate([[0], np.cumsum(size)])
     per_row[~odd] = rising[ends[1:]] - rising[ends[:-1]]
     if not odd.any() and not first_apart:
         return ids, per_row
-    first_size = size[ends[:-1]] if first_apart else np.zeros(len(ends) - 1, np.int64)
-    place = dict(zip(np.flatnonzero(~odd).tolist(), range(n_rows)))
-    texts_of = texts.to_pylist()
-    pieces = []
-    for row in range(n_rows):
-        if odd[row]:
-            own = np.array(one(texts_of[row]), np.uint32)
-            per_row[row] = len(own)
-            pieces.append(own)
-        else:
-            j = place[row]
-            a, b = rising[ends[j]], rising[ends[j + 1]]
-            if first_apart:
-                own = np.array(one(texts_of[row].split(" ", 1)[0]), np.uint32)
-                per_row[row] += len(own) - first_size[j]
-                pieces.append(own)
-                a += first_size[j]
-            pieces.append(ids[a:b])
-    return (np.concatenate(pieces) if pieces else ids[:0]), per_row
+    # Rows in order: the ids of what goes apart, then those of the words after it.
+    apart = texts.filter(pa.array(odd)).cast(pa.string())
+    front = np.zeros(len(ends) - 1, np.int64)
+    if first_apart:
+        apart = pa.concat_arrays([apart, parts.take(pa.array(ends[:-1])).cast(pa.string())])
+        front = size[ends[:-1]]
+    coded = apart.dictionary_encode()
+    own = many(coded.dictionary.to_pylist()) if len(coded.dictionary) else []
+    own_ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, own), np.int64, len(own)))])
+    own_flat = np.fromiter(itertools.chain.from_iterable(own), np.uint32, own_ends[-1])
+    codes = np.asarray(coded.indices).astype(np.int64)
+    flat = np.concatenate([ids, own_flat])
+    # Two spans of ``flat`` for each row, in order.
+    start, stop = np.zeros((n_rows, 2), np.int64), np.zeros((n_rows, 2), np.int64)
+    n_odd = int(odd.sum())
+    for rows, some in ((odd, codes[:n_odd]), (~odd, codes[n_odd:])):
+        if len(some) or rows is odd:
+            start[rows, 0], stop[rows, 0] = len(ids) + own_ends[some], len(ids) + own_ends[some + 1]
+    start[~odd, 1], stop[~odd, 1] = rising[ends[:-1]] + front, rising[ends[1:]]
+    spans = np.empty(2 * n_rows + 1, np.int64)
+    sizes = (stop - start).ravel()
+    spans[0] = 0
+    np.cumsum(sizes, out=spans[1:])
+    at = np.arange(spans[-1]) + np.repeat(start.ravel() - spans[:-1], sizes)
+    return flat[at], (stop - start).sum(axis=1)

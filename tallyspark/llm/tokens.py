@@ -112,7 +112,7 @@ def encode_texts(texts: pa.Array, path: str, ordinary: bool = True) -> tuple[np.
     ``ordinary``: strings of special tokens are ordinary text; otherwise each is its single id, as in the library by default.
     """
     ids, words, whole = _tokenizer(path, ordinary)
-    return encode_rows(texts, words, whole, lambda text: ids([text])[0], first_apart=True)
+    return encode_rows(texts, words, whole, ids, first_apart=True)
 
 
 def _write(batches: Iterator[pa.RecordBatch], path: str, ordinary: bool) -> Iterator[pa.RecordBatch]:
