@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyspark.llm import language, lines, mixing, near, pieces
 from tallyspark.llm.queries import BUDGET, DOMAINS, LANGUAGES, SOURCES, domain_of, tokenizer_file
-from tallyspark.llm.shared import staged
+from tallyspark.llm.shared import Staging, delete, staged
 
 
 #: A document whose evidence per word is below this part of its language's median is in no known language
@@ -53,12 +55,33 @@ def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return pieces.encode(docs, tokenizer_file("piece_bpe_32k.model"))
 
 
+#: Tables that the stages begun last have staged. When the next stage begins, the result of the one before is written.
+_held: list[str] = []
+
+
+def _scoped(stage):
+    """The stage, which first deletes what earlier stages staged, unless its documents are read from there."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        read = " ".join(docs.inputFiles())
+        free = [path for path in _held if path.rpartition("/")[2] not in read]
+        delete(spark, free)
+        _held[:] = [path for path in _held if path not in free]
+        with Staging.scope() as paths:
+            out = stage(spark, docs, sf_dir)
+        _held.extend(paths)
+        return out
+
+    return run_stage
+
+
 STAGES = [
-    ("language ID", language_id),
-    ("line dedup", line_dedup),
-    ("MinHash near-dedup", near_dedup),
-    ("mixing", mix_sources),
-    ("SentencePiece encoding", sentencepiece_encoding),
+    ("language ID", _scoped(language_id)),
+    ("line dedup", _scoped(line_dedup)),
+    ("MinHash near-dedup", _scoped(near_dedup)),
+    ("mixing", _scoped(mix_sources)),
+    ("SentencePiece encoding", _scoped(sentencepiece_encoding)),
 ]
 
 #: Language models and piece searches cannot be stated in SQL; the tests compare stages with brute force.
