@@ -25,17 +25,18 @@ K = 20
 
 
 def _pack(batches: Iterator[pa.RecordBatch], rows_each: int) -> Iterator[pa.RecordBatch]:
-    """Blocks of valid vectors: ids, width and the integers of all rows."""
+    """Blocks of valid vectors: ids, row numbers, width and the integers of all rows."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows_each):
             some = batch.slice(at, rows_each)
-            ids, vectors = [], []
-            for i, v in zip(some.column("vec_id").to_pylist(), some.column("vector").to_pylist()):
+            ids, numbers, vectors = [], [], []
+            for i, number, v in zip(*(some.column(c).to_pylist() for c in ("vec_id", "number", "vector"))):
                 if i is None or v is None or any(x is None for x in v):
                     continue
                 x = np.floor(SCALE * np.asarray(v, np.float64))
                 if np.isfinite(x).all():
                     ids.append(i)
+                    numbers.append(number)
                     vectors.append(x.astype(np.int64))
             if not ids:
                 continue
@@ -45,18 +46,19 @@ def _pack(batches: Iterator[pa.RecordBatch], rows_each: int) -> Iterator[pa.Reco
                 row[: len(v)] = v
             yield pa.RecordBatch.from_pydict({
                 "ids": pa.array([np.asarray(ids, "<i8").tobytes()], pa.binary()),
+                "numbers": pa.array([np.asarray(numbers, "<i8").tobytes()], pa.binary()),
                 "width": pa.array([width], pa.int32()), "cells": pa.array([table.tobytes()], pa.binary()),
             })
 
 
 def pack_vectors(vectors: DataFrame, rows_each: int) -> DataFrame:
-    """Blocks of rows (vec_id, vector); null vectors and null, NaN or infinite components take no part."""
-    return vectors.mapInArrow(lambda it: _pack(it, rows_each), "ids binary, width int, cells binary")
+    """Blocks of rows (vec_id, number, vector); null vectors and null, NaN or infinite components take no part."""
+    return vectors.mapInArrow(lambda it: _pack(it, rows_each), "ids binary, numbers binary, width int, cells binary")
 
 
-def _table(row: dict, side: str) -> tuple[np.ndarray, np.ndarray]:
-    ids = np.frombuffer(row[f"{side}ids"], "<i8")
-    return ids, np.frombuffer(row[f"{side}cells"], "<i8").reshape(len(ids), row[f"{side}width"])
+def _table(row: dict, side: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ids, numbers = (np.frombuffer(row[f"{side}{c}"], "<i8") for c in ("ids", "numbers"))
+    return ids, numbers, np.frombuffer(row[f"{side}cells"], "<i8").reshape(len(ids), row[f"{side}width"])
 
 
 def block_scores(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
@@ -110,10 +112,10 @@ def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
     held, best = None, {}
 
     def out() -> pa.RecordBatch:
-        rows = [(q, int(i), int(s)) for q, (score, ids) in best.items() for s, i in zip(score, ids)]
-        q, i, s = zip(*rows) if rows else ((), (), ())
+        rows = [(*q, int(i), int(s)) for q, (score, ids) in best.items() for s, i in zip(score, ids)]
+        q, number, i, s = zip(*rows) if rows else ((), (), (), ())
         return pa.RecordBatch.from_pydict({
-            "query_id": pa.array(q, pa.int64()), "vec_id": pa.array(i, pa.int64()), "score": pa.array(s, pa.int64())
+            "query_id": pa.array(q, pa.int64()), "query_number": pa.array(number, pa.int64()), "vec_id": pa.array(i, pa.int64()), "score": pa.array(s, pa.int64())
         })
 
     for batch in batches:
@@ -122,12 +124,12 @@ def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
                 if best:
                     yield out()
                 held, best = row["query_block"], {}
-            query_ids, queries = _table(row, "q_")
-            ids, candidates = _table(row, "")
+            query_ids, query_numbers, queries = _table(row, "q_")
+            ids, numbers, candidates = _table(row, "")
             scores = block_scores(queries, candidates)
-            for j, q in enumerate(query_ids.tolist()):
+            for j, q in enumerate(zip(query_ids.tolist(), query_numbers.tolist())):
                 line, others = scores[j], ids
-                own = ids == q
+                own = numbers == q[1]
                 if own.any():
                     line, others = line[~own], ids[~own]
                 if q in best:
@@ -141,12 +143,13 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of the k best candidates of each query row.
 
     ``vectors`` has vec_id and vector; ``is_query`` marks the query rows. A component x counts as
-    floor(64 x). The query's own id is no candidate of it; all others are, repeated ids included once per
-    row. Shorter vectors are padded with zeros. Fewer candidates than k give all of them; no queries or no
+    floor(64 x). A query row's candidates are all rows but itself; rows that share an id, or are equal, are queries and
+    candidates of their own. Shorter vectors are padded with zeros. Fewer candidates than k give all of them; no queries or no
     candidates give no rows. Extra columns are not read.
     """
     spark = vectors.sparkSession
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "vector")
+    vectors = staged(vectors.withColumn("number", F.monotonically_increasing_id()), "query-vectors")  # the rows' own numbers
     queries = staged(
         pack_vectors(vectors.where(is_query).repartition(max(1, partitions(spark) // 4)), QUERY_ROWS).withColumn(
             "query_block", F.monotonically_increasing_id()
@@ -164,12 +167,12 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
         .withColumn("query_block", F.explode(F.lit(names).cast("array<long>") if names else F.array().cast("array<long>")))
     )
     asked = queries.select(
-        "query_block", F.col("ids").alias("q_ids"), F.col("width").alias("q_width"), F.col("cells").alias("q_cells"),
+        "query_block", F.col("ids").alias("q_ids"), F.col("numbers").alias("q_numbers"), F.col("width").alias("q_width"), F.col("cells").alias("q_cells"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))).alias("slot"),
     )
     work = candidates.join(asked.hint("merge"), ["query_block", "slot"])
-    found = work.select("query_block", "q_ids", "q_width", "q_cells", "ids", "width", "cells").mapInArrow(
-        lambda it: _search(it, k), "query_id long, vec_id long, score long"
+    found = work.select("query_block", *(f"{side}{c}" for side in ("q_", "") for c in ("ids", "numbers", "width", "cells"))).mapInArrow(
+        lambda it: _search(it, k), "query_id long, query_number long, vec_id long, score long"
     )
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("query_id", "query_number").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

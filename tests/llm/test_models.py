@@ -61,6 +61,14 @@ def test_top_k_with_nulls_ties_and_ragged_vectors(spark):
     assert topk.exact_top_k(table.where("vec_id < 0"), F.col("vec_id") % 20 == 0).collect() == []
 
 
+def test_rows_that_share_an_id_are_queries_and_candidates_of_their_own(spark):
+    rows = [(0, [32.0]), (0, [16.0]), (1, [1.0]), (2, [0.0]), (3, [0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, vector array<double>")
+    got = [(r.query_id, r.rank, r.vec_id, r.score) for r in topk.exact_top_k(df, F.col("vec_id") == 0, 2).collect()]
+    one, two = 64 * 64 * 32 * 16, [64 * 64 * 32, 64 * 64 * 16]
+    assert sorted(got) == sorted([(0, 1, 0, one), (0, 2, 1, two[0]), (0, 1, 0, one), (0, 2, 1, two[1])])
+
+
 def test_language_of_held_out_texts(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
     got = queries.op9_language_id(spark, "/root/testdata/sf0.01").join(table, "doc_id").where("held_out").collect()
