@@ -8,9 +8,10 @@ meets in some table with probability (1 - (1 - s**ROWS)**TENSOR)**2: 0.9985 at 0
 1. Equal sets collapse to one class; classes of fewer shingles than can match another set go no further.
 2. Each table bucket is a star: its members pair with its smallest class. Confirmed pairs give components.
 3. What a star can miss are links between members of different components. In every bucket that still spans
-   components, all members outside its largest component are compared with the members of other components,
-   ``PIVOTS`` of them a round, so a round writes at most PIVOTS rows per bucket row. Rounds go on
-   until all are done; no pair of a bucket that could matter is left out, and no bucket is expanded whole.
+   components, ``PIVOTS`` members drawn by hash meet the members of other components; that joins most of a large group
+   of near copies. In buckets that span components even then, all members outside the largest component meet the
+   members of other components, bounded inside the join. No pair of a bucket that could matter is left out, none
+   of one component is made.
 4. Pairs that sizes and parity maps leave (both exact bounds) are confirmed on the full sets of both texts.
 """
 
@@ -20,16 +21,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .shared import gram_hashes, lower_ascii, mix, slices, span_hashes, staged, text_bytes, word_spans
 
 TENSOR = 10
 ROWS = 3
 PERCENT = 80
-PIVOTS = 32
+PIVOTS = 8
 #: Parity maps of 64 bits each per set: differing bits cannot outnumber differing shingles.
-MAPS = 4
+MAPS = 8
 _MAPS = tuple(f"map{j}" for j in range(MAPS))
 _SEEDS = mix(np.arange(1, 2 * 64 * 8 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -189,23 +190,32 @@ def near_duplicates(
 
     tested = staged(members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "near-tested")
     links = staged(confirmed(tested), "near-links")
-    comps = staged(components(ids, links, "near"), "near-components")
-    # Buckets that still span components: members outside the largest one become pivots, by turns.
-    placed = members.select("key", "id").join(comps, "id")
-    spread = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-    open_ = staged(placed.join(spread, "key").join(facts, "id"), "near-open")
+
+    def spanning(links: DataFrame, name: str) -> DataFrame:
+        """Members, with component and facts, of buckets that still span components."""
+        comps = staged(components(ids, links, name), f"{name}-components")
+        placed = members.select("key", "id").join(comps, "id")
+        spread = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
+        return staged(placed.join(spread, "key").join(facts, "id"), f"{name}-open")
+
+    # Members drawn by hash meet their bucket's members of other components.
+    open_ = spanning(links, "near")
+    drawn = [F.min(F.struct(F.xxhash64("id", F.lit(i)).alias("draw"), "id", "comp")).alias(f"p{i}") for i in range(PIVOTS)]
+    pivots = open_.groupBy("key").agg(*drawn).select("key", F.explode(F.array(*(f"p{i}" for i in range(PIVOTS)))).alias("p"))
+    pivots = pivots.select("key", F.col("p.id").alias("pivot"), F.col("p.comp").alias("main")).distinct()
+    pairs = open_.join(pivots, "key").where("comp <> main")
+    pairs = pairs.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+    fresh = staged(pairs.join(tested, ["a", "b"], "left_anti"), "near-tested")
+    links = staged(links.unionByName(confirmed(fresh)), "near-links")
+    tested = tested.unionByName(fresh)
+    # What buckets still span after that: members outside the largest component meet all of other components.
+    open_ = spanning(links, "near-again")
     largest = open_.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m"))
-    outside = open_.join(largest.select("key", F.col("m.comp").alias("main")), "key").where("comp <> main")
-    turn = F.row_number().over(Window.partitionBy("key").orderBy("id"))
-    outside = staged(outside.withColumn("turn", F.floor((turn - 1) / PIVOTS)).drop("main"), "near-pivots")
-    turns = outside.agg(F.max("turn")).first()[0]
-    for now in range(0 if turns is None else turns + 1):
-        x, y = outside.where(F.col("turn") == now).alias("x"), open_.alias("y")
-        pairs = x.join(y, F.expr(f"x.key = y.key and x.comp <> y.comp and {fits('x', 'y')}"))
-        pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-        fresh = staged(pairs.join(tested, ["a", "b"], "left_anti"), "near-tested")
-        links = links.unionByName(confirmed(fresh))
-        tested = tested.unionByName(fresh)
+    outside = open_.join(largest.select("key", F.col("m.comp").alias("main")), "key").where("comp <> main").drop("main")
+    pairs = outside.alias("x").join(open_.alias("y"), F.expr(f"x.key = y.key and x.comp <> y.comp and {fits('x', 'y')}"))
+    pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    fresh = staged(pairs.join(tested, ["a", "b"], "left_anti"), "near-tested")
+    links = links.unionByName(confirmed(fresh))
     # Rows that share an id but not a set tie their classes together.
     tied = classes.where("id < top").select("s1", "s2", "n_shingles", F.col("id").alias("a"))
     tied = some.select("doc_id", "s1", "s2", "n_shingles").join(tied, ["s1", "s2", "n_shingles"]).select("a", F.col("doc_id").alias("b")).where("a <> b")
