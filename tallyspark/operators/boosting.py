@@ -28,6 +28,8 @@ from .features import FEATURES, TARGET
 
 #: Rows of one block; their summed gradients are exact in double precision.
 BLOCK_ROWS = 8192
+#: Rows of one task of a job that builds histograms, at least.
+TASK_ROWS = 8 * BLOCK_ROWS
 BINS = 256
 #: Gradients are multiples of the largest first residual divided by this.
 FIXED = 1 << 28
@@ -282,6 +284,7 @@ class Prepared:
     """Training rows as written blocks of bins; several fits may share them."""
 
     blocks: DataFrame
+    tasks: int
     cuts: list[np.ndarray]
     base: float
     unit: float
@@ -301,13 +304,14 @@ def prepare(
     )
     rows = staged(rows, "boost-rows")
     cuts = quantile_cuts(rows, names) if cuts is None else cuts
-    y = rows.agg(F.avg("y").alias("mean"), F.min("y").alias("low"), F.max("y").alias("high")).first()
+    y = rows.agg(F.avg("y").alias("mean"), F.min("y").alias("low"), F.max("y").alias("high"), F.count("y").alias("n")).first()
     if y.mean is None:
         raise ValueError("no row has a target")
     base = float(f"{y.mean:.12g}")  # the last digits of a mean depend on the order of its rows
     unit = (max(y.high - base, base - y.low) or 1.0) / FIXED
-    blocks = staged(rows.mapInArrow(lambda it: _blocks(it, cuts), _BLOCK), "boost-blocks")
-    return Prepared(blocks, cuts, base, unit, tuple(features))
+    tasks = -(-y.n // TASK_ROWS)  # few rows need few tasks: a job per level is short
+    blocks = staged(rows.coalesce(tasks).mapInArrow(lambda it: _blocks(it, cuts), _BLOCK), "boost-blocks")
+    return Prepared(blocks, tasks, cuts, base, unit, tuple(features))
 
 
 def fit_boosted(
@@ -325,7 +329,7 @@ def fit_boosted(
         return staged(blocks.mapInArrow(lambda it: _remargined(it, n_features, applied), _BLOCK), "boost-margins")
 
     blocks = remargined(ready.blocks, [_constant(ready.base), *trees])
-    partitions = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = min(ready.tasks, int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     draw = random.Random(seed)
     written = len(trees)
     for number in range(params.trees):
