@@ -13,58 +13,21 @@ from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import (
-    IDF, CountVectorizer, IndexToString, NGram, Normalizer, RegexTokenizer, StringIndexer, VectorAssembler,
-)
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
 
+from ..sources.tables import staged
 from .boosting import BoostedTrees, Boosting, fit_boosted, prepare
 from .explain import normalise
 from .features import FEATURES, TARGET
+from .text import TextFeatures, fit_text_features
 
 
 # ---------------------------------------------------------------- text
 
 
-@F.udf(VectorUDT())
-def _sublinear(v):
-    # SQL cannot build a sparse vector; this rescales the few stored counts of one.
-    return SparseVector(v.size, v.indices, 1.0 + np.log(v.values))
-
-
-def _words(df: DataFrame, text: str) -> DataFrame:
-    tokens = RegexTokenizer(inputCol=text, outputCol="_one", pattern=r"\b\w\w+\b", gaps=False, toLowercase=True)
-    pairs = NGram(n=2, inputCol="_one", outputCol="_two")
-    return pairs.transform(tokens.transform(df)).withColumn("_terms", F.concat("_one", "_two"))
-
-
-@dataclasses.dataclass
-class TextFeatures:
-    """Fitted 1-2-gram tf-idf: sublinear counts, idf, unit length."""
-
-    counts: object
-    idf: object
-
-    def transform(self, df: DataFrame, text: str = "description") -> DataFrame:
-        counted = self.counts.transform(_words(df, text)).withColumn("_tf", _sublinear("_count"))
-        scaled = Normalizer(p=2.0, inputCol="_tfidf", outputCol="text_features").transform(self.idf.transform(counted))
-        return scaled.drop("_one", "_two", "_terms", "_count", "_tf", "_tfidf")
-
-    @property
-    def vocabulary(self) -> list[str]:
-        return self.counts.vocabulary
-
-
-def fit_text_features(train: DataFrame, text: str = "description", max_terms: int = 10_000) -> TextFeatures:
-    words = _words(train.where(F.col(text).isNotNull()), text)
-    counts = CountVectorizer(inputCol="_terms", outputCol="_count", vocabSize=max_terms).fit(words)
-    idf = IDF(inputCol="_tf", outputCol="_tfidf").fit(counts.transform(words).withColumn("_tf", _sublinear("_count")))
-    return TextFeatures(counts, idf)
-
-
 @dataclasses.dataclass
 class TextClassifier:
     features: TextFeatures
@@ -82,15 +45,26 @@ class TextClassifier:
 
 def fit_text_classifier(
     train: DataFrame, text: str = "description", label: str = "truth", max_terms: int = 10_000,
-    max_iter: int = 1000, reg: float = 0.0,
+    max_iter: int = 1000, c: float = 1.0, weight: str | None = None,
 ) -> TextClassifier:
-    """Multinomial logistic regression on text features."""
+    """Multinomial logistic regression on text features; ``weight`` names a column of row weights (null: 1).
+
+    ``c`` weighs the summed loss against half the squared coefficients, which are not standardised: the larger it is, the
+    weaker the penalty.
+    """
     rows = train.where(F.col(label).isNotNull() & F.col(text).isNotNull())
+    # The vectors are written once: every iteration reads them.
+    kept = [F.col(label).alias("label"), F.col(text).alias("text")]
+    kept.append((F.coalesce(F.col(weight).cast("double"), F.lit(1.0)) if weight else F.lit(1.0)).alias("weight"))
     features = fit_text_features(rows, text, max_terms)
-    index = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc").fit(rows)
-    ready = index.transform(features.transform(rows, text))
+    index = StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc").fit(rows.select(*kept))
+    vectors = index.transform(features.transform(rows.select(*kept), "text")).select("y", "weight", "text_features")
+    ready = staged(vectors, "vectors")
+    # The estimator averages the loss over the weights.
+    total = ready.agg(F.sum("weight")).first()[0] or 1.0
     model = LogisticRegression(
-        featuresCol="text_features", labelCol="_y", family="multinomial", maxIter=max_iter, regParam=reg
+        featuresCol="text_features", labelCol="y", weightCol="weight", family="multinomial", maxIter=max_iter,
+        regParam=1.0 / (c * total), standardization=False,
     ).fit(ready)
     return TextClassifier(features, list(index.labels), model)
 

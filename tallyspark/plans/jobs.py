@@ -159,14 +159,14 @@ def retrain_text(
     force: bool = False,
     max_iter: int = 1000,
 ) -> tuple[bool, list[str], M.TextClassifier | None]:
-    """The retraining job of the text model: triggers, mixing, fit on the first label, state."""
+    """The retraining job of the text model: triggers, mixing, weighted fit on the first label, state."""
     last = load_state(spark, state_path, "text")
     verdict = FB.decide(FB.text_trigger(feedback, asof, last), report, force).first()
     if not verdict.retrain:
         return False, list(verdict.reasons), None
     mixed = staged(FB.mix(FB.feedback_rows(feedback), external), "mixed")
     rows = part(mixed, "train").withColumn("truth", F.get("categories", F.lit(0)))
-    model = M.fit_text_classifier(rows, max_iter=max_iter)
+    model = M.fit_text_classifier(rows, max_iter=max_iter, weight="sample_weight")
     save_state(spark, state_path, "text", asof, run_id)
     return True, list(verdict.reasons), model
 
