@@ -1,4 +1,5 @@
-"""Model jobs. No SQL twin: only rows and figures are checked here, and boosted trees against a plain version in the tests.
+"""Model jobs. Text weights have a SQL twin; of fitted models only rows and figures are checked here, and boosted trees
+and the draws of isolation trees against a plain version in the tests.
 
 All but the boosted models have the operators' default sizes; the rows are always those of the whole tables.
 """
@@ -44,6 +45,22 @@ def text_features(t):
     return fitted.transform(rows).select("doc_id", "split", F.col("text_features").cast("string").alias("vector"))
 
 
+@query("text_term_weights", "ML1", """
+with words as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}') as w from documents where text is not null),
+terms as (select doc_id, unnest(w || [w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) as term from words),
+counts as (select doc_id, term, count(*) as n from terms group by all),
+chosen as (select term, sum(n) as total, count(*) as df from counts group by all order by total desc, term limit 10000),
+weighed as (select doc_id, term, (1 + ln(n)) * (ln((1 + (select count(*) from words)) / (1 + df)) + 1) as w
+  from counts join chosen using (term))
+select doc_id, term, round(1e6 * w / sqrt(sum(w * w) over (partition by doc_id)))::bigint as weight_e6 from weighed""")
+def text_term_weights(t):
+    """Millionths of each term's weight in every text; terms are learned from all texts."""
+    rows = t.table("documents").selectExpr("doc_id", "text as description")
+    fitted = M.fit_text_features(rows)
+    cells = fitted.weights(rows).select("doc_id", F.inline("weights"))
+    return cells.select("doc_id", "term", F.round(F.col("weight") * 1e6).cast("bigint").alias("weight_e6"))
+
+
 @query("text_classifier", "ML2 V8")
 def text_classifier(t):
     rows = documents(t)
@@ -96,7 +113,7 @@ def random_search(t):
 def isolation_scores(t):
     rows = trend_split(t)
     forest = I.fit_forest(SP.part(rows, "train"), FEATURES, key=["user_id", "category", "period"])
-    return I.isolation_score(SP.part(rows, "test"), forest, FEATURES).select("user_id", "category", "period", "isolation")
+    return I.isolation_score(rows, forest, FEATURES).select("user_id", "category", "period", "split", "isolation")
 
 
 @query("ensemble_scores", "ML9 W17")

@@ -156,8 +156,19 @@ def content_fingerprint(t):
 select model_type, max(ts) as last_retrain_date, max_by(seq::varchar, (ts, seq::varchar)) as run_id
 from status_events group by all""", ("status_events",))
 def latest_retrain_state(t):
+    return ST.latest_state(retried_state(t))
+
+
+def retried_state(t):
+    """Two commits of runs, each tried twice: the second try appends nothing."""
     path = TB.scratch_path(t.spark, "state")
     runs = t.status_events.selectExpr("model_type", "ts as last_retrain_date", "cast(seq as string) as run_id")
-    for half in (0, 1):
-        runs.where(F.col("run_id") % 2 == half).write.mode("append").parquet(path)
-    return ST.latest_state(ST.read_state(t.spark, path))
+    for half in (0, 1, 0, 1):
+        ST.append_once(runs.where(F.col("run_id") % 2 == half), path, f"half {half}")
+    return ST.read_state(t.spark, path)
+
+
+@query("recorded_retrain_runs", "S15", """
+select model_type, ts as last_retrain_date, seq::varchar as run_id from status_events""", ("status_events",))
+def recorded_retrain_runs(t):
+    return retried_state(t)

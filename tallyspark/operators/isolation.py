@@ -1,11 +1,11 @@
 """Isolation forest (Liu, Ting, Zhou 2008): anomalies are isolated by few random cuts.
 
-Trees see a few hundred rows each, so all of training is a bounded sample; scoring runs over the
-whole table.
+Every tree draws its own few hundred rows out of the whole table; scoring runs over the whole table.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -13,7 +13,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..functions.draws import row_hash
-from ..functions.order import first_k
 from ..sources.tables import staged
 
 EULER_GAMMA = 0.5772156649015329
@@ -57,37 +56,64 @@ def grow(points: np.ndarray, seed: int) -> pd.DataFrame:
     return out
 
 
+def _tree_places(df: DataFrame, names: Sequence[str], trees: int, seed: int, key: Sequence[str], below: int) -> DataFrame:
+    """(tree, _h, features, _n): per tree the rows whose 52-bit place is less than ``below``; equal ones as one row."""
+    numbers = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in names]
+    rows = df.select(row_hash(seed, *(key or names)).alias("_row"), *numbers)
+
+    def place(tree):
+        return F.struct(tree.alias("tree"), F.shiftrightunsigned(F.xxhash64(F.lit(seed), tree, F.col("_row")), 12).alias("_h"))
+
+    near = F.filter(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), place), lambda p: p["_h"] < below)
+    return rows.select(F.inline(near), *names).groupBy("tree", "_h", *names).agg(F.count(F.lit(1)).alias("_n"))
+
+
+def draw_rows(
+    df: DataFrame, features: Sequence[str], trees: int, rows_per_tree: int, seed: int = 42, key: Sequence[str] = ()
+) -> DataFrame:
+    """(tree, _h, features, _take): for every tree the rows of the whole table with the smallest places.
+
+    A row's place in a tree is a hash of ``key`` (the features if empty) and the tree, so trees draw independently of each
+    other, of partitions and of retries. Only rows below a bound are shuffled, about 1.5 times as many as are wanted; where a
+    tree finds too few of them, the bound is widened, up to the whole table, so the draw is exact. Rows with equal key and
+    features have one place: they are counted before the shuffle and drawn together, as many of them as there is room for.
+    """
+    names = list(features)
+    n_rows = df.count()
+    wanted = min(rows_per_tree, n_rows)
+    share = (rows_per_tree + 8.0 * math.sqrt(rows_per_tree) + 64.0) / max(n_rows, 1)
+    while True:
+        below = min(1 << 52, math.ceil(share * (1 << 52)))
+        near = staged(_tree_places(df, names, trees, seed, key, below), "places")
+        full = near.groupBy("tree").agg(F.sum("_n").alias("n")).where(F.col("n") >= wanted).count()
+        if full == trees or below == 1 << 52:
+            break
+        share *= 4.0
+    before = Window.partitionBy("tree").orderBy("_h", *names).rowsBetween(Window.unboundedPreceding, -1)
+    room = F.lit(rows_per_tree) - F.coalesce(F.sum("_n").over(before), F.lit(0))
+    return near.withColumn("_take", F.least("_n", room)).where(F.col("_take") > 0).drop("_n")
+
+
 def fit_forest(
     df: DataFrame, features: Sequence[str], trees: int = 100, rows_per_tree: int = 256, seed: int = 42,
     key: Sequence[str] = (),
 ) -> DataFrame:
-    """Node table of the forest: at most ``trees * (2 * rows_per_tree - 1)`` rows.
+    """Node table of the forest: at most ``trees * (2 * rows_per_tree - 1)`` rows. An empty table gives no nodes.
 
-    A pool of at most ``trees * rows_per_tree`` rows is drawn from the table, by hash of ``key``
-    (the features if empty); every tree takes its own rows out of the pool by hash.
+    Every tree draws ``rows_per_tree`` rows of the whole table (``draw_rows``) and grows in one task.
     """
     names = list(features)
-    drawn = first_k(
-        df.select(*dict.fromkeys([*key, *names])), lambda n: F.least(F.lit(trees * rows_per_tree), n), key=key, seed=seed
-    )
-    # Written once: the pool is small, and every tree's draw reads it.
-    pool = staged(drawn.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in names]), "pool")
-    # Copies in the pool must differ, or they would be drawn together.
-    numbered = pool.withColumn("_copy", F.row_number().over(Window.partitionBy(*names).orderBy(F.lit(1))))
-    spread = numbered.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn(
-        "_h", row_hash(seed, "tree", *names, "_copy")
-    )
-    own = Window.partitionBy("tree").orderBy("_h", *names, "_copy")
-    chosen = spread.withColumn("_r", F.row_number().over(own)).where(F.col("_r") <= rows_per_tree)
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("_r")
+        group = group.sort_values(["_h", *names])
         tree = int(group["tree"].iloc[0])
-        nodes = grow(group[names].to_numpy(float), seed * 100_003 + tree)
+        points = np.repeat(group[names].to_numpy(float), group["_take"].to_numpy(), axis=0)
+        nodes = grow(points, seed * 100_003 + tree)
         nodes.insert(0, "tree", tree)
-        return nodes.assign(sample=len(group))
+        return nodes.assign(sample=len(points))
 
-    return staged(chosen.select("tree", "_r", *names).groupBy("tree").applyInPandas(fit, NODES), "forest")
+    drawn = draw_rows(df, names, trees, rows_per_tree, seed, key)
+    return staged(drawn.groupBy("tree").applyInPandas(fit, NODES), "forest")
 
 
 def isolation_score(

@@ -3,8 +3,9 @@ import math
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
+from tallyspark.functions.draws import row_hash
 from tallyspark.operators import (
     drift as D, evaluate as E, explain as X, feedback as FB, isolation as I, labels as L, promote as G, survey as S,
 )
@@ -194,3 +195,34 @@ def test_set_sizes_and_their_rules(spark):
     assert (row.text_train, row.trend_val, row.amount_median, row.target_std) == (10, 1000, 6.75, 0.0)
     issues = {r.rule: r.passed for r in P.quality_issues(sizes, P.SIZE_RULES).collect()}
     assert issues == {"trend rows": True, "text rows": False}
+
+
+@pytest.mark.parametrize("rows, per_tree", [(3000, 40), (25, 40), (0, 40)])
+def test_each_tree_draws_its_rows_from_the_whole_table(spark, rows, per_tree):
+    df = spark.range(rows).select("id", (F.col("id") * 1.5).alias("a"), F.lit(None).cast("double").alias("b"))
+    drawn = I.draw_rows(df.repartition(5), ["a", "b"], 12, per_tree, seed=7, key=["id"]).collect()
+    place = F.shiftrightunsigned(F.xxhash64(F.lit(7), "tree", row_hash(7, "id")), 12)
+    ranked = df.crossJoin(spark.range(12).select(F.col("id").cast("int").alias("tree"))).withColumn(
+        "r", F.row_number().over(Window.partitionBy("tree").orderBy(place, "a"))
+    )
+    want = {(r.tree, r.a) for r in ranked.where(F.col("r") <= per_tree).collect()}
+    assert {(r.tree, r.a) for r in drawn} == want and all(r._take == 1 and r.b == 0.0 for r in drawn)
+    assert len(drawn) == 12 * min(rows, per_tree)
+
+
+def test_equal_rows_take_the_room_there_is(spark):
+    df = spark.range(100_000).select(F.when(F.col("id") < 1000, F.col("id")).otherwise(-1).cast("double").alias("a"))
+    drawn = I.draw_rows(df, ["a"], 30, 64)
+    totals = drawn.groupBy("tree").agg(F.sum("_take").alias("n"), F.count("*").alias("rows")).collect()
+    assert len(totals) == 30 and all(r.n == 64 and r.rows <= 64 for r in totals)
+    assert I.fit_forest(df, ["a"], trees=30, rows_per_tree=64).select("tree").distinct().count() == 30
+
+
+def test_a_run_is_recorded_once(spark, tmp_path):
+    path = str(tmp_path / "runs")
+    assert ST.save_state(spark, path, "trend", NOW, "a") and not ST.save_state(spark, path, "trend", NOW, "a")
+    assert ST.save_state(spark, path, "text", NOW, "a") and ST.read_state(spark, path).count() == 2
+    # A commit that was lost before Spark marked it complete is written again in its place.
+    for mark in (tmp_path / "runs").glob("*/_SUCCESS"):
+        mark.unlink()
+    assert ST.save_state(spark, path, "trend", NOW, "a") and ST.read_state(spark, path).count() == 2
