@@ -3,10 +3,12 @@
 A window is ``WINDOW`` words. Its anchor is the place of the smallest ``GRAM``-word hash in it, so equal
 windows share their anchor's gram, the shard key. Keys met in one document only cannot recur; a count
 combined map-side leaves the others. The windows of one anchor form one stretch of words. Equal stretches
-collapse to one row with their smallest document, and go to the shard of their key. A shard confirms which
-windows recur in different documents, compiles them into an automaton and streams all of its stretches through it,
-so every document passes through every automaton that could match it, and no other. Each hit gives the smallest document of
-the passage; a document with a larger id loses the words.
+collapse to one row with their smallest document, and go to the shard of their key. A key with more than ``STRETCHES``
+stretches is hot: its stretches are cut into their single windows, each with a hash of all its words for a key, so no shard
+gets more of it than its different windows, spread evenly. A shard confirms which windows recur in different documents,
+compiles those into an automaton and streams all of its stretches through it, so every document passes through every
+automaton that could match it, and no other. Each hit gives the smallest document of the passage; a document with a larger id
+loses the words.
 """
 
 from __future__ import annotations
@@ -16,14 +18,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .shared import Staging, anchored_runs, gram_hashes, partitions, slices, spaced_words, span_hashes, text_bytes, word_spans
 
 WINDOW = 13
 GRAM = 4
-#: Stretches in one automaton; a shard of more is cut where the key changes.
+#: Stretches of a key that is not hot, and about as many in one automaton; a shard of more is cut where the key changes.
 STRETCHES = 8_000
+_MIX = 0x9E3779B97F4A7C15
 
 
 def _words(rows: pa.RecordBatch):
@@ -33,29 +37,41 @@ def _words(rows: pa.RecordBatch):
 
 
 def _runs(data, start, end, doc, window: int):
-    """Runs of windows by their first word, with the hash of the anchor's gram."""
+    """Runs of windows by their first word, with the hash of the anchor's gram, and the hashes of all grams."""
     gram = min(GRAM, window)
     if len(start) < window:
         none = np.zeros(0, np.int64)
-        return none, none, np.zeros(0, np.uint64)
+        return none, none, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     grams = gram_hashes(span_hashes(data, start, end), gram)
     first, last, anchor = anchored_runs(grams, window - gram + 1, doc[window - 1 :] == doc[: len(doc) - window + 1])
-    return first, last, grams[anchor]
+    return first, last, grams[anchor], grams
+
+
+def _window_keys(grams: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
+    """A hash of all words of each window, from the hashes of the grams that cover it."""
+    gram = min(GRAM, window)
+    out = np.zeros(len(at), np.uint64)
+    for step in [*range(0, window - gram, gram), window - gram]:
+        out = (out ^ grams[at + step]) * np.uint64(_MIX)
+        out ^= out >> np.uint64(29)
+    return out
 
 
 def _keys(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for rows in slices(batches, "text"):
         data, start, end, doc = _words(rows)
-        first, _, key = _runs(data, start, end, doc, window)
+        first, _, key, _ = _runs(data, start, end, doc, window)
         if len(first) == 0:
             continue
         row = doc[first]
         order = np.lexsort((key, row))
         row, key = row[order], key[order]
-        new = np.r_[True, (row[1:] != row[:-1]) | (key[1:] != key[:-1])]
+        new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (key[1:] != key[:-1])])
+        at = pa.array(row[new])
         yield pa.RecordBatch.from_arrays(
-            [rows.column("k").take(pa.array(row[new])), rows.column("doc_id").take(pa.array(row[new])), pa.array(key[new].view(np.int64))],
-            names=["k", "doc_id", "key"],
+            [rows.column("k").take(at), rows.column("doc_id").take(at), pa.array(key[new].view(np.int64)),
+             pa.array(np.diff(np.r_[new, len(row)]), pa.int64())],
+            names=["k", "doc_id", "key", "n"],
         )
 
 
@@ -74,21 +90,29 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text = [None if x else t for x, t in zip(bare, rows.column("text").to_pylist())]
         yield pa.RecordBatch.from_arrays(
             [rows.column("doc_id"), rows.column("k"), pa.array(count, pa.int64()), pa.array(sha, pa.string()), pa.array(text, pa.string()),
-             rows.column("keys").cast(pa.list_(pa.int64()))],
-            names=["doc_id", "k", "n_words", "sha", "text", "keys"],
+             rows.column("keys").cast(pa.list_(pa.int64())), rows.column("hot").cast(pa.list_(pa.int64()))],
+            names=["doc_id", "k", "n_words", "sha", "text", "keys", "hot"],
         )
 
 
 def _stretches(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for rows in slices(batches, "text"):
         data, start, end, doc = _words(rows)
-        first, last, key = _runs(data, start, end, doc, window)
-        keep = np.zeros(len(first), bool)
+        first, last, key, grams = _runs(data, start, end, doc, window)
+        keep, split = np.zeros(len(first), bool), np.zeros(len(first), bool)
         row = doc[first]
-        for r, wanted in enumerate(rows.column("keys").to_pylist()):
+        for r, (wanted, hot) in enumerate(zip(rows.column("keys").to_pylist(), rows.column("hot").to_pylist())):
             here = slice(*np.searchsorted(row, [r, r + 1]))
             keep[here] = np.isin(key[here].view(np.int64), np.array(wanted, np.int64))
-        first, last, key, row = first[keep], last[keep], key[keep], row[keep]
+            if hot:
+                split[here] = np.isin(key[here].view(np.int64), np.array(hot, np.int64))
+        first, last, key, split = first[keep], last[keep], key[keep], split[keep]
+        if split.any():
+            n = last[split] - first[split] + 1
+            one = np.repeat(first[split] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            first, last = np.r_[first[~split], one], np.r_[last[~split], one]
+            key = np.r_[key[~split], _window_keys(grams, one, window)]
+        row = doc[first]
         base = np.searchsorted(doc, row)
         joined, begin, to = spaced_words(data, start, end, doc)
         body = [joined[a:b].decode() for a, b in zip(begin[first].tolist(), to[last + window - 1].tolist())]
@@ -100,73 +124,78 @@ def _stretches(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Re
         )
 
 
-def _letter(i: int) -> str:
-    """A word's number as one character; surrogates are left out."""
-    return chr(i + 1 if i + 1 < 0xD800 else i + 1 + 0x800)
+def _letters(ids: np.ndarray) -> np.ndarray:
+    """Word numbers as code points of characters; 0 stays free for gaps and surrogates are left out."""
+    return np.where(ids + 1 < 0xD800, ids + 1, ids + 1 + 0x800).astype("<u4")
 
 
-def locate(stretches: list[tuple[str, int, int]], window: int = WINDOW) -> list[list[int | None]]:
-    """For each window of each stretch (words, smallest and largest document): the passage's smallest document,
-    or None where it does not recur.
+def locate(bodies: pa.Array, low: np.ndarray, high: np.ndarray, window: int = WINDOW) -> pa.Array:
+    """For each window of each stretch (words joined by a space, smallest and largest document): the passage's smallest
+    document, or null where it does not recur.
 
-    Neighbouring windows of a stretch that recur with one smallest document enter the automaton as one passage. A hit
-    of it settles all of its windows, and every recurring window of a stretch lies in a passage of that stretch.
+    Windows that stand in two documents are confirmed word by word and compiled into an automaton; all stretches are then
+    streamed through it, which locates every occurrence. The different words of one call are letters of one alphabet, so
+    there must be fewer than 1,111,000 of them; ``_shard`` hands over far fewer.
     """
     import ahocorasick
 
-    letters: dict[str, str] = {}
-    coded = ["".join(letters.setdefault(w, _letter(len(letters))) for w in body.split(" ")) for body, _, _ in stretches]
-    smallest: dict[str, int] = {}
-    largest: dict[str, int] = {}
-    for code, (_, low, high) in zip(coded, stretches):
-        for i in range(len(code) - window + 1):
-            passage = code[i : i + window]
-            if passage in smallest:
-                smallest[passage] = min(smallest[passage], low)
-                largest[passage] = max(largest[passage], high)
-            else:
-                smallest[passage], largest[passage] = low, high
-    confirmed = {passage: low for passage, low in smallest.items() if low < largest[passage]}  # in two documents
+    words = pc.split_pattern(bodies, " ")
+    n = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    ids = pc.dictionary_encode(pc.list_flatten(words)).indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    # A gap behind each stretch: no passage crosses it.
+    letters = np.zeros(len(ids) + len(n), "<u4")
+    letters[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)] = _letters(ids)
+    windows = np.maximum(n - window + 1, 0)
+    begin = np.cumsum(n + 1) - (n + 1)
+    stretch = np.repeat(np.arange(len(n)), windows)
+    at = np.arange(len(stretch)) - (np.cumsum(windows) - windows)[stretch] + begin[stretch]
+    found = np.full(len(letters), -1, np.int64)
     automaton = ahocorasick.Automaton()
-    for code in coded:
-        lows = [confirmed.get(code[i : i + window]) for i in range(len(code) - window + 1)]
-        first = 0
-        for i in range(1, len(lows) + 1):
-            if i == len(lows) or lows[i] != lows[first]:
-                if lows[first] is not None:
-                    automaton.add_word(code[first : i + window - 1], (i - first, lows[first]))
-                first = i
-    out: list[list[int | None]] = []
+    if len(at):
+        passages = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(letters, window)[at]).view(f"V{4 * window}").ravel()
+        order = np.argsort(passages, kind="stable")
+        ranked = passages[order]
+        first = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
+        lows = np.minimum.reduceat(low[stretch[order]], first)
+        recurs = lows < np.maximum.reduceat(high[stretch[order]], first)
+        code = letters.tobytes().decode("utf-32-le")
+        values = lows[recurs]
+        for i, p in enumerate(at[order[first[recurs]]].tolist()):
+            automaton.add_word(code[p : p + window], i)
     if len(automaton):
         automaton.make_automaton()
-    for code in coded:
-        hits: list[int | None] = [None] * (len(code) - window + 1)
-        if len(automaton):
-            for end, (n, low) in automaton.iter(code):
-                last = end - window + 2
-                hits[last - n : last] = [low] * n
-        out.append(hits)
-    return out
+        hits = np.array(list(automaton.iter(code)), np.int64)
+        found[hits[:, 0] - window + 1] = hits[:, 1]
+    hit = found[at] >= 0
+    smallest = pa.array(values[found[at]] if len(automaton) else np.zeros(len(at), np.int64), pa.int64(), mask=~hit)
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(windows)], pa.int32()), smallest)
 
 
 def _shard(batches: Iterator[pa.RecordBatch], window: int, limit: int) -> Iterator[pa.RecordBatch]:
-    held: list[tuple] = []
+    """Rows come in the order of their keys. A key has ``limit`` rows at most, so about twice as many are held."""
 
-    def out() -> pa.RecordBatch:
-        found = [(h[1], x) for h, x in zip(held, locate([h[1:] for h in held], window)) if any(y is not None for y in x)]
-        return pa.RecordBatch.from_pydict({
-            "body_id": pa.array([hashlib.md5(b.encode()).digest() for b, _ in found], pa.binary()),
-            "smallest": pa.array([x for _, x in found], pa.list_(pa.int64())),
-        })
+    def out(rows: pa.Table) -> pa.RecordBatch:
+        bodies = rows.column("body").combine_chunks()
+        smallest = locate(bodies, rows.column("low").to_numpy(), rows.column("high").to_numpy(), window)
+        ends = smallest.offsets.to_numpy()
+        met = np.r_[0, np.cumsum(smallest.values.is_valid().to_numpy(zero_copy_only=False))]
+        some = pa.array(np.flatnonzero(met[ends[1:]] > met[ends[:-1]]))
+        ids = [hashlib.md5(b.encode()).digest() for b in bodies.take(some).to_pylist()]
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), smallest.take(some)], names=["body_id", "smallest"])
 
+    held = None
     for batch in batches:
-        for row in zip(*(batch.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("key", "body", "low", "high"))):
-            if len(held) >= limit and row[0] != held[-1][0]:
-                yield out()
-                held = []
-            held.append(row)
-    if held:
-        yield out()
+        for i in range(0, batch.num_rows, limit):
+            more = pa.Table.from_batches([batch.slice(i, limit)])
+            held = more if held is None else pa.concat_tables([held, more])
+            if held.num_rows > limit:
+                key = held.column("key").to_numpy()
+                cut = int(np.searchsorted(key, key[-1]))
+                if cut:
+                    yield out(held.slice(0, cut))
+                    held = held.slice(cut)
+    if held is not None and held.num_rows:
+        yield out(held)
 
 
 def _finish(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -194,43 +223,57 @@ def _finish(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
         )
 
 
-def remove_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def remove_passages(docs: DataFrame, window: int = WINDOW, limit: int = STRETCHES) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of each row of (doc_id, text).
 
     A word goes if a window that covers it also starts in a document with a smaller id; windows are judged
-    on the input. A null, empty or short text loses nothing. Rows that share an id are the same document for
-    this rule, so equal rows do not remove each other; a null id is neither smaller nor larger. Extra columns are
-    not read; an empty table gives an empty one.
+    on the input. A null, empty or short text loses nothing; a long one is read whole, in one piece (fewer than 2**28
+    words). Rows that share an id are the same document for this rule, so equal rows do not remove each other; a null id is
+    neither smaller nor larger. Extra columns are not read; an empty table gives an empty one. ``limit`` is the number of
+    stretches that makes a key hot; results do not depend on it.
     """
     spark = docs.sparkSession
+    # A text is known by its id and a hash: texts of one id would have to collide.
+    row = ["k", "doc_id"]
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id", "text").alias("k")
     )
-    keys = rows.mapInArrow(lambda it: _keys(it, window), "k long, doc_id long, key long")
-    again = keys.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key")
+    keys = rows.where("doc_id is not null").mapInArrow(lambda it: _keys(it, window), "k long, doc_id long, key long, n long")
+    again = (
+        keys.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.sum("n").alias("n"))
+        .where("low < high").select("key", (F.col("n") > limit).alias("is_hot"))
+    )
     stage = Staging(spark)
-    candidates = stage.table(keys.select("k", "key").join(again, "key").groupBy("k").agg(F.collect_set("key").alias("keys")), "passage-keys")
+    candidates = stage.table(
+        keys.select(*row, "key").join(again, "key").groupBy(*row).agg(
+            F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("is_hot"), F.col("key"))).alias("hot")
+        ),
+        "passage-keys",
+    )
     texts = stage.table(
-        rows.join(candidates, "k", "left").mapInArrow(_texts, "doc_id long, k long, n_words long, sha string, text string, keys array<long>"),
+        rows.join(candidates, row, "left").mapInArrow(
+            _texts, "doc_id long, k long, n_words long, sha string, text string, keys array<long>, hot array<long>"
+        ),
         "passage-texts",
     )
     stage.drop("passage-keys")
-    stretches = texts.where("keys is not null and doc_id is not null").select("k", "doc_id", "text", "keys").mapInArrow(
+    stretches = texts.where("keys is not null").select(*row, "text", "keys", "hot").mapInArrow(
         lambda it: _stretches(it, window), "k long, doc_id long, word long, key long, body string"
     )
     stretches = stage.table(stretches, "passage-stretches")  # read twice, and cutting texts is the dear part
     distinct = stretches.groupBy("key", "body").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     found = distinct.repartition(2 * partitions(spark), "key").sortWithinPartitions("key").mapInArrow(
-        lambda it: _shard(it, window, STRETCHES), "body_id binary, smallest array<long>"
+        lambda it: _shard(it, window, limit), "body_id binary, smallest array<long>"
     )
     # Written tables, so that the shuffled stretches are gone before texts are shuffled again.
     found = stage.table(found, "passage-found")
-    places = stretches.select("k", "doc_id", "word", F.unhex(F.md5("body")).alias("body_id"))
+    places = stretches.select(*row, "word", F.unhex(F.md5("body")).alias("body_id"))
+    # A body stands once per key, and a hot key's bodies have keys of their own: one row each.
     hits = places.join(found, "body_id").select(
-        "k", F.expr("filter(transform(smallest, (x, i) -> if(x < doc_id, word + i, null)), x -> x is not null)").alias("words")
+        *row, F.expr("filter(transform(smallest, (x, i) -> if(x < doc_id, word + i, null)), x -> x is not null)").alias("words")
     )
-    gone = stage.table(hits.where(F.size("words") > 0).groupBy("k").agg(F.collect_list("words").alias("words")), "passage-gone")
+    gone = stage.table(hits.where(F.size("words") > 0).groupBy(*row).agg(F.collect_list("words").alias("words")), "passage-gone")
     stage.drop("passage-found", "passage-stretches")
-    return texts.drop("keys").join(gone, "k", "left").mapInArrow(
+    return texts.drop("keys", "hot").join(gone, row, "left").mapInArrow(
         lambda it: _finish(it, window), "doc_id long, n_words long, n_removed long, kept_sha256 string"
     )

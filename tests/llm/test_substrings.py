@@ -5,6 +5,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 
@@ -73,10 +74,11 @@ def removed_words(rows, window):
     return out
 
 
-@pytest.mark.parametrize("window", [13, 5])
-def test_repeated_passages(docs, hard, window):
+@pytest.mark.parametrize("window, limit", [(13, 8000), (5, 8000), (13, 1), (5, 2), (3, 1)])
+def test_repeated_passages(docs, hard, window, limit):
+    # A low limit makes every recurring key hot; results do not depend on it.
     rows = [r for r in hard if r[0] is not None]
-    got = {r.doc_id: tuple(r)[1:] for r in passages.remove_passages(docs(rows), window).collect()}
+    got = {r.doc_id: tuple(r)[1:] for r in passages.remove_passages(docs(rows), window, limit).collect()}
     assert got == removed_words(rows, window)
 
 
@@ -84,3 +86,26 @@ def test_passages_of_null_ids_and_equal_ids_stay(docs):
     text = " ".join(map(str, range(40)))
     got = passages.remove_passages(docs([(5, text), (5, text), (None, text), (9, text)])).collect()
     assert sorted((str(r.doc_id), r.n_removed) for r in got) == [("5", 0), ("5", 0), ("9", 40), ("None", 0)]
+
+
+def test_many_stretches_behind_one_key(docs):
+    # A common phrase with other words around it everywhere, and one passage that recurs among them.
+    again = " ".join(f"r{i}" for i in range(9)) + " of the said party"
+    rows = [(i, " ".join(f"a{i}x{j}" for j in range(9)) + " of the said party " + " ".join(f"b{i}x{j}" for j in range(9))) for i in range(600)]
+    rows += [(600, f"before {again} after"), (601, f"other {again} end")]
+    for limit in (50, 8000):
+        got = {r.doc_id: tuple(r)[1:] for r in passages.remove_passages(docs(rows), limit=limit).collect()}
+        assert got == removed_words(rows, 13)
+        assert got[601][1] == 13 and sum(g[1] for g in got.values()) == 13
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.lists(st.sampled_from("abc"), min_size=3, max_size=9), st.integers(0, 3)), max_size=12))
+def test_locate_finds_every_occurrence(stretches):
+    bodies, ids = [" ".join(w) for w, _ in stretches], np.array([i for _, i in stretches], np.int64)
+    where = collections.defaultdict(set)
+    for w, i in stretches:
+        for k in range(len(w) - 2):
+            where[tuple(w[k : k + 3])].add(i)
+    want = [[min(d) if len(d := where[tuple(w[k : k + 3])]) > 1 else None for k in range(len(w) - 2)] for w, _ in stretches]
+    assert passages.locate(pa.array(bodies, pa.string()), ids, ids, 3).to_pylist() == want
