@@ -14,6 +14,7 @@ loses the words.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -129,12 +130,19 @@ def _letters(ids: np.ndarray) -> np.ndarray:
     return np.where(ids + 1 < 0xD800, ids + 1, ids + 1 + 0x800).astype("<u4")
 
 
+def _only(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The value that all rows of a group share, or -1; groups start at ``first``."""
+    least = np.minimum.reduceat(values, first)
+    return np.where(least == np.maximum.reduceat(values, first), least, -1)
+
+
 def locate(bodies: pa.Array, low: np.ndarray, high: np.ndarray, window: int = WINDOW) -> pa.Array:
     """For each window of each stretch (words joined by a space, smallest and largest document): the passage's smallest
     document, or null where it does not recur.
 
-    Windows that stand in two documents are confirmed word by word and compiled into an automaton; all stretches are then
-    streamed through it, which locates every occurrence. The different words of one call are letters of one alphabet, so
+    Windows that stand in two documents are confirmed word by word. Neighbouring ones that only ever stand together make one
+    passage; the passages are compiled into an automaton, and all stretches are streamed through it, which locates every
+    occurrence. The different words of one call are letters of one alphabet, so
     there must be fewer than 1,111,000 of them; ``_shard`` hands over far fewer.
     """
     import ahocorasick
@@ -149,25 +157,38 @@ def locate(bodies: pa.Array, low: np.ndarray, high: np.ndarray, window: int = WI
     begin = np.cumsum(n + 1) - (n + 1)
     stretch = np.repeat(np.arange(len(n)), windows)
     at = np.arange(len(stretch)) - (np.cumsum(windows) - windows)[stretch] + begin[stretch]
-    found = np.full(len(letters), -1, np.int64)
+    found, met = np.zeros(len(letters), np.int64), np.zeros(len(letters), bool)
     automaton = ahocorasick.Automaton()
     if len(at):
         passages = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(letters, window)[at]).view(f"V{4 * window}").ravel()
         order = np.argsort(passages, kind="stable")
-        ranked = passages[order]
-        first = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
+        new = np.r_[True, passages[order[1:]] != passages[order[:-1]]]
+        first = np.flatnonzero(new)
         lows = np.minimum.reduceat(low[stretch[order]], first)
         recurs = lows < np.maximum.reduceat(high[stretch[order]], first)
+        group = np.empty(len(at), np.int64)
+        group[order] = np.cumsum(new) - 1
+        goes_on = np.r_[at[1:] == at[:-1] + 1, False]
+        after = _only(np.where(goes_on, np.r_[group[1:], -1], -1)[order], first)
+        before = _only(np.where(np.r_[False, goes_on[:-1]], np.r_[-1, group[:-1]], -1)[order], first)
+        # A window and the next one are always together: each is the other's only neighbour.
+        tied = (after >= 0) & (before[after] == np.arange(len(first)))
+        starts = recurs & ~((before >= 0) & tied[before] & (after[before] == np.arange(len(first))))
+        begins = order[first[starts]]
+        breaks = np.flatnonzero(~(goes_on & tied[group]))
+        length = breaks[np.searchsorted(breaks, begins)] - begins + 1
+        values = lows[starts]
         code = letters.tobytes().decode("utf-32-le")
-        values = lows[recurs]
-        for i, p in enumerate(at[order[first[recurs]]].tolist()):
-            automaton.add_word(code[p : p + window], i)
+        for i, (p, q) in enumerate(zip(at[begins].tolist(), (at[begins] + window + length - 1).tolist())):
+            automaton.add_word(code[p:q], i)
     if len(automaton):
         automaton.make_automaton()
-        hits = np.array(list(automaton.iter(code)), np.int64)
-        found[hits[:, 0] - window + 1] = hits[:, 1]
-    hit = found[at] >= 0
-    smallest = pa.array(values[found[at]] if len(automaton) else np.zeros(len(at), np.int64), pa.int64(), mask=~hit)
+        end, which = np.fromiter(itertools.chain.from_iterable(automaton.iter(code)), np.int64).reshape(-1, 2).T
+        n_hit = length[which]
+        shift = np.arange(n_hit.sum()) - np.repeat(np.cumsum(n_hit) - n_hit, n_hit)
+        found[np.repeat(end - window - n_hit + 2, n_hit) + shift] = np.repeat(values[which], n_hit)
+        met[np.repeat(end - window - n_hit + 2, n_hit) + shift] = True
+    smallest = pa.array(found[at], pa.int64(), mask=~met[at])
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(windows)], pa.int32()), smallest)
 
 
