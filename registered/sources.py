@@ -117,21 +117,17 @@ def months_by_partition(t):
 
 @query("survey_quarter_files", "S3 U1 W12", "select NEWID, FINLWT21, REGION from latest", ("latest",))
 def survey_quarter_files(t):
-    """Writes the units as one CSV folder per quarter, reads them by pattern, keeps the last record."""
+    """Writes the units by quarter, with other headers in each, reads them by name and keeps each unit's last record."""
     from tallyspark.operators.survey import latest_units
 
     folder = TB.scratch_path(t.spark, "survey")
-    columns = [f.name for f in schemas.UNITS]
-    units = t.units.selectExpr(
-        "NEWID", "FINLWT21", "cast(null as double) FINCBTXM", "cast(null as int) FAM_SIZE",
-        "cast(null as int) AGE_REF", "REGION", "cast(null as int) CUTENURE", "quarter",
-    )
-    for quarter in (1, 2):
-        TB.write_table(units.where(F.col("quarter") == quarter).select(*columns), f"{folder}/fmli{quarter}", "csv")
-    # Part files carry Spark's names; the folder is what tells the quarters apart.
-    read = SV.read_survey(t.spark, folder, r"^part-.*\.csv$", schemas.UNITS)
-    dated = read.withColumn("folder", F.regexp_extract(F.input_file_name(), r"(fmli\d)", 1))
-    return latest_units(dated, ["folder"]).select("NEWID", "FINLWT21", "REGION")
+    first = ["NEWID", "FINLWT21", "REGION", "quarter"]
+    second = ["REGION as region", "'.' as FAM_SIZE", "quarter as QINTRVMO", "NEWID", "FINLWT21"]
+    for quarter, columns in ((1, first), (2, second)):
+        TB.write_table(t.units.where(F.col("quarter") == quarter).selectExpr(*columns), f"{folder}/fmli24{quarter}.csv")
+    TB.write_table(t.units.selectExpr("NEWID", "1 as COST"), f"{folder}/mtbi241.csv")
+    units = SV.read_survey(t.spark, folder, r"^fmli\d+.*\.csv$", schemas.UNITS)
+    return latest_units(units, ["source_file"]).select("NEWID", "FINLWT21", "REGION")
 
 
 @query("survey_code_hierarchy", "S4", "select '1' as level, title, ucc from hg", ("hg",))

@@ -3,13 +3,13 @@ import math
 
 import numpy as np
 import pytest
-from pyspark.sql import Window, functions as F
+from pyspark.sql import Window, functions as F, types as T
 
 from tallyspark.functions.draws import row_hash
 from tallyspark.operators import (
     drift as D, evaluate as E, explain as X, feedback as FB, isolation as I, labels as L, promote as G, survey as S,
 )
-from tallyspark.sources import ledger_store as LS, schemas, state as ST, tables as TB
+from tallyspark.sources import ledger_store as LS, schemas, state as ST, survey_files as SV, tables as TB
 
 NOW = dt.datetime(2024, 3, 1)
 
@@ -226,3 +226,22 @@ def test_a_run_is_recorded_once(spark, tmp_path):
     for mark in (tmp_path / "runs").glob("*/_SUCCESS"):
         mark.unlink()
     assert ST.save_state(spark, path, "trend", NOW, "a") and ST.read_state(spark, path).count() == 2
+
+
+def test_survey_files_are_read_by_their_headers(spark, tmp_path):
+    schema = T.StructType([T.StructField("NEWID", T.LongType()), T.StructField("W", T.DoubleType()), T.StructField("R", T.StringType())])
+    (tmp_path / "in trvw+1").mkdir()
+    (tmp_path / "in trvw+1" / "fmli231.csv").write_text("NEWID,W,R\n1,2.5,a\n2,.,\"x, y\"\n")
+    (tmp_path / "in trvw+1" / "FMLI232X.CSV").write_text("﻿r,EXTRA,newid,EXTRA\nb,9,3,8\n")
+    (tmp_path / "in trvw+1" / "fmli233.csv").write_text("")
+    (tmp_path / "in trvw+1" / "mtbi231.csv").write_text("NEWID,COST\n1,5\n")
+    (tmp_path / "in trvw+1" / "fmli231.txt").write_text("NEWID,W,R\n7,7,7\n")
+    spark.range(4, 6).selectExpr("id as NEWID", "'p' as R").write.option("header", True).csv(str(tmp_path / "fmli241.csv"))
+    rows = SV.read_survey(spark, str(tmp_path), r"^fmli\d+x?\.csv$", schema)
+    assert sorted(rows.collect(), key=lambda r: r.NEWID) == [
+        (1, 2.5, "a", "fmli231.csv"), (2, None, "x, y", "fmli231.csv"), (3, None, "b", "FMLI232X.CSV"),
+        (4, None, "p", "fmli241.csv"), (5, None, "p", "fmli241.csv"),
+    ]
+    for pattern in (r"^expd", r"^fmli233"):
+        with pytest.raises(ValueError, match="no files"):
+            SV.read_survey(spark, str(tmp_path), pattern, schema)
