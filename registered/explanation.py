@@ -8,32 +8,45 @@ from tallyspark.operators import explain as X
 from tallyspark.operators.features import FEATURES
 from tallyspark.sources.tables import staged
 
+from .features import AVERAGED
 from .registry import query
 from .views import TWINS
 
-# A given linear model; powers of two, so that its products are exact in any engine.
+# A given linear model over all 20 features; powers of two, so that its products are exact in any engine.
 COEFFICIENTS = {
-    "current_spend": 0.25, "rolling_mean_1m": -0.5, "rolling_mean_6m": 0.125, "txn_count": 64.0,
-    "total_monthly_spend": -0.0625, "month_of_year": 32.0, "days_since_last_txn": -16.0,
+    "current_spend": 0.25, "rolling_mean_1m": -0.5, "rolling_mean_3m": 0.0625, "rolling_mean_6m": 0.125,
+    "rolling_std_3m": -0.25, "rolling_std_6m": 0.03125, "deviation_ratio": 2048.0, "share_of_wallet": -4096.0,
+    "hist_share_of_wallet": 8192.0, "txn_count": 64.0, "hist_txn_count_mean": -128.0, "avg_txn_size": 0.125,
+    "hist_avg_txn_size": -0.25, "days_since_last_txn": -16.0, "month_of_year": 32.0, "spending_velocity": 1024.0,
+    "weekend_txn_ratio": -512.0, "total_monthly_spend": -0.0625, "elevated_cat_count": 256.0, "budget_utilization": 512.0,
 }
 THRESHOLD = 0.4
+# Fixed values, stated apart from the library's.
 _WORDS = {
-    "current_spend": "current spending", "rolling_mean_1m": "last month''s average", "rolling_mean_6m": "6-month average",
-    "txn_count": "number of transactions", "total_monthly_spend": "total monthly spending",
-    "month_of_year": "time of year", "days_since_last_txn": "days since last transaction",
+    "current_spend": "current spending", "rolling_mean_1m": "last month''s average", "rolling_mean_3m": "3-month average",
+    "rolling_mean_6m": "6-month average", "rolling_std_3m": "3-month spending variability",
+    "rolling_std_6m": "6-month spending variability", "deviation_ratio": "deviation from 3-month average",
+    "share_of_wallet": "share of total spending", "hist_share_of_wallet": "historical share of spending",
+    "txn_count": "number of transactions", "hist_txn_count_mean": "typical transaction count",
+    "avg_txn_size": "average transaction size", "hist_avg_txn_size": "typical transaction size",
+    "days_since_last_txn": "days since last transaction", "month_of_year": "time of year",
+    "spending_velocity": "spending pace this month", "weekend_txn_ratio": "weekend spending pattern",
+    "total_monthly_spend": "total monthly spending", "elevated_cat_count": "number of elevated categories",
+    "budget_utilization": "budget utilization",
 }
-_ORDER = {f: i for i, f in enumerate(FEATURES)}
 
 TWINS.update(
     {
         "scored": (("trend",), """
 select *, (away - min(away) over ()) / (max(away) over () - min(away) over () + 1e-8::double) as anomaly_score
 from (select *, abs(current_spend - rolling_mean_3m) as away from trend)"""),
-        "attributed": (("trend",), " union all ".join(
-            f"select user_id, category, period, '{f}' as feature, {_ORDER[f]} as idx, {f}::double as value, "
-            f"{c}::double * ({f}::double - avg({f}) over ()) as attribution, '{_WORDS[f]}' as words from trend"
-            for f, c in COEFFICIENTS.items()
-        )),
+        "attributed": (("trend",), f"""
+select user_id, category, period, a.feature, a.idx, a.value, a.attribution, a.words from (
+  select user_id, category, period, unnest([{", ".join(
+      f"{{'feature': '{f}', 'idx': {i}, 'value': {f'round({f}, 9)' if f in AVERAGED else f}::double, "
+      f"'attribution': {COEFFICIENTS[f]}::double * ({f}::double - avg({f}) over ()), 'words': '{_WORDS[f]}'}}"
+      for i, f in enumerate(FEATURES)
+  )}]) as a from trend)"""),
         "factors": (("attributed",), """
 select user_id, category, period, list((feature, attribution > 0, words) order by abs(attribution) desc, idx desc)[1:3] as f
 from attributed group by all"""),
@@ -80,11 +93,12 @@ def anomalies(t):
 
 
 @query("attributions", "X2", """
-select user_id, category, period, feature, value, round(attribution, 5) as attribution from attributed""", ("attributed",))
+select user_id, category, period, feature, value, round(attribution, 5) + 0.0::double as attribution
+from attributed""", ("attributed",))
 def attributions(t):
-    rows = X.attribute(staged(t.trend, "trend"), COEFFICIENTS, list(COEFFICIENTS))
-    return rows.select("user_id", "category", "period", F.inline("attributions")).withColumn(
-        "attribution", F.round("attribution", 5)
+    rows = X.attribute(staged(t.trend, "trend"), COEFFICIENTS)
+    return rows.select("user_id", "category", "period", F.inline("attributions")).withColumns(
+        {"value": F.when(F.col("feature").isin(*AVERAGED), F.round("value", 9)).otherwise(F.col("value")), "attribution": F.round("attribution", 5)}
     )
 
 
@@ -140,5 +154,5 @@ def first_explanations(t):
 @query("global_importance", "X7 T6", """
 select feature, round(avg(abs(attribution)), 5) as importance from attributed group by all""", ("attributed",))
 def global_importance(t):
-    rows = X.attribute(staged(t.trend, "trend"), COEFFICIENTS, list(COEFFICIENTS))
+    rows = X.attribute(staged(t.trend, "trend"), COEFFICIENTS)
     return X.by_importance(X.global_importance(rows)).withColumn("importance", F.round("importance", 5))

@@ -75,48 +75,52 @@ def trend_features_inference(t):
     return comparable(FT.trend_features(t.ledger, training=False))
 
 
-@query("trend_features_budgeted", "J8 J9 S6", """
-select user_id, category, period, current_spend,
-  case when budget > 0 then current_spend / budget else 0 end as budget_utilization
+_BUDGETED = _SQL_FEATURES.replace(
+    "budget_utilization", "case when budget > 0 then current_spend / budget else 0 end as budget_utilization")
+
+
+@query("trend_features_budgeted", "J8 J9 S6", f"""
+select user_id, category, period, {_BUDGETED}, next_month_spend
 from trend left join active using (user_id, category)""", ("trend", "active"))
 def trend_features_budgeted(t):
     budgets = active_budgets(t.budget_limits, t.budgets, ASOF)
-    return FT.trend_features(t.ledger, budgets).select(
-        "user_id", "category", "period", "current_spend", "budget_utilization"
-    )
+    return comparable(FT.trend_features(t.ledger, budgets))
+
+
+def _variant(floor: str, days: str, velocity: str, weekend: str, elevated: str) -> str:
+    """All 20 features of a set whose first row is the fourth month of a pair."""
+    return f"""
+select user_id, category, period, spend / 100.0::double as current_spend, prev / 100.0::double as rolling_mean_1m,
+  mean3 as rolling_mean_3m, mean6 as rolling_mean_6m, raw_std3 as rolling_std_3m, raw_std6 as rolling_std_6m,
+  least((spend / 100.0::double) / greatest(mean3, {floor}::double), 10.0::double) as deviation_ratio,
+  (spend / 100.0::double) / greatest(total / 100.0::double, {floor}::double) as share_of_wallet,
+  round(hist_share, 9) as hist_share_of_wallet, txn_count, hist_count as hist_txn_count_mean,
+  (spend / 100.0::double) / greatest(txn_count, 1) as avg_txn_size, round(hist_size, 9) as hist_avg_txn_size,
+  {days} as days_since_last_txn, month(period) as month_of_year, {velocity} as spending_velocity,
+  {weekend} as weekend_txn_ratio, total / 100.0::double as total_monthly_spend, {elevated} as elevated_cat_count,
+  0.0::double as budget_utilization, next_spend / 100.0::double as next_month_spend
+from (select *, sum(case when i >= 3 and mean3 > 0 and spend / 100.0::double > mean3 * 1.2::double then 1 else 0 end)
+        over (partition by user_id, period)::bigint as e from hist_all)
+where i >= 3 and next_spend is not null"""
 
 
-@query("trend_features_survey", "W8 W11", """
-select user_id, category, period, i, spend / 100.0::double as current_spend, mean3 as rolling_mean_3m,
-  15::bigint as days_since_last_txn, (spend / 100.0::double) / greatest(mean3, 1e-8::double) * 0.5 as spending_velocity,
-  null::double as weekend_txn_ratio,
-  (case when spend / 100.0::double > mean3 * 1.2::double then 1 else 0 end
-   + case when prev / 100.0::double > mean3 * 1.2::double then 1 else 0 end
-   + case when prev2 / 100.0::double > mean3 * 1.2::double then 1 else 0 end
-   + case when prev3 / 100.0::double > mean3 * 1.2::double then 1 else 0 end)::bigint as elevated_cat_count,
-  next_spend / 100.0::double as next_month_spend
-from hist_all where i >= 3 and next_spend is not null""".replace(" i, spend", " spend"), ("hist_all",))
+_OWN_MONTHS = " + ".join(
+    f"case when {c} / 100.0::double > mean3 * 1.2::double then 1 else 0 end" for c in ("spend", "prev", "prev2", "prev3"))
+
+
+@query("trend_features_survey", "W8 W11", _variant(
+    "1e-8", "15::bigint", "(spend / 100.0::double) / greatest(mean3, 1e-8::double) * 0.5", "null::double",
+    f"({_OWN_MONTHS})::bigint"), ("hist_all",))
 def trend_features_survey(t):
-    return FT.trend_features(t.ledger, variant=FT.SURVEY).select(
-        "user_id", "category", "period", "current_spend", "rolling_mean_3m", "days_since_last_txn",
-        "spending_velocity", "weekend_txn_ratio", "elevated_cat_count", "next_month_spend",
-    )
+    return comparable(FT.trend_features(t.ledger, variant=FT.SURVEY))
 
 
-@query("trend_features_simulated", "W8 A8", """
-select user_id, category, period, spend / 100.0::double as current_spend,
-  least((spend / 100.0::double) / greatest(mean3, 0.01::double), 10.0::double) as deviation_ratio,
-  weekend_txns / greatest(txn_count, 1) as weekend_txn_ratio,
-  (mid_spend / 100.0::double) / greatest(mean3, 0.01::double) as spending_velocity, e as elevated_cat_count,
-  next_spend / 100.0::double as next_month_spend
-from (select *, sum(case when i >= 3 and mean3 > 0 and spend / 100.0::double > mean3 * 1.2::double then 1 else 0 end)
-        over (partition by user_id, period)::bigint as e from hist_all)
-where i >= 3 and next_spend is not null""", ("hist_all",))
+@query("trend_features_simulated", "W8 A8", _variant(
+    "0.01", "greatest(0, floor((epoch(period::timestamp) - epoch(prev_last)) / 86400))::bigint",
+    "(mid_spend / 100.0::double) / greatest(mean3, 0.01::double)", "weekend_txns / greatest(txn_count, 1)", "e"),
+       ("hist_all",))
 def trend_features_simulated(t):
-    return FT.trend_features(t.ledger, variant=FT.SIMULATED).select(
-        "user_id", "category", "period", "current_spend", "deviation_ratio", "weekend_txn_ratio",
-        "spending_velocity", "elevated_cat_count", "next_month_spend",
-    )
+    return comparable(FT.trend_features(t.ledger, variant=FT.SIMULATED))
 
 
 @query("category_medians", "A9", """
@@ -131,11 +135,32 @@ select user_id, category, period, current_spend, next_month_spend, current_spend
 from trend join (select category, median((round(current_spend * 100))::bigint) / 100.0::double as m
   from trend group by all) using (category)""", ("trend",))
 def feature_table_with_outliers(t):
-    return feature_table(t.ledger).select(
+    return feature_table(t.ledger, rounded=False).select(
         "user_id", "category", "period", "current_spend", "next_month_spend", "_is_outlier"
     )
 
 
+def _half_up(column: str) -> str:
+    """Half up on the decimal text of a double."""
+    digits = 4 if column in FT.RATIOS else 2
+    return f"round({column}::varchar::decimal(38, 18), {digits})::double as {column}"
+
+
+_PRESENTED = [c for c in (*FT.FEATURES, FT.TARGET) if c not in AVERAGED]
+
+
+@query("presented_feature_table", "A9 J19 P12 S10 P15", f"""
+select user_id, category, strftime(period, '%Y-%m') as period, {", ".join(
+    _half_up(c) if c in (*FT.MONEY, *FT.RATIOS, FT.TARGET) else c for c in _PRESENTED)},
+  current_spend > 10.0::double * m as _is_outlier
+from trend join (select category, median((round(current_spend * 100))::bigint) / 100.0::double as m
+  from trend group by all) using (category)""", ("trend",))
+def presented_feature_table(t):
+    """The feature job's output. An average of ratios may round to either side of a tie in another engine, so these two
+    are left to the unit test of ``present``."""
+    return feature_table(t.ledger).drop(*AVERAGED)
+
+
 @query("outliers_at_twice_the_median", "P12", """
 select category, count(*) as n, count(*) filter (where current_spend > 2.0::double * m) as n_outlier
 from trend join (select category, median((round(current_spend * 100))::bigint) / 100.0::double as m

@@ -11,6 +11,8 @@ from .views import TWINS, Tables
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 COVERS: dict[str, tuple[str, ...]] = {}
+#: Views that a twin reads more than once and that cost too much to work out each time.
+ONCE = {"labelled"}
 
 
 def with_views(body: str, *views: str) -> str:
@@ -28,7 +30,7 @@ def with_views(body: str, *views: str) -> str:
         add(view)
     if not order:
         return body
-    head = ",\n".join(f"{name} AS ({TWINS[name][1].strip()})" for name in order)
+    head = ",\n".join(f"{name} AS {'MATERIALIZED ' * (name in ONCE)}({TWINS[name][1].strip()})" for name in order)
     return f"WITH {head}\n{body.strip()}"
 
 

@@ -219,13 +219,17 @@ def label_universe(t):
     return joined(L.label_universe(labelled(t)), "classes")
 
 
+# Each different label list is turned into its row of zeros and ones once.
+TWINS["label_rows"] = (("labelled",), """
+select categories, string_agg(case when list_contains(categories, label) then '1' else '0' end, ',' order by label) as target
+from (select distinct categories from labelled) cross join (select distinct unnest(categories) as label from labelled)
+group by categories""")
+
+
 @query("binarised_labels", "ML4", """
-select persona_id, major_category, period, part, array_to_string(list_transform(classes,
-  lambda c: case when list_contains(categories, c) then 1 else 0 end), ',') as target
-from labelled cross join (select list(label order by label) as classes from (
-  select distinct unnest(categories) as label from labelled))""", ("labelled",))
+select persona_id, major_category, period, part, target from labelled join label_rows using (categories)""", ("label_rows",))
 def binarised_labels(t):
-    rows = labelled(t)
+    rows = staged(labelled(t).select("persona_id", "major_category", "period", "part", "categories"), "labelled")
     return joined(L.binarise(rows, L.label_universe(rows).scalar()), "target").select(
         "persona_id", "major_category", "period", "part", "target"
     )

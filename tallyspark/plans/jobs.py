@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import drift as D, explain as X, feedback as FB, labels as L, models as M, profile as P
 from ..operators import promote as G, survey as S
-from ..operators.features import FEATURES, LEDGER, SURVEY, TARGET, Variant, flag_outliers, trend_features
+from ..operators.features import FEATURES, LEDGER, SURVEY, TARGET, Variant, flag_outliers, present, trend_features
 from ..operators.isolation import fit_forest as fit_isolation, isolation_score
 from ..operators.merchants import assign_merchants
 from ..operators.splits import ensure_split, part, split_by_hash, split_by_time
@@ -29,12 +29,18 @@ def feature_table(
     user: str | None = None,
     outlier_factor: float = 10,
     out: str | None = None,
+    rounded: bool = True,
 ) -> DataFrame:
-    """The feature job: features, then the outlier flag from the written features."""
+    """The feature job: features, then the outlier flag from the written features.
+
+    ``rounded`` is the form for output (``present``); without it the features keep all digits and the month its date.
+    """
     if user is not None:
         transactions = transactions.where(F.col("user_id") == F.lit(user))
     rows = staged(trend_features(transactions, budgets, variant, training), "features")
     flagged = flag_outliers(rows, outlier_factor)
+    if rounded:
+        flagged = present(flagged)
     if out is not None:
         write_table(flagged, out)
     return flagged
