@@ -12,7 +12,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 COVERS: dict[str, tuple[str, ...]] = {}
 #: Views that a twin reads more than once and that cost too much to work out each time.
-ONCE = {"labelled"}
+ONCE = {"labelled", "labelled_totals"}
 
 
 def with_views(body: str, *views: str) -> str:

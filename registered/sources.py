@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F, types as T
 
-from tallyspark.sources import ledger_store as LS, schemas, state as ST, survey_files as SV, tables as TB
+from tallyspark.sources import clustered as CL, ledger_store as LS, schemas, state as ST, survey_files as SV, tables as TB
 
 from .registry import query
 
@@ -115,6 +115,20 @@ def months_by_partition(t):
     )
 
 
+@query("months_of_version", "S10 S13", """
+select user_id, category, spend, period from months where period >= date '1998-01-01' and user_id > '5'""", ("months",))
+def months_of_version(t):
+    """A clustered table in two versions, the second committed twice: the filters prune folders and row groups."""
+    from tallyspark.operators.monthly import monthly
+
+    path = TB.scratch_path(t.spark, "versions")
+    months = monthly(t.ledger).select("user_id", "category", "spend", "period")
+    CL.write_clustered(months.where("spend > 0"), path, "first", "period", ["user_id"])
+    for _ in range(2):
+        CL.write_clustered(months, path, "second", "period", ["user_id"])
+    return CL.read_clustered(t.spark, path).where((F.col("period") >= F.lit("1998-01-01").cast("date")) & (F.col("user_id") > "5"))
+
+
 @query("survey_quarter_files", "S3 U1 W12", "select NEWID, FINLWT21, REGION from latest", ("latest",))
 def survey_quarter_files(t):
     """Writes the units by quarter, with other headers in each, reads them by name and keeps each unit's last record."""

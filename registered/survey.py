@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyspark.functions import fixed
+from tallyspark.functions.money import dollars
 from tallyspark.operators import labels as L, merchants as M, profile as P, survey as S
 from tallyspark.operators.splits import split_by_hash
 from tallyspark.sources.tables import staged
@@ -96,6 +97,13 @@ from (select *, coalesce(cities, ['ANYTOWN']) as cs,
   left join cities on cities.st = state)"""),
     }
 )
+# The same rule for labels, over the totals as they are.
+_, _labelled = TWINS["labelled"]
+TWINS["labelled_totals"] = (("totals", "related"), _labelled.replace("period, part, amount,", "period, total_cents / 100.0::double as amount,")
+                            .replace("from txn", "from totals"))
+TWINS["regions"] = (("latest",), """
+select NEWID as persona_id, case REGION when 1 then 'Northeast' when 2 then 'Midwest' when 3 then 'South' when 4 then 'West'
+  else 'Midwest' end as region from latest""")
 
 
 def everyone(t):
@@ -111,6 +119,15 @@ def txn(t):
     return S.disaggregate(totals(t))
 
 
+def amounts(t):
+    """The totals with their amount in dollars."""
+    return totals(t).withColumn("amount", dollars("total_cents"))
+
+
+def labelled_totals(t):
+    return L.assign_labels(amounts(t), F.transform("items", lambda i: i["item_name"]))
+
+
 def labelled(t):
     return L.assign_labels(txn(t), F.transform("items", lambda i: i["item_name"]))
 
@@ -159,6 +176,23 @@ def labelled_transactions(t):
     return joined(labelled(t), "categories").select("persona_id", "major_category", "period", "part", "categories")
 
 
+@query("labels_of_totals", "E1 E2 J14 U3", """
+select persona_id, major_category, period, amount, array_to_string(categories, ',') as categories from labelled_totals""",
+       ("labelled_totals",))
+def labels_of_totals(t):
+    return joined(labelled_totals(t), "categories").select("persona_id", "major_category", "period", "amount", "categories")
+
+
+@query("regional_totals", "J12", """
+select region, major_category, count(*) as n, sum(total_cents)::bigint as total_cents from totals join regions using (persona_id)
+group by all""", ("totals", "regions"))
+def regional_totals(t):
+    rows = totals(t).join(M.unit_regions(everyone(t)), "persona_id")
+    return rows.groupBy("region", "major_category").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("total_cents").alias("total_cents")
+    )
+
+
 _SUBCATEGORY = "case p_size % 6 when 0 then 'Shelter' when 1 then 'Drugs' when 2 then 'Tuition' when 3 then 'Dairy products' when 4 then 'Gasoline and motor oil' else 'Other' end"
 _MAJOR = "case p_partkey % 4 when 0 then 'Food' when 1 then 'Housing' when 2 then 'Healthcare' else 'Pets' end"
 
@@ -207,40 +241,40 @@ def text_training_set(t):
 
 
 @query("label_distribution", "A16", """
-select label, count(*) as n from (select unnest(categories) as label from labelled) group by all""", ("labelled",))
+select label, count(*) as n from (select unnest(categories) as label from labelled_totals) group by all""", ("labelled_totals",))
 def label_distribution(t):
-    return L.label_counts(labelled(t))
+    return L.label_counts(labelled_totals(t))
 
 
 @query("label_universe", "A17", """
 select string_agg(label, ',' order by label) as classes from (
-  select distinct unnest(categories) as label from labelled)""", ("labelled",))
+  select distinct unnest(categories) as label from labelled_totals)""", ("labelled_totals",))
 def label_universe(t):
-    return joined(L.label_universe(labelled(t)), "classes")
+    return joined(L.label_universe(labelled_totals(t)), "classes")
 
 
 # Each different label list is turned into its row of zeros and ones once.
-TWINS["label_rows"] = (("labelled",), """
+TWINS["label_rows"] = (("labelled_totals",), """
 select categories, string_agg(case when list_contains(categories, label) then '1' else '0' end, ',' order by label) as target
-from (select distinct categories from labelled) cross join (select distinct unnest(categories) as label from labelled)
+from (select distinct categories from labelled_totals) cross join (select distinct unnest(categories) as label from labelled_totals)
 group by categories""")
 
 
 @query("binarised_labels", "ML4", """
-select persona_id, major_category, period, part, target from labelled join label_rows using (categories)""", ("label_rows",))
+select persona_id, major_category, period, target from labelled_totals join label_rows using (categories)""", ("label_rows",))
 def binarised_labels(t):
-    rows = staged(labelled(t).select("persona_id", "major_category", "period", "part", "categories"), "labelled")
+    rows = staged(labelled_totals(t).select("persona_id", "major_category", "period", "categories"), "labelled")
     return joined(L.binarise(rows, L.label_universe(rows).scalar()), "target").select(
-        "persona_id", "major_category", "period", "part", "target"
+        "persona_id", "major_category", "period", "target"
     )
 
 
 @query("labels_through_json", "P9", """
-select persona_id, major_category, period, part, len(categories) as n_labels from labelled""", ("labelled",))
+select persona_id, major_category, period, len(categories) as n_labels from labelled_totals""", ("labelled_totals",))
 def labels_through_json(t):
-    text = labelled(t).withColumn("categories", F.to_json("categories"))
+    text = labelled_totals(t).withColumn("categories", F.to_json("categories"))
     return L.parse_labels(text).select(
-        "persona_id", "major_category", "period", "part", F.size("categories").cast("bigint").alias("n_labels")
+        "persona_id", "major_category", "period", F.size("categories").cast("bigint").alias("n_labels")
     )
 
 
@@ -267,21 +301,21 @@ def auxiliary_features(t):
 
 @query("average_monthly_spend", "A10", """
 select major_category, sum(c) / count(*) / 100.0::double as avg_monthly from (
-  select major_category, period, sum(round(amount * 100)::bigint) as c from txn group by all) group by all""", ("txn",))
+  select major_category, period, sum(total_cents) as c from totals group by all) group by all""", ("totals",))
 def average_monthly_spend(t):
-    return P.average_monthly(txn(t))
+    return P.average_monthly(amounts(t))
 
 
-@query("transactions_per_category", "A11", "select major_category, count(*) as n from txn group by all", ("txn",))
+@query("transactions_per_category", "A11", "select major_category, count(*) as n from totals group by all", ("totals",))
 def transactions_per_category(t):
-    return P.count_by(txn(t), "major_category")
+    return P.count_by(totals(t), "major_category")
 
 
 @query("label_coverage", "A12", """
 select sum(len(categories)) / count(*) as avg_labels, min(len(categories))::int as min_labels,
-  count(*) filter (where len(categories) >= 2) / count(*) as pct_multilabel from labelled""", ("labelled",))
+  count(*) filter (where len(categories) >= 2) / count(*) as pct_multilabel from labelled_totals""", ("labelled_totals",))
 def label_coverage(t):
-    return P.label_coverage(labelled(t))
+    return P.label_coverage(labelled_totals(t))
 
 
 @query("amount_profile", "A13", """
@@ -301,8 +335,8 @@ def distinct_counts(t):
 
 @query("quality_report", "A12 A13 A14 A19", """
 select r.rule, r.value, case r.rule when 'positive amounts' then r.value > 0 else r.value >= r.bound end as passed
-from (select min(len(categories)) as l, min(amount) as a, count(distinct persona_id) as p from labelled),
+from (select min(len(categories)) as l, min(amount) as a, count(distinct persona_id) as p from labelled_totals),
 lateral (values ('labels per transaction', l::double, 2), ('positive amounts', a::double, 0),
-  ('personas', p::double, 100)) r(rule, value, bound)""", ("labelled",))
+  ('personas', p::double, 100)) r(rule, value, bound)""", ("labelled_totals",))
 def quality_report(t):
-    return P.quality_issues(P.profile(labelled(t)))
+    return P.quality_issues(P.profile(staged(labelled_totals(t).drop("items"), "labelled")))

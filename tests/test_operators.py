@@ -185,6 +185,21 @@ def test_multilabel_metrics(spark):
     assert m.abstention_rate == pytest.approx(2 / 3) and math.isclose(m.macro_f1, 0.5)
 
 
+def test_distinct_values_by_bitmap_and_by_group(spark):
+    from tallyspark.operators import profile as P
+
+    rows = [(i % 7 - 3, i * 10**15 % 13 - 6 * 10**15 * (i % 3), i % 90_000 - 45_000, None if i % 5 else dt.date(1960, 1, 1) + dt.timedelta(i % 800),
+             None, f"s{i % 11}" if i % 4 else None, 0.0 if i % 2 else -0.0) for i in range(3000)]
+    df = spark.createDataFrame(rows, "near int, far bigint, wide int, day date, none int, text string, zero double")
+    counts = P.distinct_counts(df, df.columns)
+    plan = counts._jdf.queryExecution().toString()
+    assert "Expand" not in plan and plan.count("bitmap_construct_agg") > 0
+    got = counts.first().asDict()
+    want = {f"n_{c}": len({r[i] for r in rows} - {None}) for i, c in enumerate(df.columns)}
+    assert got == {"n_rows": 3000, **want}
+    assert P.distinct_counts(df.limit(0), ["near", "text"]).first() == (0, 0, 0)
+
+
 def test_set_sizes_and_their_rules(spark):
     from tallyspark.operators import profile as P
 
