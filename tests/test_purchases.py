@@ -32,3 +32,9 @@ def test_label_distribution_counts_purchases(t, purchases):
         for label in row.categories.split(","):
             want[label] = want.get(label, 0) + 1
     assert {r.label: r.n for r in survey.label_distribution(t).collect()} == want
+
+
+def test_binarised_labels_has_a_row_per_purchase(t, purchases):
+    classes = survey.label_universe(t).first()[0].split(",")
+    want = {tuple(r[:4]): ",".join(str(int(c in r.categories.split(","))) for c in classes) for r in purchases}
+    assert {tuple(r[:4]): r.target for r in survey.binarised_labels(t).collect()} == want
