@@ -38,3 +38,8 @@ def test_binarised_labels_has_a_row_per_purchase(t, purchases):
     classes = survey.label_universe(t).first()[0].split(",")
     want = {tuple(r[:4]): ",".join(str(int(c in r.categories.split(","))) for c in classes) for r in purchases}
     assert {tuple(r[:4]): r.target for r in survey.binarised_labels(t).collect()} == want
+
+
+def test_labels_through_json_has_a_row_per_purchase(t, purchases):
+    want = {tuple(r[:4]): len(r.categories.split(",")) for r in purchases}
+    assert {tuple(r[:4]): r.n_labels for r in survey.labels_through_json(t).collect()} == want
