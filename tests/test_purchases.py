@@ -43,3 +43,12 @@ def test_binarised_labels_has_a_row_per_purchase(t, purchases):
 def test_labels_through_json_has_a_row_per_purchase(t, purchases):
     want = {tuple(r[:4]): len(r.categories.split(",")) for r in purchases}
     assert {tuple(r[:4]): r.n_labels for r in survey.labels_through_json(t).collect()} == want
+
+
+def test_average_monthly_spend_adds_up_purchases(t):
+    spent = {}
+    for r in survey.disaggregated_transactions(t).collect():
+        months = spent.setdefault(r.major_category, {})
+        months[r.period] = months.get(r.period, 0) + round(r.amount * 100)
+    got = {r.major_category: r.avg_monthly for r in survey.average_monthly_spend(t).collect()}
+    assert got == {c: sum(m.values()) / len(m) / 100 for c, m in spent.items()}
