@@ -52,3 +52,7 @@ def test_average_monthly_spend_adds_up_purchases(t):
         months[r.period] = months.get(r.period, 0) + round(r.amount * 100)
     got = {r.major_category: r.avg_monthly for r in survey.average_monthly_spend(t).collect()}
     assert got == {c: sum(m.values()) / len(m) / 100 for c, m in spent.items()}
+
+
+def test_transactions_per_category_counts_purchases(t, purchases):
+    assert sum(r.n for r in survey.transactions_per_category(t).collect()) == len(purchases)
