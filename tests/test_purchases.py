@@ -56,3 +56,8 @@ def test_average_monthly_spend_adds_up_purchases(t):
 
 def test_transactions_per_category_counts_purchases(t, purchases):
     assert sum(r.n for r in survey.transactions_per_category(t).collect()) == len(purchases)
+
+
+def test_label_coverage_is_of_purchases(t, purchases):
+    sizes = [len(r.categories.split(",")) for r in purchases]
+    assert tuple(survey.label_coverage(t).first()) == (sum(sizes) / len(sizes), min(sizes), sum(s >= 2 for s in sizes) / len(sizes))
