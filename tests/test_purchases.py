@@ -61,3 +61,8 @@ def test_transactions_per_category_counts_purchases(t, purchases):
 def test_label_coverage_is_of_purchases(t, purchases):
     sizes = [len(r.categories.split(",")) for r in purchases]
     assert tuple(survey.label_coverage(t).first()) == (sum(sizes) / len(sizes), min(sizes), sum(s >= 2 for s in sizes) / len(sizes))
+
+
+def test_quality_report_looks_at_purchases(t):
+    least = survey.disaggregated_transactions(t).agg(F.min("amount")).first()[0]
+    assert {r.rule: r.value for r in survey.quality_report(t).collect()}["positive amounts"] == least
