@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from registered import survey
+from tallyspark.sources.tables import TASK_ROWS, tasks_for
 
 
 @pytest.fixture(scope="module")
@@ -15,6 +16,7 @@ def t(spark):
         items=spark.createDataFrame(
             [(u, code, cost, 2020, m) for u in "12" for code, cost in (("190111", "100.0"), ("270211", "70.5"), ("560110", "33"))
              for m in (1, 2, 3)], "NEWID string, UCC string, COST string, REFYR int, REFMO int"),
+        tasks=lambda name: 13,
         hierarchy=spark.createDataFrame([("1", "Eggs", "190111"), ("1", "Electricity", "270211")], "level string, title string, ucc string"),
     )
 
@@ -66,3 +68,9 @@ def test_label_coverage_is_of_purchases(t, purchases):
 def test_quality_report_looks_at_purchases(t):
     least = survey.disaggregated_transactions(t).agg(F.min("amount")).first()[0]
     assert {r.rule: r.value for r in survey.quality_report(t).collect()}["positive amounts"] == least
+
+
+def test_tasks_that_group_items_keep_their_size(spark, t):
+    assert tasks_for(spark, 1000 * TASK_ROWS + 1) == 1001 and tasks_for(spark, 0) >= 1
+    plan = survey.totals(t)._jdf.queryExecution().toString()
+    assert "hashpartitioning(NEWID" in plan and ", 13), REPARTITION_BY_NUM" in plan
