@@ -7,8 +7,7 @@ log(trusted share) - log(raw share). A text is kept if it passes the base rules
 threshold: the ``TRUSTED_LOSS`` quantile of trusted texts that did not take part in the trusted counts (one in
 ``FOLDS``, by a hash of doc_id), less ``MARGIN``, so that about that part of texts like them would go.
 
-Trusted texts are those labelled 1; at most ``TRUSTED_ROWS`` labels are used (the first in the order of a
-hash of doc_id), so their ids may be sent to every task. Raw counts cover every text.
+Trusted texts are all those labelled 1: texts are joined with their labels, and counts and the threshold cover every one.
 """
 
 from __future__ import annotations
@@ -22,7 +21,6 @@ from pyspark.sql import DataFrame, functions as F
 from .shared import gram_hashes, slices, span_hashes, staged, text_bytes, word_spans
 
 BUCKETS = 1 << 16
-TRUSTED_ROWS = 50_000
 TRUSTED_LOSS = 0.005
 FOLDS = 4
 PRIOR = 2.0
@@ -41,15 +39,13 @@ def _grams(rows: pa.RecordBatch):
     return data, offsets, start, end, doc, words, bucket.astype(np.int64), np.concatenate([doc, doc[:-1][inside]])
 
 
-def _count(batches: Iterator[pa.RecordBatch], trusted) -> Iterator[pa.RecordBatch]:
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per bucket met in the partition: its count in all texts and in trusted ones of the fitting folds."""
-    chosen = {i for i, fold in trusted.value.items() if fold}
     raw, good = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     for rows in slices(batches, "text"):
         *_, bucket, doc = _grams(rows)
         raw += np.bincount(bucket, minlength=BUCKETS)
-        ids = rows.column("doc_id").to_pylist()
-        is_good = np.array([i in chosen for i in ids], bool)
+        is_good = rows.column("fits").to_numpy(zero_copy_only=False).astype(bool)
         good += np.bincount(bucket[is_good[doc]], minlength=BUCKETS)
     some = np.flatnonzero(raw)
     yield pa.RecordBatch.from_pydict({"bucket": some, "raw": raw[some], "good": good[some]})
@@ -94,11 +90,11 @@ def _word_repeats(words, doc, n_rows) -> np.ndarray:
     return np.bincount(doc[covered], minlength=n_rows)
 
 
-STATS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, llr double, held_out boolean"
+STATS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, llr double"
 
 
-def _judge(batches: Iterator[pa.RecordBatch], trusted, ratios) -> Iterator[pa.RecordBatch]:
-    held_out, ratio = {i for i, fold in trusted.value.items() if not fold}, ratios.value
+def _judge(batches: Iterator[pa.RecordBatch], ratios) -> Iterator[pa.RecordBatch]:
+    ratio = ratios.value
     for rows in slices(batches, "text"):
         data, offsets, start, end, doc, words, bucket, gram_doc = _grams(rows)
         n = rows.num_rows
@@ -116,10 +112,33 @@ def _judge(batches: Iterator[pa.RecordBatch], trusted, ratios) -> Iterator[pa.Re
             "n_symbols": symbols[offsets[1:]] - symbols[offsets[:-1]],
             "n_dup_lines": _line_repeats(data, offsets, start, end, doc, n),
             "n_repeat_words": _word_repeats(words, doc, n),
-            "llr": total / np.maximum(1, n_grams), "held_out": pa.array([i in held_out for i in ids.to_pylist()], pa.bool_()),
+            "llr": total / np.maximum(1, n_grams),
         })
 
 
+def _quantile(values: DataFrame, column: str, part: float) -> float | None:
+    """Exact quantile (linear between neighbours) of a column rounded to 9 digits, by histograms of its billionths: the driver
+    gets at most ``BUCKETS`` counts a pass, however many rows there are."""
+    whole = values.select(F.round(F.round(column, 9) * 1e9).cast("bigint").alias("v")).where("v is not null")
+    low, high, n = whole.agg(F.min("v"), F.max("v"), F.count("v")).first()
+    if not n:
+        return None
+    place = part * (n - 1)
+    found = []
+    for rank in (int(place), min(int(place) + 1, n - 1)):
+        lo, hi = low, high
+        while lo < hi:
+            width = -(-(hi - lo + 1) // BUCKETS)
+            inside = whole.where(F.col("v").between(lo, hi)).groupBy(F.expr(f"(v - {lo}L) div {width}L").alias("b"))
+            for b, m in sorted(tuple(r) for r in inside.agg(F.count("v").alias("m")).collect()):
+                if rank < m:
+                    break
+                rank -= m
+            lo, hi = lo + b * width, min(hi, lo + (b + 1) * width - 1)
+        found.append(lo / 1e9)
+    return (int(place) + 1 - place) * found[0] + (place - int(place)) * found[1]
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per document: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr, threshold, kept.
 
@@ -130,11 +149,10 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    chosen = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRUSTED_ROWS)
-    chosen = dict(tuple(r) for r in chosen.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(FOLDS))).collect())
-    trusted = spark.sparkContext.broadcast(chosen)  # at most TRUSTED_ROWS ids
-    counts = docs.mapInArrow(lambda it: _count(it, trusted), "bucket long, raw long, good long")
+    trusted = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    trusted = trusted.withColumn("fits", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(FOLDS)) > 0)
+    marked = docs.join(trusted, "doc_id", "left").select("text", F.coalesce("fits", F.lit(False)).alias("fits"))
+    counts = marked.mapInArrow(_count, "bucket long, raw long, good long")
     raw, good = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).collect():  # at most BUCKETS
         raw[r["bucket"]], good[r["bucket"]] = r["raw"], r["good"]
@@ -142,9 +160,9 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     if good.sum() > 0:
         ratio = np.log(good + PRIOR) - np.log(raw * (good.sum() / raw.sum()) + PRIOR)
     ratios = spark.sparkContext.broadcast(ratio)
-    judged = staged(docs.mapInArrow(lambda it: _judge(it, trusted, ratios), STATS), "quality")
-    cut = judged.where("held_out and n_words > 0").select(F.round("llr", 9).alias("llr"))
-    cut = cut.agg(F.percentile("llr", F.lit(TRUSTED_LOSS))).first()[0] if chosen else None  # at most TRUSTED_ROWS texts
+    judged = staged(docs.mapInArrow(lambda it: _judge(it, ratios), STATS), "quality")
+    held_out = judged.where("n_words > 0").join(trusted.where("not fits"), "doc_id", "left_semi")
+    cut = _quantile(held_out, "llr", TRUSTED_LOSS)
     failed = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
     cut = None if cut is None else round(cut - MARGIN, 9)
     passed = F.lit(True) if cut is None else F.round("llr", 9) >= F.lit(cut)

@@ -36,6 +36,16 @@ def test_quality_counts(spark, docs, hard):
     assert quality.quality_rules(docs([]), labels).collect() == []
 
 
+def test_quality_counts_and_threshold_cover_every_trusted_text(spark):
+    ids = spark.range(60_000)
+    docs = ids.selectExpr("id as doc_id", "concat('a', id % 997, ' b', id % 89, ' c', id % 5) as text")
+    rules = quality.quality_rules(docs, ids.selectExpr("id as doc_id", "1 as quality"))
+    held_out = rules.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(quality.FOLDS)) == 0)
+    scores = np.array([round(r.llr, 9) for r in held_out.select("llr").collect()])
+    want = np.quantile(scores, quality.TRUSTED_LOSS) - quality.MARGIN
+    assert len(scores) > 14_000 and rules.first().threshold == pytest.approx(want, abs=2e-9)
+
+
 def test_quality_keeps_texts_like_the_trusted_and_drops_junk(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
