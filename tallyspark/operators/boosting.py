@@ -23,7 +23,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Row, functions as F
 
-from ..sources.tables import staged
+from ..sources.tables import scratch_path, staged
 from .features import FEATURES, TARGET
 
 #: Rows of one block; their summed gradients are exact in double precision.
@@ -33,8 +33,9 @@ TASK_ROWS = 8 * BLOCK_ROWS
 BINS = 256
 #: Gradients are multiples of the largest first residual divided by this.
 FIXED = 1 << 28
-#: After so many trees margins are written anew, so a job applies at most so many to its rows.
-APPLIED = 25
+#: After so many trees margins are written anew, so a job applies at most so many, less one, to its rows: every level of every
+#: tree does that again.
+APPLIED = 2
 _EPS = 1e-6
 _MISSING = BINS - 1
 
@@ -325,8 +326,12 @@ def fit_boosted(
     trees: list[Tree] = list(start.trees) if start else []
     n_features = len(ready.features)
 
+    # Two folders in turn: one is read while the other is written.
+    folders = [scratch_path(ready.blocks.sparkSession, "boost-margins") for _ in range(2)]
+
     def remargined(blocks: DataFrame, applied: list[Tree]) -> DataFrame:
-        return staged(blocks.mapInArrow(lambda it: _remargined(it, n_features, applied), _BLOCK), "boost-margins")
+        folders.reverse()
+        return staged(blocks.mapInArrow(lambda it: _remargined(it, n_features, applied), _BLOCK), "boost-margins", folders[0])
 
     blocks = remargined(ready.blocks, [_constant(ready.base), *trees])
     partitions = min(ready.tasks, int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 
+from tallyspark.operators import boosting
 from tallyspark.operators.boosting import BINS, Boosting, BoostedTrees, drawn, fit_boosted, prepare, quantile_cuts
 from tallyspark.operators.models import draw_params, random_search
 
@@ -131,3 +132,22 @@ def test_search_halves_and_keeps_the_best(spark):
     assert best == candidates[1] and len(model.trees) == 8
     assert sorted(t for t, _ in rows.values()) == [2, 2, 4, 8] and rows[1][1] == min(s for _, s in rows.values())
     assert len({dataclasses.astuple(p) for p in draw_params(50)}) == 50
+
+
+def test_margins_are_written_often_in_two_folders_and_trees_stay_the_same(spark, monkeypatch):
+    df = spark.createDataFrame(table(200, 3), "id long, a double, b double, c double, y double")
+    params, paths = Boosting(trees=8, depth=2, rate=0.3), []
+    write = boosting.staged
+
+    def counted(rows, name, path=None):
+        if name == "boost-margins":
+            paths.append(path)
+        return write(rows, name, path)
+
+    monkeypatch.setattr(boosting, "staged", counted)
+    often = fit_boosted(df, params, NAMES, "y", ["id"], 7)
+    assert len(paths) >= params.trees // 2 and len(set(paths)) == 2
+    monkeypatch.setattr(boosting, "APPLIED", 25)
+    seldom = fit_boosted(df, params, NAMES, "y", ["id"], 7)
+    for one, two in zip(often.trees, seldom.trees, strict=True):
+        assert (one.feature == two.feature).all() and (one.bin == two.bin).all() and (one.value == two.value).all()
