@@ -95,3 +95,11 @@ def test_plan_reads_the_ledger_once(spark, tmp_path, ledger):
     assert physical.count("FileScan") == 1
     assert physical.count("Exchange hashpartitioning") == 4
     assert "SinglePartition" not in physical
+
+
+def test_medians_are_broadcast_so_rows_are_not_dealt_by_category(spark):
+    rows = spark.createDataFrame([("A", 1.0), ("B", 2.0), ("A", 30.0)], "category string, current_spend double")
+    flagged = FT.flag_outliers(rows, 1)
+    plan = flagged._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(category" not in plan
+    assert {r.current_spend for r in flagged.where("_is_outlier").collect()} == {30.0}
