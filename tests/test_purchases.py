@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from registered import survey
+from tallyspark.operators import merchants as M
 from tallyspark.sources.tables import TASK_ROWS, tasks_for
 
 
@@ -74,3 +75,15 @@ def test_tasks_that_group_items_keep_their_size(spark, t):
     assert tasks_for(spark, 1000 * TASK_ROWS + 1) == 1001 and tasks_for(spark, 0) >= 1
     plan = survey.totals(t)._jdf.queryExecution().toString()
     assert "hashpartitioning(NEWID" in plan and ", 13), REPARTITION_BY_NUM" in plan
+
+
+def test_preferred_merchants_are_ranked_per_unit_not_per_purchase(t, spark):
+    rows = survey.txn(t).unionByName(survey.txn(t).withColumn("persona_id", F.lit("9")))  # 9 is no unit
+    some, none = survey.everyone(t), survey.everyone(t).limit(0)
+    full = M.assign_merchants(rows.unionByName(rows.withColumn("major_category", F.lit("Unheard of"))), some)
+    assert "_own" in full._jdf.queryExecution().toString()
+    # The ranking per purchase, for personas that are no unit, gives what the ranking per unit gives.
+    south = some.withColumn("region", F.lit(None).cast("int"))
+    key = [*M.KEY, "description"]
+    ranked = {tuple(r) for r in M.assign_merchants(rows, south).select(*key).collect()}
+    assert ranked == {tuple(r) for r in M.assign_merchants(rows, none).select(*key).collect()}
