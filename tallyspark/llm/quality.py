@@ -139,6 +139,13 @@ def _quantile(values: DataFrame, column: str, part: float) -> float | None:
     return (int(place) + 1 - place) * found[0] + (place - int(place)) * found[1]
 
 
+def marked(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """(text, fits) of every text; false without a trusted label. Both sides meet by a merge join at any size: a table of ids
+    that is broadcast while it is small grows with the labels, and texts are shuffled once in the end all the same."""
+    rows = docs.join(trusted.hint("merge"), "doc_id", "left")
+    return rows.select("text", F.coalesce("fits", F.lit(False)).alias("fits"))
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per document: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr, threshold, kept.
 
@@ -151,8 +158,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     trusted = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     trusted = trusted.withColumn("fits", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(FOLDS)) > 0)
-    marked = docs.join(trusted, "doc_id", "left").select("text", F.coalesce("fits", F.lit(False)).alias("fits"))
-    counts = marked.mapInArrow(_count, "bucket long, raw long, good long")
+    counts = marked(docs, trusted).mapInArrow(_count, "bucket long, raw long, good long")
     raw, good = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).collect():  # at most BUCKETS
         raw[r["bucket"]], good[r["bucket"]] = r["raw"], r["good"]

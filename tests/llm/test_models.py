@@ -46,6 +46,16 @@ def test_quality_counts_and_threshold_cover_every_trusted_text(spark):
     assert len(scores) > 14_000 and rules.first().threshold == pytest.approx(want, abs=2e-9)
 
 
+def test_quality_meets_labels_by_the_same_join_at_any_size(spark):
+    docs = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d"), (3, None)], "doc_id long, text string")
+    trusted = spark.createDataFrame([(1, True), (2, False)], "doc_id long, fits boolean")
+    rows = quality.marked(docs, trusted)
+    # The few ids are not broadcast, so shuffled bytes go by the texts, not by whether the ids are few.
+    assert "BroadcastHashJoin" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, rows.collect()), key=str) == sorted(
+        [("a", True), ("b", True), ("c", False), ("d", False), (None, False)], key=str)
+
+
 def test_quality_keeps_texts_like_the_trusted_and_drops_junk(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
