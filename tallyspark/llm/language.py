@@ -75,6 +75,11 @@ class Model:
     common: Common
     words: DataFrame
     grams: DataFrame
+    stage: Staging
+
+    def forget(self) -> None:
+        """Delete the tables. What ``identify`` gave before does not read them any more; the model is of no use after it."""
+        self.stage.drop("language-words", "language-grams")
 
 
 def gains(n: np.ndarray) -> np.ndarray:
@@ -131,7 +136,7 @@ def fit(labelled: DataFrame, common: int = COMMON) -> Model:
     flat = lambda i: np.array([x for r in frequent for x in r[i]], np.int64)
     offsets = np.concatenate([[0], np.cumsum([len(r[1]) for r in frequent], dtype=np.int64)])
     held = Common(len(names), {r[0]: i for i, r in enumerate(frequent)}, offsets.astype(np.int64), flat(1), gains(flat(2)))
-    return Model(names, base, held, words, grams)
+    return Model(names, base, held, words, grams, stage)
 
 
 def _read(batches: Iterator[pa.RecordBatch], shared, columns: list[str]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +186,8 @@ def _field(entries: pa.Array, name: str) -> np.ndarray:
 
 
 def _weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each word its mean gain in each language that has any of its entries."""
+    """Of each word one ``entry``, 4-byte whole numbers: its kind, then each language that has any of its entries and the mean
+    gain there (at most ``SCALE`` times 44)."""
     for batch in _parts(batches):
         held, entries = _lists(batch.column("hits"))
         size, hits = _lists(entries)
@@ -192,12 +198,27 @@ def _weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(len(places), np.int64)
         np.add.at(sums, at, gains(_field(hits, "n")).astype(np.int64))
         word, j = np.divmod(places, width)
-        ends = np.searchsorted(word, np.arange(batch.num_rows + 1)).astype(np.int32)
-        mean = sums // held[word]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("word"), batch.column("kind"), pa.ListArray.from_arrays(ends, pa.array(j.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(mean))],
-            names=["word", "kind", "j", "gain"],
+        ends = np.arange(batch.num_rows + 1) + 2 * np.searchsorted(word, np.arange(batch.num_rows + 1))
+        data = np.zeros(ends[-1], "<i4")
+        data[ends[:-1]] = batch.column("kind").to_numpy()
+        first = 2 * np.arange(len(word)) + word + 1
+        data[first], data[first + 1] = j, sums // held[word]
+        entry = pa.BinaryArray.from_buffers(
+            pa.binary(), batch.num_rows, [None, pa.py_buffer((4 * ends).astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())]
         )
+        yield pa.RecordBatch.from_arrays([batch.column("word"), entry], names=["word", "entry"])
+
+
+def _unpacked(entries: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(kind and number of languages of each entry, language and gain of all one after another)."""
+    entries = entries.cast(pa.large_binary())
+    offsets = np.frombuffer(entries.buffers()[1], np.int64)[entries.offset : entries.offset + len(entries) + 1]
+    values = np.frombuffer(entries.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view("<i4")
+    starts = (offsets - offsets[0]) // 4
+    of_pair = np.ones(len(values), bool)
+    of_pair[starts[:-1]] = False
+    pairs = values[of_pair].astype(np.int64).reshape(-1, 2)
+    return values[starts[:-1]].astype(np.int64), np.diff(starts) // 2, pairs[:, 0], pairs[:, 1]
 
 
 def _judge(batches: Iterator[pa.RecordBatch], languages: list[str], base: dict[int, np.ndarray], columns: list[str]) -> Iterator[pa.RecordBatch]:
@@ -210,14 +231,13 @@ def _judge(batches: Iterator[pa.RecordBatch], languages: list[str], base: dict[i
         words = count + rows.column("_n_rest").to_numpy()
         held, entries = _lists(rows.column("_found"))
         if width and len(entries):
-            row, kind = np.repeat(np.arange(n), held), _field(entries, "kind").astype(np.int64)
-            size, j = _lists(pc.struct_field(entries, "j"))
-            gain = _lists(pc.struct_field(entries, "gain"))[1].to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(n), held)
+            kind, size, j, gain = _unpacked(entries)
             kinds = max(base) + 1
             times = np.bincount(row * kinds + kind, minlength=n * kinds).reshape(n, kinds)
             for k, own in base.items():
                 total += times[:, k, None] * own
-            at = np.repeat(row, size) * width + j.to_numpy(zero_copy_only=False)
+            at = np.repeat(row, size) * width + j
             np.add.at(total.reshape(-1), at, gain)
             whole = np.repeat(kind == 0, size)
             np.add.at(known.reshape(-1), at[whole], gain[whole])
@@ -268,10 +288,13 @@ def identify(docs: DataFrame, model: Model, columns: list[str] | None = None) ->
         which = F.when(F.col("kind") == k, _grams(F.col("word"), k)).otherwise(which)
     unseen = longest.select("word", "kind", F.explode(which).alias("gram")).join(model.grams.select("gram", "hits"), "gram")
     unseen = unseen.groupBy("word", "kind").agg(F.collect_list("hits").alias("hits"))
-    weighed = seen.unionByName(unseen).mapInArrow(_weigh, "word string, kind int, j array<int>, gain array<long>")
+    weighed = seen.unionByName(unseen).mapInArrow(_weigh, "word string, entry binary")
     weighed = stage.table(weighed, "language-weighed")  # the shuffles of n-grams are gone before texts' words are joined
     stage.drop("language-rest")
-    found = rest.join(weighed, "word").groupBy("_k").agg(F.collect_list(F.struct("kind", "j", "gain")).alias("_found"))
+    # So are those of the words before their entries are collected by text.
+    entries = stage.table(rest.join(weighed, "word").select("_k", "entry"), "language-entries")
+    stage.drop("language-weighed")
+    found = entries.groupBy("_k").agg(F.collect_list("entry").alias("_found"))
     rows = read.withColumn("_n_rest", F.size("_rest").cast("long")).drop("_rest").join(found, "_k", "left")
     languages, base = model.languages, model.base
     judged = rows.mapInArrow(

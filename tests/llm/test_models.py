@@ -1,6 +1,7 @@
 """Operators 6, 7, 9 and 10, the SQL twins and the pipeline."""
 
 import collections
+import os
 import re
 
 import numpy as np
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.llm import language, mixing, quality, queries, topk
+from tallyspark.llm.shared import Staging
 
 SMALL = "/root/testdata/sf0.001"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -96,6 +98,14 @@ def test_language_of_held_out_texts(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_language_keeps_no_table_that_its_result_does_not_read(spark):
+    with Staging.scope() as paths:
+        rows = queries.op9_language_id(spark, SMALL)
+        left = sorted(path.rsplit("/", 1)[1].rsplit("-", 1)[0] for path in paths if os.path.isdir(path.removeprefix("file:")))
+        assert left == ["language-entries", "language-read"]
+        assert rows.count() == spark.read.parquet(f"{SMALL}/documents.parquet").count()
+
+
 def test_language_backs_off_and_says_und(spark, docs):
     train = spark.createDataFrame([("en", "the house and the tree"), ("de", "das haus und der baum"), (None, "x"), ("en", None)], "lang string, text string")
     model = language.fit(train)
