@@ -278,22 +278,23 @@ def identify(docs: DataFrame, model: Model, columns: list[str] | None = None) ->
     rest = read.select("_k", F.explode("_rest").alias("word"))
     need = rest.groupBy("word").agg(F.count(F.lit(1)).alias("times")).select("word")
     need = stage.table(need.join(model.words.select("word", "hits"), "word", "left"), "language-rest")
+    weighed_as = "word string, entry binary"
     seen = need.where("hits is not null").select("word", F.lit(0).alias("kind"), F.array("hits").alias("hits"))
+    weighed = stage.table(seen.mapInArrow(_weigh, weighed_as), "language-weighed-0")
+    names = ["language-weighed-0"]
+    # One order after the other, so that only the n-grams of one are on the disk: shorter ones are of words met by no longer one.
     new = need.where("hits is null").select("word").repartition(partitions(docs.sparkSession), "word")
-    tried = new.select("word", F.explode(F.concat(*[_grams(F.col("word"), k) for k in ORDERS])).alias("gram"))
-    met = tried.join(model.grams.select("gram"), "gram", "left_semi")
-    longest = met.groupBy("word").agg(F.max(F.substring("gram", 1, 1).cast("int")).alias("kind"))
-    which = F.array().cast("array<string>")
     for k in ORDERS:
-        which = F.when(F.col("kind") == k, _grams(F.col("word"), k)).otherwise(which)
-    unseen = longest.select("word", "kind", F.explode(which).alias("gram")).join(model.grams.select("gram", "hits"), "gram")
-    unseen = unseen.groupBy("word", "kind").agg(F.collect_list("hits").alias("hits"))
-    weighed = seen.unionByName(unseen).mapInArrow(_weigh, "word string, entry binary")
-    weighed = stage.table(weighed, "language-weighed")  # the shuffles of n-grams are gone before texts' words are joined
+        left = new if k == ORDERS[0] else new.join(weighed.select("word"), "word", "left_anti")
+        tried = left.select("word", F.explode(_grams(F.col("word"), k)).alias("gram"))
+        met = tried.join(model.grams.select("gram", "hits"), "gram").groupBy("word").agg(F.collect_list("hits").alias("hits"))
+        met = met.select("word", F.lit(k).alias("kind"), "hits")
+        names.append(f"language-weighed-{k}")
+        weighed = weighed.unionByName(stage.table(met.mapInArrow(_weigh, weighed_as), names[-1]))
     stage.drop("language-rest")
     # So are those of the words before their entries are collected by text.
     entries = stage.table(rest.join(weighed, "word").select("_k", "entry"), "language-entries")
-    stage.drop("language-weighed")
+    stage.drop(*names)
     found = entries.groupBy("_k").agg(F.collect_list("entry").alias("_found"))
     rows = read.withColumn("_n_rest", F.size("_rest").cast("long")).drop("_rest").join(found, "_k", "left")
     languages, base = model.languages, model.base

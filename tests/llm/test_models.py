@@ -261,3 +261,24 @@ def test_the_language_stage_corrects_labels_and_drops_noise_only(spark):
     got = pipeline.language_id(spark, tagged.unionByName(rows, allowMissingColumns=True), "")
     truth = {r.doc_id: r.lang for r in table.select("doc_id", "lang").collect()}
     assert {r.doc_id: r.lang for r in got.select("doc_id", "lang").collect()} == truth
+
+
+def test_an_unseen_word_is_tried_with_shorter_grams_only_if_it_has_no_longer_one(spark, monkeypatch):
+    tables = {}
+    write = language.Staging.table
+
+    def table(self, df, name):
+        tables[name] = write(self, df, name)
+        if name.startswith("language-weighed"):
+            words[name] = sorted(r.word for r in tables[name].select("word").collect())
+        return tables[name]
+
+    words = {}
+    monkeypatch.setattr(language.Staging, "table", table)
+    labelled = spark.createDataFrame([("abcdefgh ij", "a"), ("mnop", "b")], "text string, lang string")
+    docs = spark.createDataFrame([(1, "xabcdey zabcq abcdefgh mnop j q qaq")], "doc_id long, text string")
+    assert language.identify(docs, language.fit(labelled, common=0)).count() == 1
+    assert words == {
+        "language-weighed-0": ["abcdefgh", "mnop"], "language-weighed-5": ["xabcdey"], "language-weighed-4": [],
+        "language-weighed-3": ["zabcq"], "language-weighed-2": ["j"], "language-weighed-1": ["qaq"],
+    }
