@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .shared import WordIds, encode_rows, ragged, slices
+from .shared import WordIds, encode_rows, flattened, ragged, slices
 
 SPACE = "▁"
 CACHE_ENTRIES = 800_000
@@ -49,7 +49,7 @@ class Pieces:
         self.prefixes = {p[:i] for p in self.ids for i in range(1, len(p) + 1)}
         #: A word start is a boundary of every path unless a piece holds a mark behind another character.
         self.cut_at_marks = all(SPACE not in p.lstrip(SPACE) for p in self.ids)
-        self.words = WordIds(lambda words: [_word(self, SPACE + w) for w in words], CACHE_ENTRIES)
+        self.words = WordIds(lambda words: flattened([_word(self, SPACE + w) for w in words]), CACHE_ENTRIES)
         raw = [b"" if i in self.special else self.bytes_of.get(i, p.replace(SPACE, " ").encode()) for i, p in enumerate(self.names)]
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
         self.raw_offsets = np.cumsum([0, *map(len, raw)])

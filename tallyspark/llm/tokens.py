@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import math
 import struct
 import uuid
 import zlib
@@ -20,27 +21,46 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import WordIds, encode_rows, partitions, shared_folder, slices
+from .shared import WordIds, encode_rows, flattened, partitions, shared_folder, slices
 
 BLOCK = 1024
+#: Blocks packed at once.
+BATCH = 64
 PERCENTILE = 95
 END_ID = 0
 CACHE_ENTRIES = 800_000
+#: New words encoded as one text.
+JOINED = 20
 _HEAD = struct.Struct("<IBHH")  # minimum, width, ids, exceptions
 SEGMENT = "shard long, seq long, base long, n_ids long, doc_ids array<long>, payload binary"
 
 
+def pack_blocks(rows: np.ndarray) -> list[bytes]:
+    """A block of each row of ids: head, packed low bits, exception places (16 bit) and high bits (32 bit)."""
+    n = rows.shape[1]
+    low = rows.min(axis=1)
+    rest = (rows - low[:, None]).astype("<u4")
+    at = math.ceil(PERCENTILE / 100 * (n - 1))
+    width = np.frexp(np.partition(rest, at, axis=1)[:, at].astype(np.float64))[1]  # bits of a whole number
+    packed: list[bytes] = [b""] * len(rows)
+    for w in np.unique(width[width > 0]).tolist():
+        some = np.flatnonzero(width == w)
+        bits = np.unpackbits(rest[some].view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :w]
+        for i, bytes_ in zip(some.tolist(), np.packbits(bits.reshape(len(some), -1), axis=1, bitorder="little")):
+            packed[i] = bytes_.tobytes()
+    high = rest.astype(np.uint64) >> width.astype(np.uint64)[:, None]
+    row, place = np.nonzero(high)
+    high, place = high[row, place].astype("<u4"), place.astype("<u2")
+    ends = np.searchsorted(row, np.arange(len(rows) + 1))
+    return [
+        _HEAD.pack(l, w, n, b - a) + p + place[a:b].tobytes() + high[a:b].tobytes()
+        for l, w, p, a, b in zip(low.tolist(), width.tolist(), packed, ends[:-1].tolist(), ends[1:].tolist())
+    ]
+
+
 def pack_block(ids: np.ndarray) -> bytes:
-    """One block: head, packed low bits, exception places (16 bit) and high bits (32 bit)."""
-    low = int(ids.min())
-    rest = (ids - low).astype(np.uint32)
-    need = int(np.percentile(rest, PERCENTILE, method="higher"))
-    width = need.bit_length()
-    bits = (rest[:, None] >> np.arange(width, dtype=np.uint32)) & np.uint32(1)
-    odd = np.flatnonzero(rest >> np.uint32(width) if width < 32 else np.zeros(len(rest), np.uint32))
-    high = rest[odd] >> np.uint32(width) if width < 32 else rest[odd]
-    packed = np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes()
-    return _HEAD.pack(low, width, len(ids), len(odd)) + packed + odd.astype("<u2").tobytes() + high.astype("<u4").tobytes()
+    """One block."""
+    return pack_blocks(ids[None])[0]
 
 
 def unpack_block(data: memoryview) -> np.ndarray:
@@ -49,8 +69,9 @@ def unpack_block(data: memoryview) -> np.ndarray:
     size = (n * width + 7) // 8
     out = np.zeros(n, np.uint64)
     if width:
-        bits = np.unpackbits(np.frombuffer(data, np.uint8, size, at), bitorder="little")[: n * width].reshape(n, width)
-        out += bits @ (np.uint64(1) << np.arange(width, dtype=np.uint64))
+        bits = np.zeros((n, 32), np.uint8)
+        bits[:, :width] = np.unpackbits(np.frombuffer(data, np.uint8, size, at), bitorder="little")[: n * width].reshape(n, width)
+        out += np.packbits(bits, axis=1, bitorder="little").view("<u4").ravel()
     if odd:
         places = np.frombuffer(data, "<u2", odd, at + size)
         high = np.frombuffer(data, "<u4", odd, at + size + 2 * odd)
@@ -60,7 +81,11 @@ def unpack_block(data: memoryview) -> np.ndarray:
 
 def pack(values: np.ndarray) -> bytes:
     """Blocks behind their index: number of values, number of blocks, start of each block."""
-    blocks = [pack_block(values[i : i + BLOCK]) for i in range(0, len(values), BLOCK)]
+    some = [values[i : i + BATCH * BLOCK] for i in range(0, len(values), BATCH * BLOCK)]
+    whole = [x[: len(x) // BLOCK * BLOCK].reshape(-1, BLOCK) for x in some]
+    blocks = [block for x in whole if len(x) for block in pack_blocks(x)]
+    if len(values) % BLOCK:
+        blocks.append(pack_block(values[len(values) // BLOCK * BLOCK :]))
     starts = np.cumsum([0, *map(len, blocks)]).astype("<u8")
     return struct.pack("<QQ", len(values), len(blocks)) + starts.tobytes() + b"".join(blocks)
 
@@ -95,8 +120,22 @@ def _tokenizer(path: str, ordinary: bool) -> tuple[Callable[[list[str]], list],
     def ids(texts: list[str]) -> list:
         return [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    # A space is in no token but at its front, so words encoded as one text are told apart by the tokens that begin with one.
+    vocabulary = tokenizer.get_vocab()
+    marked = np.zeros(1 + max(vocabulary.values()), bool)
+    marked[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
+    alone = any(" " in x for x in added) or any("\u0120" in token.lstrip("\u0120") for token in vocabulary)
+
+    def words(some: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if not alone and not any(w == "" or w[0].isspace() for w in some):
+            flat, _ = flattened(ids([" " + " ".join(some[i : i + JOINED]) for i in range(0, len(some), JOINED)]))
+            starts = np.flatnonzero(marked[flat])
+            if len(starts) == len(some):
+                return flat, np.diff(starts, append=len(flat))
+        return flattened(ids([" " + w for w in some]))
+
     whole = "|".join([UNEVEN, *map(re.escape, added)])
-    return ids, WordIds(lambda words: ids([" " + w for w in words]), CACHE_ENTRIES), whole
+    return ids, WordIds(words, CACHE_ENTRIES), whole
 
 
 # The pattern of byte-level pre-tokens never lets a pre-token run over the place before a space that a visible

@@ -105,3 +105,27 @@ def test_the_query_gives_special_tokens_their_single_id_like_the_plain_library(s
         assert (50256 in ids) == (end in (text or ""))
         assert row == (texts.index(text), start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
+
+
+def test_words_encoded_together_have_the_ids_they_have_alone():
+    plain = Tokenizer.from_file(BPE)
+    make = tokens._tokenizer(BPE, False)[1].make
+    words = ["the", "don't", "a\nb", "x\n", "\u0120\u0120", "\u0301e", "9\u6f22", "\U0001f600", "\x00", "<|endoftext", "ing" * 300]
+    for some in (words * tokens.JOINED, ["", *words], [*words, "\na"], ["\u2003x", "y"]):
+        flat, sizes = make(some)
+        ends = np.cumsum(sizes)
+        assert len(sizes) == len(some) and ends[-1] == len(flat)
+        for word, a, b in zip(some, ends - sizes, ends):
+            assert flat[a:b].tolist() == plain.encode(" " + word, add_special_tokens=False).ids
+
+
+def test_blocks_packed_together_are_those_packed_alone():
+    random.seed(5)
+    tops = (1, 2, 300, 50_000, 1 << 32)
+    rows = np.array([[random.randrange(random.choice(tops[: 1 + i % 5])) for _ in range(1024)] for i in range(12)], np.uint32)
+    together = tokens.pack_blocks(rows)
+    assert together == [tokens.pack_block(row) for row in rows]
+    for row, block in zip(rows, together):
+        assert tokens.unpack_block(memoryview(block)).tolist() == row.tolist()
+    stream = rows.ravel()[:-7]
+    assert tokens.unpack(tokens.pack(stream)).tolist() == stream.tolist()
