@@ -87,3 +87,15 @@ def test_preferred_merchants_are_ranked_per_unit_not_per_purchase(t, spark):
     key = [*M.KEY, "description"]
     ranked = {tuple(r) for r in M.assign_merchants(rows, south).select(*key).collect()}
     assert ranked == {tuple(r) for r in M.assign_merchants(rows, none).select(*key).collect()}
+
+
+def test_period_totals_deals_items_once(spark, t):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # tables too large to be sent by their size
+    try:
+        plan = survey.totals(t)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # No shuffle of items by code, and none by group after the units' items have been dealt.
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and ", 13)" in line]
+    assert len(dealt) == 2 and plan.count("SortMergeJoin") == 1 and "LeftOuter, BuildRight" in plan
