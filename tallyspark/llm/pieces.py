@@ -54,6 +54,13 @@ class Pieces:
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
         self.raw_offsets = np.cumsum([0, *map(len, raw)])
 
+    def while_encoding(self, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of a task. Words met go with it: the worker lives on and runs tasks of other jobs, which need the memory."""
+        try:
+            yield from rows
+        finally:
+            self.words.clear()
+
 
 @functools.lru_cache(2)
 def load(path: str) -> Pieces:
@@ -170,7 +177,7 @@ def _names(columns: list[str]) -> list[str]:
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, columns: list[str]) -> Iterator[pa.RecordBatch]:
     pieces = load(path)
-    for rows in slices(batches, "text"):
+    for rows in pieces.while_encoding(slices(batches, "text")):
         flat, sizes = encode_texts(pieces, rows.column("text"))
         ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
@@ -213,7 +220,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 def _digest(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     pieces = load(path)
-    for rows in slices(batches, "text"):
+    for rows in pieces.while_encoding(slices(batches, "text")):
         ids, sizes = encode_texts(pieces, rows.column("text"))
         ends = np.cumsum(sizes)
         little = ids.astype("<u4")

@@ -129,3 +129,11 @@ def test_blocks_packed_together_are_those_packed_alone():
         assert tokens.unpack_block(memoryview(block)).tolist() == row.tolist()
     stream = rows.ravel()[:-7]
     assert tokens.unpack(tokens.pack(stream)).tolist() == stream.tolist()
+
+
+def test_words_met_go_with_the_task():
+    rows = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["some words of a text", "and some more"]})
+    held = pieces.load(MODEL).words
+    for run in (pieces._encode(iter([rows]), MODEL, ["doc_id"]), pieces._digest(iter([rows]), MODEL)):
+        assert next(run).num_rows == 2 and held.slot  # kept while the task runs
+        assert list(run) == [] and not held.slot
