@@ -2,12 +2,16 @@
 
 import dataclasses
 import random
+import types
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tallyspark.operators import boosting
+from registered import models
+from tallyspark.operators import boosting, feedback, models as M, splits as SP
 from tallyspark.operators.boosting import BINS, Boosting, BoostedTrees, drawn, fit_boosted, prepare, quantile_cuts
+from tallyspark.operators.features import TARGET
 from tallyspark.operators.models import draw_params, random_search
 
 NAMES = ("a", "b", "c")
@@ -151,3 +155,22 @@ def test_margins_are_written_often_in_two_folders_and_trees_stay_the_same(spark,
     seldom = fit_boosted(df, params, NAMES, "y", ["id"], 7)
     for one, two in zip(often.trees, seldom.trees, strict=True):
         assert (one.feature == two.feature).all() and (one.bin == two.bin).all() and (one.value == two.value).all()
+
+
+def test_the_refit_grows_all_its_trees(spark, monkeypatch):
+    grown = []
+
+    class Fitted:
+        def predict(self, df):
+            return df.withColumn("predicted", F.lit(0.0))
+
+    def fit(train, params):
+        grown.append(params)
+        return Fitted()
+
+    rows = spark.createDataFrame([(s, 1.0) for s in SP.SPLITS], f"split string, {TARGET} double")
+    monkeypatch.setattr(models, "trend_split", lambda t: rows)
+    monkeypatch.setattr(feedback, "blend_expected", lambda df, signals: df)
+    monkeypatch.setattr(M, "fit_boosted", fit)
+    models.boosted_refit(types.SimpleNamespace(feedback_trend=None)).collect()
+    assert grown == [M.REFIT] and M.REFIT.trees == 100
