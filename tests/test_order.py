@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.functions import order
+from tallyspark.functions.draws import row_hash, row_hashes
 from tallyspark.functions.order import carry_forward, exact_median, place, running_position
 from tallyspark.operators import splits as SP
 
@@ -147,3 +148,20 @@ def test_no_row_is_shuffled_for_medians_of_few_groups(spark):
     medians = exact_median(rows, ["g"], "v", "m")
     plan = rows.join(medians, "g")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
+def test_hashes_over_arrow_batches_are_row_hashes(spark):
+    texts = ["", "a", None, "é€𝄞", *("x" * n for n in (47, 48, 51, 52, 55, 56, 63, 64, 119, 120, 121, 300))]
+    rows = spark.createDataFrame([(t, i % 3 or None) for i, t in enumerate(texts * 3)], "a string, b int").repartition(5)
+    seeds = ["42", "42x", "7", "a longer seed"]
+    found = rows.select("a", "b", row_hashes(seeds, "a", "b").alias("all"), *(row_hash(s, "a", "b").alias(s) for s in seeds))
+    assert all(r["all"][s] == r[s] for r in found.collect() for s in seeds)
+
+
+def test_split_by_a_written_hash(spark):
+    rows = spark.range(500).withColumn("twice", F.col("id") % 250)
+    want = SP.split_by_hash(rows, ["twice"]).collect()
+    with_hash = rows.withColumn("own", row_hash(42, "twice"))
+    assert sorted(SP.split_by_hash(with_hash, ["twice"], hashed="own").collect()) == sorted(want)
+    empty = SP.split_by_hash(with_hash.limit(0), ["twice"], hashed="own")
+    assert empty.columns == ["id", "twice", "split"] and empty.isEmpty()

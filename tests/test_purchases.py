@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from registered import survey
-from tallyspark.operators import merchants as M
+from tallyspark.operators import labels as L, merchants as M
 from tallyspark.sources.tables import TASK_ROWS, tasks_for
 
 
@@ -99,3 +99,30 @@ def test_period_totals_deals_items_once(spark, t):
     # No shuffle of items by code, and none by group after the units' items have been dealt.
     dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and ", 13)" in line]
     assert len(dealt) == 2 and plan.count("SortMergeJoin") == 1 and "LeftOuter, BuildRight" in plan
+
+
+def test_text_set_splits_totals_last(spark, t, monkeypatch):
+    plans = []
+
+    def kept(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    monkeypatch.setattr(survey, "staged", kept)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # tables too large to be sent by their size
+    try:
+        rows = survey.text_training_set(t).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(rows) == survey.txn(t).count()
+    # Purchases are made behind every join and shuffle, and no list of items is collected.
+    above = plans[0][: plans[0].index("Generate explode(sequence")]
+    assert "Join" not in above and "Exchange" not in above and "collect_list" not in plans[0]
+
+
+def test_rules_give_the_labels_of_the_names(spark):
+    names = [["Eggs", "Gas and electric"], ["Unknown Item"], ["Health insurance", "Hospital, drugs"], [], ["Water insurance", "Meat"]]
+    rows = spark.createDataFrame([(i, "Food", n) for i, n in enumerate(names)], "i int, major_category string, item_names array<string>")
+    bits = F.aggregate(F.transform("item_names", L.name_rules), F.lit(0), lambda a, b: a.bitwiseOR(b))
+    by_rules = L.assign_labels(rows.withColumn("rules", bits), rules="rules").select("i", "categories").collect()
+    assert sorted(by_rules) == sorted(L.assign_labels(rows).select("i", "categories").collect())
