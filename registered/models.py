@@ -17,6 +17,7 @@ from tallyspark.sources.tables import staged
 
 from .registry import query
 
+PAIR_MONTH = ("user_id", "category", "period")
 #: Boosted models, but for the refit, grow a part of their trees, and the search has few candidates: README has the times that
 #: whole ones take.
 SEARCHED = 4
@@ -78,14 +79,14 @@ def important_terms(t):
 @query("random_forest", "ML5 ML10")
 def random_forest(t):
     rows = trend_split(t)
-    model = M.fit_forest(SP.part(rows, "train"))
+    model = M.fit_forest(SP.part(rows, "train"), key=PAIR_MONTH)
     return figures(model.predict(rows))
 
 
 @query("forest_importances", "ML5 T4")
 def forest_importances(t):
     rows = trend_split(t)
-    return M.fit_forest(SP.part(rows, "train")).importances(rows)
+    return M.fit_forest(SP.part(rows, "train"), key=PAIR_MONTH).importances(rows)
 
 
 @query("boosted_trees", "ML6 ML10")

@@ -120,12 +120,17 @@ def _remargined(batches: Iterator[pa.RecordBatch], n_features: int, trees: Seque
         yield pa.RecordBatch.from_arrays([pa.array([p], pa.binary()) for p in packed], names=["bins", "y", "draw", "margin"])
 
 
-def drawn(draw: np.ndarray, tree: int, part: float) -> np.ndarray:
-    """Whether each row takes part in a tree: a hash of its draw and the tree's number."""
+def mixed(draw: np.ndarray, tree: int) -> np.ndarray:
+    """A hash of each row's draw and the tree's number: a whole number below 2**53."""
     x = draw + np.uint64((tree + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))
     for by, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         x = (x ^ (x >> np.uint64(by))) * np.uint64(times)
-    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) < part * 2.0**53
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64)
+
+
+def drawn(draw: np.ndarray, tree: int, part: float) -> np.ndarray:
+    """Whether each row takes part in a tree."""
+    return mixed(draw, tree) < part * 2.0**53
 
 
 def _histograms(
@@ -273,10 +278,10 @@ class BoostedTrees:
         return table.orderBy(F.desc("importance"), "feature").limit(k)
 
 
-def quantile_cuts(rows: DataFrame, columns: Sequence[str]) -> list[np.ndarray]:
-    """Upper ends of at most BINS - 2 bins of each column, from all rows; NaN and null are left out."""
-    at = [i / (BINS - 2) for i in range(1, BINS - 2)]
-    cuts = rows.agg(*(F.percentile_approx(F.when(~F.isnan(c), F.col(c)), at, 20_000).alias(c) for c in columns)).first()
+def quantile_cuts(rows: DataFrame, columns: Sequence[str], bins: int = BINS, accuracy: int = 20_000) -> list[np.ndarray]:
+    """Upper ends of at most ``bins`` - 2 bins of each column, from all rows; NaN and null are left out."""
+    at = [i / (bins - 2) for i in range(1, bins - 2)]
+    cuts = rows.agg(*(F.percentile_approx(F.when(~F.isnan(c), F.col(c)), at, accuracy).alias(c) for c in columns)).first()
     return [np.unique(np.array(cuts[c] or [], np.float64)) for c in columns]
 
 
@@ -294,7 +299,7 @@ class Prepared:
 
 def prepare(
     train: DataFrame, features: Sequence[str] = FEATURES, target: str = TARGET, key: Sequence[str] = (), seed: int = 42,
-    cuts: list[np.ndarray] | None = None,
+    cuts: list[np.ndarray] | None = None, bins: int = BINS, accuracy: int = 20_000,
 ) -> Prepared:
     """The rows that have a target. ``key`` tells rows apart for their draws (all features and the target, if not given);
     ``cuts`` fixes the bins' upper ends."""
@@ -304,7 +309,7 @@ def prepare(
         F.xxhash64(F.lit(seed), *(F.col(f"`{c}`") for c in key or [*features, target])).alias("draw"),
     )
     rows = staged(rows, "boost-rows")
-    cuts = quantile_cuts(rows, names) if cuts is None else cuts
+    cuts = quantile_cuts(rows, names, bins, accuracy) if cuts is None else cuts
     y = rows.agg(F.avg("y").alias("mean"), F.min("y").alias("low"), F.max("y").alias("high"), F.count("y").alias("n")).first()
     if y.mean is None:
         raise ValueError("no row has a target")
